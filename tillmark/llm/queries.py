@@ -5,13 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm import decontamination, packing, sharding
+from tillmark.llm import decontamination, fingerprints, packing, sharding, simhash_gray
+from tillmark.llm.common import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _hex(name: str):
+    return F.lower(F.lpad(F.hex(name), 16, "0"))
+
+
+def op2_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, and the components of links within three bits."""
+    out = simhash_gray.near_duplicates(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
+
+
 def op3_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards of near equal bytes; law ``bytes``."""
     out = sharding.shard_rows(_table(spark, sf_dir, "documents"), 16)
@@ -32,8 +43,16 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), length)
 
 
+def op10_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of texts and their edits; ``n_near`` counts other fingerprints within three bits."""
+    rows, _ = written(fingerprints.edited_likeness(_table(spark, sf_dir, "documents")), "edited")
+    near = fingerprints.near_counts(rows.select("fp").distinct())
+    out = rows.join(near, "fp", "left")
+    return out.select("doc_id", "n_chars", "edited_sha256", _hex("fp").alias("fingerprint"), _hex("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", F.coalesce("n_near", F.lit(0)).alias("n_near"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_minimax_shards, op5_fm_decontaminate, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op2_gray_simhash, op3_minimax_shards, op5_fm_decontaminate, op9_best_fit_packing, op10_simhash_blocks)}
 
 
 def oracle_sql() -> dict[str, str]:
