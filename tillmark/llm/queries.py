@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm import chat, decontamination, fingerprints, licenses, packing, sharding, simhash_gray, url_templates
+from tillmark.llm import chat, decontamination, fingerprints, licenses, packing, sharding, simhash_gray, toxicity, url_templates
 from tillmark.llm.common import written
 
 
@@ -17,6 +17,15 @@ def _hex(name: str):
     return F.lower(F.lpad(F.hex(name), 16, "0"))
 
 
+def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every restored text, learned from labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").filter(~toxicity.held_out())
+    chars, model = toxicity.train(docs, labels)
+    out = toxicity.score(docs, chars, model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
 def op2_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles, and the components of links within three bits."""
     out = simhash_gray.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -72,7 +81,7 @@ def op10_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_gray_simhash, op3_minimax_shards, op4_license_scan, op5_fm_decontaminate, op6_chat_windows, op8_url_templates, op9_best_fit_packing, op10_simhash_blocks)}
+    return {f.__name__: f for f in (op1_noisy_channel_toxicity, op2_gray_simhash, op3_minimax_shards, op4_license_scan, op5_fm_decontaminate, op6_chat_windows, op8_url_templates, op9_best_fit_packing, op10_simhash_blocks)}
 
 
 def oracle_sql() -> dict[str, str]:
