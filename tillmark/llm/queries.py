@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm import chat, decontamination, fingerprints, licenses, packing, sharding, simhash_gray, toxicity, url_templates
+from tillmark.llm import chat, decontamination, fingerprints, licenses, packing, sharding, simhash_gray, suffix_dedup, toxicity, url_templates
 from tillmark.llm.common import written
 
 
@@ -61,6 +61,11 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op7_induced_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of whole documents under a 50-byte string that a document with a smaller id has too."""
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the rules, else by its template."""
     return url_templates.judge_urls(_table(spark, sf_dir, "pages"))
@@ -81,7 +86,7 @@ def op10_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_noisy_channel_toxicity, op2_gray_simhash, op3_minimax_shards, op4_license_scan, op5_fm_decontaminate, op6_chat_windows, op8_url_templates, op9_best_fit_packing, op10_simhash_blocks)}
+    return {f.__name__: f for f in (op1_noisy_channel_toxicity, op2_gray_simhash, op3_minimax_shards, op4_license_scan, op5_fm_decontaminate, op6_chat_windows, op7_induced_suffix_dedup, op8_url_templates, op9_best_fit_packing, op10_simhash_blocks)}
 
 
 def oracle_sql() -> dict[str, str]:
