@@ -211,7 +211,10 @@ def contamination(df: DataFrame, benchmark: DataFrame, width: int = 10, block_by
     columns = df.columns if clean else ["doc_id", "text"]
     base = df.select(*columns)
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    found = "n_words long, n_hit long, items array<string>, spans array<array<long>>"
+    extra = ["n_words", "n_hit", "items", "spans"]
+    while {*extra} & {c.lower() for c in columns}:  # columns of these names are the caller's
+        extra = [f"{c}_" for c in extra]
+    found = ", ".join(f"{c} {t}" for c, t in zip(extra, ("long", "long", "array<string>", "array<array<long>>"), strict=True))
     for k, block in enumerate(blocks):
         last = k == len(blocks) - 1
 
@@ -222,7 +225,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, width: int = 10, block_by
                     texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
                     begin, end, hit, first, items = scan_shard(texts, phrases)
                     if k:
-                        for j, (old_items, old_spans) in enumerate(zip(batch.column("items").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
+                        for j, (old_items, old_spans) in enumerate(zip(batch.column(extra[2]).to_pylist(), batch.column(extra[3]).to_pylist(), strict=True)):
                             items[j] = sorted({*items[j], *old_items})
                             at0 = sum(len(t) + 1 for t in texts[:j]) if old_spans else 0
                             for a, b in old_spans:
@@ -251,7 +254,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, width: int = 10, block_by
                     if not (last and clean):
                         arrays += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
                     names = (columns if clean else ["doc_id"]) if last else list(columns)
-                    names = names + ([] if last and clean else ["n_words", "n_hit", "items", "spans"])
+                    names = names + ([] if last and clean else extra)
                     yield pa.RecordBatch.from_arrays(arrays, names=names)
 
         id_type = dict(base.dtypes).get("doc_id", "long")

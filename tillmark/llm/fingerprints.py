@@ -49,49 +49,64 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _UP[0], _UP[1]
 
 
-def _votes(texts: list[bytes]) -> np.ndarray:
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each lower-cased word, and the index of the first word of each text (and of the end)."""
     joined = b"\n".join(texts)
     data = _LOWER[np.frombuffer(joined, np.uint8)] if joined else np.empty(0, np.uint8)
     edge = np.flatnonzero(np.diff(np.concatenate(([False], ~_SPACE[data], [False])).view(np.int8)))
     begin, end = edge[::2], edge[1::2]
-    out = np.zeros(len(texts), np.uint64)
-    if not len(begin):
-        return out
     up, down = _powers(max(len(data), CHUNK_BYTES))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUE[data] * up[: len(data)], out=sums[1:])
-    word = _mixed((sums[end] - sums[begin]) * down[begin])
     first = np.searchsorted(begin, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))))
-    before = np.concatenate(([np.uint64(0)], word[:-1]))
-    before[first[:-1][first[:-1] < first[1:]]] = np.uint64(0x5BD1E995)
-    term = _mixed(before * np.uint64(3) + word)
-    doc = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(first))
+    return _mixed((sums[end] - sums[begin]) * down[begin]), first
+
+
+def distinct_terms(term: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of each text (40 bits), how often each stands there, and where each text's begin."""
+    doc = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
     # texts of a chunk in the upper 24 bits, 40 bits tell a text's terms apart
     key = np.sort((doc << np.uint64(40)) | (term >> np.uint64(24)))
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    weight = (1 + np.floor(np.log2(np.diff(np.concatenate((at, [len(key)])))))).astype(np.int32)
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+    count = np.diff(np.append(at, len(key)))
     key = key[at]
-    h = _mixed((key & np.uint64((1 << 40) - 1)) + np.uint64(1))
-    runs = np.searchsorted(key, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(40))
+    runs = np.searchsorted(key, np.arange(len(first), dtype=np.uint64) << np.uint64(40))
+    return key & np.uint64((1 << 40) - 1), count, runs
+
+
+def vote(terms: np.ndarray, weight: np.ndarray | None, runs: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Bits with more than half the weight of each run of terms; an empty run has none."""
+    out = np.zeros(len(runs) - 1, np.uint64)
+    h = _mixed(terms + np.uint64(seed))
     some = np.flatnonzero(np.diff(runs))
     step, k = 100_000, 0
     while k < len(some):  # whole texts, about so many terms at once
         to = max(k + 1, int(np.searchsorted(runs[some], runs[some[k]] + step)))
         lo, hi = runs[some[k]], runs[some[to - 1] + 1]
         bits = np.unpackbits(h[lo:hi].view(np.uint8), bitorder="little").reshape(-1, 64)
-        w = weight[lo:hi]
         starts = runs[some[k:to]] - lo
         got = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        extra = np.flatnonzero(w > 1)
-        if len(extra):
-            own = np.searchsorted(starts, extra, side="right") - 1
-            np.add.at(got, own, bits[extra] * (w[extra] - 1)[:, None])
-        total = np.add.reduceat(w, starts)
+        total = np.diff(np.append(starts, hi - lo))
+        if weight is not None:
+            w = weight[lo:hi]
+            extra = np.flatnonzero(w > 1)
+            if len(extra):
+                own = np.searchsorted(starts, extra, side="right") - 1
+                np.add.at(got, own, bits[extra] * (w[extra] - 1)[:, None])
+            total = np.add.reduceat(w, starts)
         out[some[k:to]] = np.packbits(2 * got > total[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
         k = to
     return out
 
 
+def _votes(texts: list[bytes]) -> np.ndarray:
+    word, first = words(texts)
+    before = np.concatenate(([np.uint64(0)], word[:-1])) if len(word) else word
+    before[first[:-1][first[:-1] < first[1:]]] = np.uint64(0x5BD1E995)
+    terms, count, runs = distinct_terms(_mixed(before * np.uint64(3) + word), first)
+    return vote(terms, (1 + np.floor(np.log2(np.maximum(1, count)))).astype(np.int32), runs)
+
+
 def fingerprints(texts: list[bytes]) -> np.ndarray:
     """Fingerprint of each text as an unsigned 64-bit number; a text without words has 0."""
     out, at = np.zeros(len(texts), np.uint64), 0

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillmark.llm import fingerprints
 from tillmark.llm.common import components, map_arrow, raw_texts, written
 
 SEED = 42
@@ -96,12 +97,12 @@ class GrayTree:
             if nodes.max() == 1:
                 break
 
-    def links(self, radius: int, labels: np.ndarray) -> np.ndarray:
-        """``labels`` (a root for each member) with linked members joined."""
+    def links(self, radius: int, labels: np.ndarray, also=None) -> np.ndarray:
+        """``labels`` (a root for each member) with linked members joined; ``also`` says which pairs within the radius link (all)."""
         x = self.x
         leaves = self.levels[0]
         spread = np.bitwise_count(~leaves[2])
-        close = np.flatnonzero(spread <= radius)  # leaves whose members all link
+        close = np.flatnonzero(spread <= radius) if also is None else []  # leaves whose members all link
         if len(close):
             a = np.concatenate([np.arange(leaves[0][k], leaves[0][k + 1] - 1) for k in close]).astype(np.int64)
             labels = join_labels(labels, a, a + 1)
@@ -119,7 +120,7 @@ class GrayTree:
                 child, _, mask, last = self.levels[depth]
                 # all below are within reach: one link stands for the node, its members are linked below
                 whole = acc + np.bitwise_count(~mask[node]) <= radius
-                if depth == 0 and whole.any():
+                if depth == 0 and also is None and whole.any():
                     pairs_a.append(q[whole])
                     pairs_b.append(last[node[whole]])
                     q, node, acc = q[~whole], node[~whole], acc[~whole]
@@ -135,6 +136,10 @@ class GrayTree:
                     ok = (acc <= radius) & (end[below] > q)
                 else:
                     ok = (below > q) & (np.bitwise_count(x[q] ^ x[below]) <= radius)
+                    if also is not None:
+                        ok &= labels[q] != labels[below]
+                        some = np.flatnonzero(ok)
+                        ok[some] = also(q[some], below[some])
                 q, node, acc = q[ok], below[ok], acc[ok]
             if q is None:
                 mid = (lo + hi) // 2
@@ -167,8 +172,11 @@ def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return labels
 
 
-def group_links(group: np.ndarray, rotated: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest (indexes) of the links within each group of one partition."""
+def group_links(group: np.ndarray, rotated: np.ndarray, radius: int = RADIUS, check: np.ndarray | None = None, apart: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (indexes) of the links within each group of one partition.
+
+    With ``check`` (rows of further bits) a pair links only if these too differ in ``apart`` bits at most.
+    """
     order = np.lexsort((gray_rank(rotated), group))
     g, x = group[order], rotated[order]
     begins = np.concatenate((np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))), [len(g)])) if len(g) else np.zeros(1, np.int64)
@@ -180,7 +188,11 @@ def group_links(group: np.ndarray, rotated: np.ndarray, radius: int = RADIUS) ->
         n = sizes[some]
         at = np.concatenate(([0], np.cumsum(n)))
         members = np.repeat(begins[some] - at[:-1], n) + np.arange(at[-1])
-        labels = GrayTree(x[members], at).links(radius, np.arange(len(members)))
+        also = None
+        if check is not None:
+            c = check[order[members]]
+            also = lambda a, b, c=c: np.bitwise_count(c[a] ^ c[b]).sum(1, dtype=np.int64) <= apart
+        labels = GrayTree(x[members], at).links(radius, np.arange(len(members)), also)
         low = np.flatnonzero(labels != np.arange(len(members)))
         out_a.append(order[members[low]])
         out_b.append(order[members[labels[low]]])
@@ -220,6 +232,91 @@ def near_links(fps: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
     return keyed.repartition("key").mapInArrow(_forest, "a long, b long")
 
 
+#: Fingerprints of distinct words that lead to a pair, bits of its five-word shingles that settle it, and how many of those may differ.
+LEADS, CHECK_BITS, CHECK_APART = 8, 128, 26
+
+
+def sketches(texts: list[bytes], shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """``LEADS`` fingerprints over distinct words and two over distinct shingles, for each text."""
+    leads, checks = [np.empty((0, LEADS), np.uint64)], [np.empty((0, CHECK_BITS // 64), np.uint64)]
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (size == 0 or size < fingerprints.CHUNK_BYTES):
+            size += len(texts[to]) + 1
+            to += 1
+        word, first = fingerprints.words(texts[at:to])
+        terms, _, runs = fingerprints.distinct_terms(word, first)
+        leads.append(np.stack([fingerprints.vote(terms, None, runs, 1 + k) for k in range(LEADS)], 1))
+        n = np.diff(first)
+        whole = np.maximum(1, n - shingle + 1) * (n > 0)  # shingles of each text
+        ends = np.concatenate(([0], np.cumsum(whole)))
+        begin = np.repeat(first[:-1] - ends[:-1], whole) + np.arange(ends[-1])
+        stop = np.repeat(first[1:], whole)
+        joint = np.zeros(len(begin), np.uint64)
+        for j in range(shingle):
+            inside = begin + j < stop
+            joint = np.where(inside, fingerprints._mixed(joint * np.uint64(3) + np.where(inside, word[np.minimum(begin + j, len(word) - 1)] if len(word) else 0, 0)), joint)
+        terms, _, runs = fingerprints.distinct_terms(joint, ends)
+        checks.append(np.stack([fingerprints.vote(terms, None, runs, 101 + k) for k in range(CHECK_BITS // 64)], 1))
+        at = to
+    return np.concatenate(leads), np.concatenate(checks)
+
+
+def _checked_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = list(batches)
+    if not held:
+        return
+    column = lambda c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held])
+    key, fp, node = column("key"), column("fp").view(np.uint64), column("node")
+    check = np.stack([column("c0").view(np.uint64), column("c1").view(np.uint64)], 1)
+    a, b = group_links(key, fp, RADIUS, check, CHECK_APART)
+    yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` with one row of each group of near copies: the one with the smallest id (null stands first).
+
+    A pair whose five-word shingles are alike to 0.8 or more shares nearly all its words,
+    so one of several fingerprints over distinct words comes within three bits with near
+    certainty; it links if 128 further bits of its shingles agree as far as such likeness
+    makes them. Texts without words are copies of each other, of rows that agree in id and
+    text one stays, an empty table gives no rows; ``df``'s columns come back as they are.
+    """
+    id_type = dict(df.dtypes)[id_col]
+
+    def run(b: pa.RecordBatch) -> dict:
+        leads, checks = sketches(raw_texts(b, "text"))
+        node = [int.from_bytes(xxhash.xxh3_64_digest(x.tobytes() + y.tobytes()), "little", signed=True) for x, y in zip(leads, checks, strict=True)]
+        return {"id": b.column("id"), "node": node, "leads": list(leads.view(np.int64)), "c0": checks[:, 0].view(np.int64), "c1": checks[:, 1].view(np.int64)}
+
+    rows, _ = written(map_arrow(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run, f"id {id_type}, node long, leads array<long>, c0 long, c1 long"), "sketches")
+    nodes = rows.groupBy("node").agg(F.first("leads").alias("leads"), F.first("c0").alias("c0"), F.first("c1").alias("c1"))
+    nodes, _ = written(nodes, "nodes")
+    led = nodes.selectExpr("node", "c0", "c1", "posexplode(leads) as (lead, fp)")
+    led = led.selectExpr("node", "c0", "c1", "lead", "fp", f"explode(sequence(0, {BLOCKS - 1})) as t")
+    keyed = led.selectExpr("node", "c0", "c1", "fp", f"(cast(lead * {BLOCKS} + t as long) << 32) | (shiftrightunsigned(fp, t * {WIDTH}) & {(1 << WIDTH) - 1}L) as key")
+    links = keyed.repartition("key").select("key", "fp", "node", "c0", "c1").mapInArrow(_checked_forest, "a long, b long")
+    linked = components(links, "near")
+    of = rows.select("id", "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    low = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id")).alias("low"))
+    out = of.join(low, "root").filter(~F.col("id").eqNullSafe(F.col("low.id")))
+    gone = out.select(F.col("id").alias("gone_id"), F.col("node").alias("gone_node")).distinct()
+    gone, _ = written(gone, "gone")
+    twice = rows.groupBy("id").count().filter("count > 1").head(1)
+    if not twice:
+        return df.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
+    # ids are not unique: rows are told apart by their text, and of equal ones one stays
+    digest = F.coalesce(F.sha2(text, 256), F.lit(""))
+    marked = df.withColumn("tillmark_digest", digest)
+    of_text = map_arrow(
+        marked.select(F.col(id_col).alias("id"), F.col(text).alias("text"), "tillmark_digest"), lambda b: run(b) | {"d": b.column("tillmark_digest")}, f"id {id_type}, node long, leads array<long>, c0 long, c1 long, d string"
+    ).select("id", "node", F.col("d"))
+    best = of_text.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")).groupBy("root").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "d")).alias("low"))
+    best = best.select(F.col("low.id").alias("kept_id"), F.col("low.d").alias("kept_d"))
+    return marked.dropDuplicates([id_col, "tillmark_digest"]).join(best, F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.col("tillmark_digest") == F.col("kept_d")), "left_semi").drop("tillmark_digest")
+
+
 def near_duplicates(df: DataFrame, words: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_col, fp, component_id`` for each row of ``df``.
 
