@@ -30,7 +30,7 @@ BUFFER = 1 << 22  # entries that the queues hold in memory
 
 def new_map(folder: str, name: str, n: int, dtype) -> np.ndarray:
     """An array of ``n`` in a file of ``folder``; small ones stay in memory."""
-    if n * np.dtype(dtype).itemsize <= 1 << 20:
+    if n * np.dtype(dtype).itemsize <= 1 << 24:
         return np.zeros(n, dtype)
     return np.memmap(os.path.join(folder, name), dtype, "w+", shape=(n,))
 

@@ -9,9 +9,10 @@ that later passes read and join as they are. Then:
    all shards; those of one document only are done with.
 2. Each shard sends the text around the other anchors, once for each distinct
    piece, with the smallest id that has it, to the bucket of the anchor.
-3. A bucket's pieces form one string. Its suffixes are sorted with their common
-   prefixes by external induced sorting (``induced_sort``), and runs that share
-   ``length`` bytes learn the smallest id among them.
+3. A bucket's pieces form one string, but for those whose anchor no other distinct
+   piece has: they share no window with any. Its suffixes are sorted with their
+   common prefixes by external induced sorting (``induced_sort``), and runs that
+   share ``length`` bytes learn the smallest id among them.
 4. What the bucket found returns to the shards, which cut.
 
 Copies of a whole text beyond the first are told by a digest and take no part in
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillmark.llm.common import written
+from tillmark.llm.common import free_shuffles, written
 from tillmark.llm.induced_sort import new_map, suffix_order
 
 LENGTH = 50
@@ -116,8 +117,8 @@ class Shard:
         self.data = np.frombuffer(b"".join(self.texts[i] for i in self.first), np.uint8)
         self.ends = np.cumsum([len(self.texts[i]) for i in self.first]).astype(np.int64)
 
-    def pieces(self, repeated: np.ndarray, buckets: int, length: int = LENGTH) -> tuple[list[bytes], list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pieces, their buckets and smallest ids, and of each run its piece, first window and number of windows."""
+    def pieces(self, repeated: np.ndarray, length: int = LENGTH) -> tuple[list[bytes], list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pieces, their anchors and smallest ids, and of each run its piece, first window and number of windows."""
         begin, n, h = anchors(self.data, self.ends, length)
         if len(repeated) and len(h):
             k = np.minimum(np.searchsorted(repeated, h >> np.uint64(1)), len(repeated) - 1)
@@ -128,17 +129,16 @@ class Shard:
         doc = np.searchsorted(self.ends, begin, side="right")
         ids = self.ids[self.first[doc]] if len(doc) else np.empty(0, np.int64)
         raw, number, of = self.data.tobytes(), {}, np.empty(len(begin), np.int64)
-        bucket = ((h >> np.uint64(1)) % np.uint64(buckets)).tolist()
-        lowest, into = [], []
-        for j, (a, w, i, b) in enumerate(zip(begin.tolist(), n.tolist(), ids.tolist(), bucket, strict=True)):
+        lowest, anchor = [], []
+        for j, (a, w, i, b) in enumerate(zip(begin.tolist(), n.tolist(), ids.tolist(), (h >> np.uint64(1)).tolist(), strict=True)):
             piece = raw[a : a + w + length - 1]
             k = of[j] = number.setdefault(piece, len(number))
             if k == len(lowest):
                 lowest.append(i)
-                into.append(b)
+                anchor.append(b)
             elif i < lowest[k]:
                 lowest[k] = i
-        return list(number), into, lowest, of, begin, n
+        return list(number), anchor, lowest, of, begin, n
 
 
 def _pack(df: DataFrame, shard_bytes: int) -> DataFrame:
@@ -214,8 +214,17 @@ def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield pa.RecordBatch.from_arrays([pa.array([r["shard_id"]], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["shard_id", "anchors"])
 
 
-def _payload(n: list[int], ids: list[int], pieces: list[bytes]) -> bytes:
-    return zstandard.compress(struct.pack("<q", len(n)) + np.array(n, np.int32).tobytes() + np.array(ids, np.int64).tobytes() + b"".join(pieces), 1)
+def _payload(ks: list[int], pieces: list[bytes], anchor: list[int], lowest: list[int]) -> bytes:
+    n, ids, own = np.array([len(pieces[k]) for k in ks], np.int32), np.array([lowest[k] for k in ks], np.int64), np.array([anchor[k] for k in ks], np.int64)
+    return zstandard.compress(struct.pack("<q", len(ks)) + n.tobytes() + ids.tobytes() + own.tobytes() + b"".join(pieces[k] for k in ks), 1)
+
+
+def _by_bucket_of(anchor: list[int], buckets: int) -> dict[int, list[int]]:
+    """Places of the pieces that go to each bucket; the same in every pass."""
+    where: dict[int, list[int]] = {}
+    for k, h in enumerate(anchor):
+        where.setdefault(h % buckets, []).append(k)
+    return where
 
 
 def _sort_bucket(length: int):
@@ -223,19 +232,22 @@ def _sort_bucket(length: int):
         for _, group in _by_bucket(batches):
             number: dict[bytes, int] = {}
             lowest: list[int] = []
+            anchor: list[int] = []
             sent: list[list[int]] = []
             for r in group:
                 raw = zstandard.decompress(r["pieces"])
                 (m,) = struct.unpack_from("<q", raw)
                 n = np.frombuffer(raw, np.int32, m, 8).tolist()
                 ids = np.frombuffer(raw, np.int64, m, 8 + 4 * m).tolist()
-                at, own = 8 + 12 * m, []
-                for w, i in zip(n, ids, strict=True):
+                hashes = np.frombuffer(raw, np.int64, m, 8 + 12 * m).tolist()
+                at, own = 8 + 20 * m, []
+                for w, i, h in zip(n, ids, hashes, strict=True):
                     piece = raw[at : at + w]
                     at += w
                     k = number.setdefault(piece, len(number))
                     if k == len(lowest):
                         lowest.append(i)
+                        anchor.append(h)
                     elif i < lowest[k]:
                         lowest[k] = i
                     own.append(k)
@@ -243,35 +255,47 @@ def _sort_bucket(length: int):
                 r["pieces"] = None
             pieces = list(number)
             del number
-            sizes = np.array([len(p) for p in pieces], np.int64)
-            begins = 1 + np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-            total = int(sizes.sum()) + len(pieces) + 1
-            with tempfile.TemporaryDirectory(prefix="bucket-") as folder:
-                s = new_map(folder, "string", total, np.uint16)
-                for at in range(0, len(pieces), 1 << 14):
-                    some = pieces[at : at + (1 << 14)]
-                    x = np.frombuffer(b"\x00".join(some) + b"\x00", np.uint8).astype(np.uint16) + np.uint16(1)
-                    x[np.cumsum(sizes[at : at + len(some)] + 1) - 1] = 0
-                    s[begins[at] : begins[at] + len(x)] = x
-                order, lcp = suffix_order(s, folder)
-                owner = new_map(folder, "owner", total, np.int32)
-                for at in range(0, len(pieces), 1 << 16):
-                    k = np.arange(at, min(at + (1 << 16), len(pieces)), dtype=np.int32)
-                    owner[begins[at] : begins[at] + int((sizes[k] + 1).sum())] = np.repeat(k, sizes[k] + 1)
-                ids = np.array(lowest, np.int64)
-                least = new_map(folder, "least", total, np.int64)  # of the strings that begin like each
-                _smallest(order, lcp, owner, ids, least, length)
-                for r, own in zip(group, sent, strict=True):
-                    k = np.array(own)
-                    w = sizes[k] - length + 1
-                    at = np.repeat(begins[k] - np.concatenate(([0], np.cumsum(w)[:-1])), w) + np.arange(int(w.sum()))
-                    found = zstandard.compress(least[at].tobytes(), 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([r["shard_id"]], pa.int64()), pa.array([r["bucket"]], pa.int32()), pa.array([found], pa.binary())], names=["shard_id", "bucket", "least"])
-                del s, order, lcp, owner, least
+            windows = np.array([len(p) - length + 1 for p in pieces], np.int64)
+            at = np.concatenate(([0], np.cumsum(windows)))
+            least = np.repeat(np.array(lowest, np.int64), windows)  # for each window of each piece, as if it stood alone
+            order = np.argsort(np.array(anchor))
+            own = np.array(anchor)[order]
+            same = own[1:] == own[:-1]
+            shared = np.sort(order[np.append(same, False) | np.append(False, same)])
+            if len(shared):
+                got = _least_of([pieces[k] for k in shared.tolist()], np.array(lowest, np.int64)[shared], length)
+                w = windows[shared]
+                least[np.repeat(at[shared] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))] = got
+            for r, k in zip(group, map(np.array, sent), strict=True):
+                w = windows[k]
+                found = zstandard.compress(least[np.repeat(at[k] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))].tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([r["shard_id"]], pa.int64()), pa.array([r["bucket"]], pa.int32()), pa.array([found], pa.binary())], names=["shard_id", "bucket", "least"])
 
     return run
 
 
+def _least_of(pieces: list[bytes], ids: np.ndarray, length: int) -> np.ndarray:
+    """For each window of each piece the smallest of the ``ids`` of pieces that hold the same bytes, by suffix sorting."""
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    begins = 1 + np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+    total = int(sizes.sum()) + len(pieces) + 1
+    with tempfile.TemporaryDirectory(prefix="bucket-") as folder:
+        s = new_map(folder, "string", total, np.uint16)
+        owner = new_map(folder, "owner", total, np.int32)
+        for at in range(0, len(pieces), 1 << 14):
+            some = pieces[at : at + (1 << 14)]
+            n = sizes[at : at + len(some)] + 1
+            x = np.frombuffer(b"\x00".join(some) + b"\x00", np.uint8).astype(np.uint16) + np.uint16(1)
+            x[np.cumsum(n) - 1] = 0
+            s[begins[at] : begins[at] + len(x)] = x
+            owner[begins[at] : begins[at] + len(x)] = np.repeat(np.arange(at, at + len(some), dtype=np.int32), n)
+        order, lcp = suffix_order(s, folder)
+        least = new_map(folder, "least", total, np.int64)  # of the strings that begin like each
+        _smallest(order, lcp, owner, ids, least, length)
+        w = sizes - length + 1
+        return np.array(least[np.repeat(begins - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))])
+
+
 def _smallest(order: np.ndarray, lcp: np.ndarray, owner: np.ndarray, ids: np.ndarray, out: np.ndarray, length: int, block: int = 1 << 18) -> None:
     """``out`` at each suffix: the smallest id among those that share ``length`` bytes with it; a run may pass several blocks."""
     n, at = len(order), 0
@@ -329,6 +353,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, clean: bool = False, sha
 
     counted = packed.mapInArrow(send_anchors, "bucket int, shard_id long, keys binary").repartition("bucket").sortWithinPartitions("bucket")
     repeated, _ = written(counted.mapInArrow(_count_anchors, "shard_id long, anchors binary"), "anchors")
+    free_shuffles(df.sparkSession)
     repeated = repeated.groupBy("shard_id").agg(F.collect_list("anchors").alias("anchors"))
     packed = packed.join(repeated, "shard_id", "left")
 
@@ -337,15 +362,14 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, clean: bool = False, sha
 
     def send_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
-            pieces, into, lowest, *_ = Shard(r["blob"], r["later"]).pieces(known(r), buckets, length)
-            where: dict[int, list[int]] = {}
-            for k, b in enumerate(into):
-                where.setdefault(b, []).append(k)
-            blobs = [_payload([len(pieces[k]) for k in ks], [lowest[k] for k in ks], [pieces[k] for k in ks]) for ks in where.values()]
+            pieces, anchor, lowest, *_ = Shard(r["blob"], r["later"]).pieces(known(r), length)
+            where = _by_bucket_of(anchor, buckets)
+            blobs = [_payload(ks, pieces, anchor, lowest) for ks in where.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(where), pa.int32()), pa.array([r["shard_id"]] * len(where), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "shard_id", "pieces"])
 
     sent = packed.mapInArrow(send_pieces, "bucket int, shard_id long, pieces binary").repartition("bucket").sortWithinPartitions("bucket")
     found, _ = written(sent.mapInArrow(_sort_bucket(length), "shard_id long, bucket int, least binary"), "least")
+    free_shuffles(df.sparkSession)
     found = found.groupBy("shard_id").agg(F.collect_list(F.struct("bucket", "least")).alias("found"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,10 +377,8 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, clean: bool = False, sha
             shard = Shard(r["blob"], r["later"])
             gone = np.zeros(len(shard.data) + length, np.int32)
             if r["found"]:
-                pieces, into, _, of, begin, n = shard.pieces(known(r), buckets, length)
-                where: dict[int, list[int]] = {}
-                for k, b in enumerate(into):
-                    where.setdefault(b, []).append(k)
+                pieces, anchor, _, of, begin, n = shard.pieces(known(r), length)
+                where = _by_bucket_of(anchor, buckets)
                 w = np.array([len(p) - length + 1 for p in pieces], np.int64)
                 at = np.concatenate(([0], np.cumsum(w)))
                 least = np.zeros(at[-1], np.int64)
