@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,6 +46,37 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bounds of the batches that Python workers get: whole rows, so a longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
+
+
+def _give_back() -> None:
+    """Returns memory that a worker no longer uses to the system; idle workers are kept for later tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow(f, schema)`` on batches of bounded size, whose workers give memory back at the end of a task."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"\D", "", conf.get(key)) or 0) if conf.get(key).lstrip("-").rstrip("bB").isdigit() else 0
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """``mapInArrow`` where ``f`` turns one record batch into a dict of columns in the order of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -57,7 +90,7 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str) -
                 got = f(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(got[x.name], type=x.type) for x in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def raw_texts(batch: pa.RecordBatch, name: str) -> list[bytes]:

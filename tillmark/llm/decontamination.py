@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tillmark.llm.common import arrow_map
 from tillmark.llm.fm_index import FMIndex
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -259,5 +260,5 @@ def contamination(df: DataFrame, benchmark: DataFrame, width: int = 10, block_by
 
         id_type = dict(base.dtypes).get("doc_id", "long")
         schema = (own if clean else f"doc_id {id_type}, {found}") if last else f"{own}, {found}"
-        base = base.mapInArrow(run, schema)
+        base = arrow_map(base, run, schema)
     return base

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillmark.llm.common import arrow_map
+
 RADIUS = 3
 BOUNDS = (0, 13, 26, 39, 52, 64)
 TABLES = list(combinations(range(5), 2))
@@ -187,7 +189,7 @@ def edited_likeness(df: DataFrame) -> DataFrame:
     null ids stand first). Null texts count as empty; one row is its own next.
     """
     id_type = dict(df.dtypes)["doc_id"]
-    return with_next(df).mapInArrow(_edit, f"doc_id {id_type}, {OUT}")
+    return arrow_map(with_next(df), _edit, f"doc_id {id_type}, {OUT}")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,4 +230,4 @@ def near_counts(fps: DataFrame) -> DataFrame:
     part = lambda k: f"(shiftrightunsigned(fp, {BOUNDS[k]}) & {(1 << (BOUNDS[k + 1] - BOUNDS[k])) - 1}L)"
     tables = ", ".join(f"({t}L << 58) | ({part(a)} << 13) | {part(b)}" for t, (a, b) in enumerate(TABLES))
     keyed = fps.selectExpr("fp", f"explode(array({tables})) as key")
-    return keyed.repartition("key").mapInArrow(_count, "fp long, n_near long").groupBy("fp").agg(F.sum("n_near").alias("n_near"))
+    return arrow_map(keyed.repartition("key"), _count, "fp long, n_near long").groupBy("fp").agg(F.sum("n_near").alias("n_near"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.llm import fingerprints
-from tillmark.llm.common import components, map_arrow, raw_texts, written
+from tillmark.llm.common import arrow_map, components, map_arrow, raw_texts, written
 
 SEED = 42
 RADIUS = 3
@@ -229,7 +229,7 @@ def near_links(fps: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
         ).selectExpr("key", "fp", "r", "explode(sequence(0, 3)) as s")
         fine = rest.selectExpr("key | (cast(s + 1 as long) << 34) | ((shiftrightunsigned(r, 16 + 12 * s) & 4095L) << 16 << 24) as key", "fp")
         keyed = cold.unionByName(fine)
-    return keyed.repartition("key").mapInArrow(_forest, "a long, b long")
+    return arrow_map(keyed.repartition("key"), _forest, "a long, b long")
 
 
 #: Fingerprints of distinct words that lead to a pair, bits of its five-word shingles that settle it, and how many of those may differ.
@@ -296,7 +296,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     led = nodes.selectExpr("node", "c0", "c1", "posexplode(leads) as (lead, fp)")
     led = led.selectExpr("node", "c0", "c1", "lead", "fp", f"explode(sequence(0, {BLOCKS - 1})) as t")
     keyed = led.selectExpr("node", "c0", "c1", "fp", f"(cast(lead * {BLOCKS} + t as long) << 32) | (shiftrightunsigned(fp, t * {WIDTH}) & {(1 << WIDTH) - 1}L) as key")
-    links = keyed.repartition("key").select("key", "fp", "node", "c0", "c1").mapInArrow(_checked_forest, "a long, b long")
+    links = arrow_map(keyed.repartition("key").select("key", "fp", "node", "c0", "c1"), _checked_forest, "a long, b long")
     linked = components(links, "near")
     of = rows.select("id", "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id")).alias("low"))

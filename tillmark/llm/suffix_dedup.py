@@ -29,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillmark.llm.common import free_shuffles, written
+from tillmark.llm.common import arrow_map, free_shuffles, written
 from tillmark.llm.induced_sort import new_map, suffix_order
 
 LENGTH = 50
@@ -162,7 +163,7 @@ def _pack(df: DataFrame, shard_bytes: int) -> DataFrame:
             return out
 
         for batch in batches:
-            lengths = [len(x) if x else 0 for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
             at = 0
             for i, n in enumerate(lengths):
                 size += n + 8
@@ -175,7 +176,7 @@ def _pack(df: DataFrame, shard_bytes: int) -> DataFrame:
         if held:
             yield shard()
 
-    return df.mapInArrow(run, "shard_id long, blob binary, docs array<struct<id: long, digest: binary>>")
+    return arrow_map(df, run, "shard_id long, blob binary, docs array<struct<id: long, digest: binary>>")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -351,8 +352,8 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, clean: bool = False, sha
             blobs = [keys[x:y].tobytes() for x, y in zip(edge, np.append(edge[1:], len(b)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(b[edge], pa.int32()), pa.array([r["shard_id"]] * len(edge), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "shard_id", "keys"])
 
-    counted = packed.mapInArrow(send_anchors, "bucket int, shard_id long, keys binary").repartition("bucket").sortWithinPartitions("bucket")
-    repeated, _ = written(counted.mapInArrow(_count_anchors, "shard_id long, anchors binary"), "anchors")
+    counted = arrow_map(packed, send_anchors, "bucket int, shard_id long, keys binary").repartition("bucket").sortWithinPartitions("bucket")
+    repeated, _ = written(arrow_map(counted, _count_anchors, "shard_id long, anchors binary"), "anchors")
     free_shuffles(df.sparkSession)
     repeated = repeated.groupBy("shard_id").agg(F.collect_list("anchors").alias("anchors"))
     packed = packed.join(repeated, "shard_id", "left")
@@ -367,8 +368,8 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, clean: bool = False, sha
             blobs = [_payload(ks, pieces, anchor, lowest) for ks in where.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(where), pa.int32()), pa.array([r["shard_id"]] * len(where), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "shard_id", "pieces"])
 
-    sent = packed.mapInArrow(send_pieces, "bucket int, shard_id long, pieces binary").repartition("bucket").sortWithinPartitions("bucket")
-    found, _ = written(sent.mapInArrow(_sort_bucket(length), "shard_id long, bucket int, least binary"), "least")
+    sent = arrow_map(packed, send_pieces, "bucket int, shard_id long, pieces binary").repartition("bucket").sortWithinPartitions("bucket")
+    found, _ = written(arrow_map(sent, _sort_bucket(length), "shard_id long, bucket int, least binary"), "least")
     free_shuffles(df.sparkSession)
     found = found.groupBy("shard_id").agg(F.collect_list(F.struct("bucket", "least")).alias("found"))
 
@@ -423,4 +424,4 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, clean: bool = False, sha
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
     schema = own if clean else f"doc_id {dict(base.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return packed.join(found, "shard_id", "left").mapInArrow(cut, schema)
+    return arrow_map(packed.join(found, "shard_id", "left"), cut, schema)
