@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillmark.functions.scalars import coerce_parsed, is_fresh, unit_vector
+from tillmark.functions.scalars import coerce_parsed, is_fresh
 from tillmark.sources.schemas import PARSED, RECEIPT
 
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 3, 2.0, 75.0
@@ -93,9 +93,11 @@ def embed(df: DataFrame, text: str, provider: Callable[[list[str]], Any]) -> Dat
 
     @F.pandas_udf("array<float>")
     def vectors(s: pd.Series) -> pd.Series:
-        return pd.Series(list(np.asarray(with_retry(provider, s.tolist()), np.float32)))
+        v = np.asarray(with_retry(provider, s.tolist()), np.float64)
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        return pd.Series(list((v / np.where(norm > 0, norm, 1)).astype(np.float32)))
 
-    return df.withColumn("embedding", unit_vector(vectors(F.coalesce(text, F.lit("")))))
+    return df.withColumn("embedding", vectors(F.coalesce(text, F.lit(""))))
 
 
 def adjudicator(provider: Callable[[dict, dict], str], columns: tuple[str, ...] = ("brand", "product", "variant")) -> Callable[[DataFrame], DataFrame]:

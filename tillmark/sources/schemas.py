@@ -8,6 +8,15 @@ from pyspark.sql import types as T
 
 SCHEMA_VERSION = 4
 
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "array<float>": T.ArrayType(T.FloatType())}
+
+
+def struct_of(columns: str, **nested: T.DataType) -> T.StructType:
+    """A schema from ``name type, ...`` without a session; types that are not plain come by name."""
+    fields = [x.split() for x in columns.split(",")]
+    return T.StructType([T.StructField(name, nested[kind] if kind in nested else _TYPES[kind]) for name, kind in fields])
+
+
 _DDL = {
     "receipts": "receipt_id long, source_file string, merchant_name string, store_number string, purchase_date string, purchase_time string, subtotal_cents long, tax_cents long, total_cents long, tax_rate_percent double, amount_paid_cents long, change_cents long, item_count_printed long, currency string, extraction_model string, prompt_tokens long, output_tokens long, thinking_tokens long, was_deskewed int, ingested_at string, uploaded_by string, shopper_id long",
     "shoppers": "shopper_id long, name_key string, display_name string, pin_hash string, pin_salt string, created_at string, failed_attempts int, locked_until string",
@@ -17,15 +26,16 @@ _DDL = {
     "validation_results": "receipt_id long, check_name string, status string, detail string, line_number int",
     "schema_version": "version int",
 }
-TABLES: dict[str, T.StructType] = {k: T.StructType.fromDDL(v) for k, v in _DDL.items()}
+TABLES: dict[str, T.StructType] = {k: struct_of(v) for k, v in _DDL.items()}
 
-LINE_ITEM = "struct<line_number: int, raw_description: string, line_total: double, product_code: string, quantity: double, unit: string, unit_price: double, discount: double, tax_flag: string, is_voided: boolean>"
-RECEIPT = T.StructType.fromDDL(
+LINE_ITEM = struct_of("line_number int, raw_description string, line_total double, product_code string, quantity double, unit string, unit_price double, discount double, tax_flag string, is_voided boolean")
+RECEIPT = struct_of(
     "merchant_name string, store_number string, address string, phone string, purchase_date string, purchase_time string, "
-    f"line_items array<{LINE_ITEM}>, subtotal double, tax double, total double, tax_rate_percent double, amount_paid double, "
-    "change_given double, rounding_adjustment double, item_count_printed int, currency string, unreadable_notes string"
+    "line_items lines, subtotal double, tax double, total double, tax_rate_percent double, amount_paid double, "
+    "change_given double, rounding_adjustment double, item_count_printed int, currency string, unreadable_notes string",
+    lines=T.ArrayType(LINE_ITEM),
 )
-PARSED = T.StructType.fromDDL(
+PARSED = struct_of(
     "raw_description string, brand string, product string, variant string, size_value double, size_unit string, pack_count int, "
     "size_is_capacity boolean, category string, canonical_text string, needs_review boolean, parse_note string, attempts int, parser_version int"
 )
