@@ -39,7 +39,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
 
     ``spans`` are the (first code point from 0, length) of each target text in ``formatted``
     that the loss counts; the first ``n_repeated`` turns are the system turn and the history
-    (of window 0: none). A window exceeds ``budget`` only where its one new turn does.
+    (of window 0: none). A window exceeds ``budget`` only where it has one new turn beside the system turn.
     Turns stand by ``turn`` (null first), ties by role and text; null texts and roles are
     empty; a null ``conv_id`` is one conversation; an empty table gives no rows; a
     conversation is the unit of work and is held whole.
