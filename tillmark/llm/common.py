@@ -47,7 +47,7 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 #: Bounds of the batches that Python workers get: whole rows, so a longer row is a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
 
 def _give_back() -> None:

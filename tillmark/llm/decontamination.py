@@ -26,7 +26,7 @@ from tillmark.llm.fm_index import FMIndex
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BLOCK_BYTES = 16 << 20
 #: Documents are concatenated up to so many bytes for one shard.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -24,7 +24,7 @@ RADIUS = 3
 BOUNDS = (0, 13, 26, 39, 52, 64)
 TABLES = list(combinations(range(5), 2))
 #: Texts are hashed together up to so many bytes.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True

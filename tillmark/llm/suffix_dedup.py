@@ -41,7 +41,7 @@ from tillmark.llm.induced_sort import new_map, suffix_order
 LENGTH = 50
 GRAM = 20
 #: Bytes of text in a shard, and of all text for each bucket.
-SHARD_BYTES, BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 8 << 20, 50_000
+SHARD_BYTES, BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 8 << 20, 50_000
 FIRST_ID = -(1 << 63)
 
 _CHUNK = 1 << 19
@@ -349,7 +349,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, clean: bool = False, sha
             order = np.argsort(b, kind="stable")
             b, keys = b[order], keys[order]
             edge = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.empty(0, np.int64)
-            blobs = [keys[x:y].tobytes() for x, y in zip(edge, np.append(edge[1:], len(b)), strict=True)]
+            blobs = [keys[x:y].tobytes() for x, y in zip(edge, np.append(edge, len(b))[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(b[edge], pa.int32()), pa.array([r["shard_id"]] * len(edge), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "shard_id", "keys"])
 
     counted = arrow_map(packed, send_anchors, "bucket int, shard_id long, keys binary").repartition("bucket").sortWithinPartitions("bucket")
