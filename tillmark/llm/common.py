@@ -98,6 +98,23 @@ def raw_texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+#: A key with more than one in so many rows is joined by broadcast: there are fewer such keys than this.
+HEAVY = 200
+
+
+def join_heavy(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row for each of their keys and in ``count`` how many rows have it.
+
+    Keys with over 1 in ``HEAVY`` of all rows are fewer than ``HEAVY``, so their part of ``table`` is broadcast and
+    their rows stay where they are; the others are shuffled, and none of them is large.
+    """
+    total = table.agg(F.sum(count)).head()[0] or 0
+    is_heavy = F.col(count) * HEAVY > total
+    heavy = F.broadcast(table.filter(is_heavy).drop(count))
+    light = rows.join(heavy.select(key), key, "left_anti").join(table.filter(~is_heavy).drop(count), key)
+    return rows.join(heavy, key).unionByName(light)
+
+
 def lower_ascii(c: Column) -> Column:
     """``c`` with A-Z lower-cased and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

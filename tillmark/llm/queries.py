@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillmark.llm import chat, decontamination, fingerprints, licenses, packing, sharding, simhash_gray, suffix_dedup, toxicity, url_templates
-from tillmark.llm.common import written
+from tillmark.llm.common import join_heavy, written
 from tillmark.llm.oracle import ORACLE
 
 
@@ -81,8 +81,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of texts and their edits; ``n_near`` counts other fingerprints within three bits."""
     rows, _ = written(fingerprints.edited_likeness(_table(spark, sf_dir, "documents")), "edited")
-    near = fingerprints.near_counts(rows.select("fp").distinct())
-    out = rows.join(near, "fp", "left")
+    counts, _ = written(rows.groupBy("fp").agg(F.count("*").alias("n")), "fingerprint-counts")
+    near, _ = written(counts.join(fingerprints.near_counts(counts.select("fp")), "fp", "left"), "near-counts")
+    out = join_heavy(rows, near, "fp", "n")
     return out.select("doc_id", "n_chars", "edited_sha256", _hex("fp").alias("fingerprint"), _hex("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.llm import fingerprints
-from tillmark.llm.common import arrow_map, components, map_arrow, raw_texts, written
+from tillmark.llm.common import arrow_map, components, join_heavy, map_arrow, raw_texts, written
 
 SEED = 42
 RADIUS = 3
@@ -298,14 +298,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     keyed = led.selectExpr("node", "c0", "c1", "fp", f"(cast(lead * {BLOCKS} + t as long) << 32) | (shiftrightunsigned(fp, t * {WIDTH}) & {(1 << WIDTH) - 1}L) as key")
     links = arrow_map(keyed.repartition("key").select("key", "fp", "node", "c0", "c1"), _checked_forest, "a long, b long")
     linked = components(links, "near")
-    of = rows.select("id", "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    low = of.groupBy("root").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id")).alias("low"))
-    out = of.join(low, "root").filter(~F.col("id").eqNullSafe(F.col("low.id")))
-    gone = out.select(F.col("id").alias("gone_id"), F.col("node").alias("gone_node")).distinct()
-    gone, _ = written(gone, "gone")
+    # ids meet first for each node, then for each group of nodes: no task gets all rows of a group
+    lowest = lambda df, key: df.groupBy(key).agg(F.min("low").alias("low"))
+    first = lowest(rows.select("node", F.struct(F.col("id").isNotNull().alias("some"), "id").alias("low")), "node")
+    kept = lowest(first.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")), "root").select(F.col("low.id").alias("kept_id"))
     twice = rows.groupBy("id").count().filter("count > 1").head(1)
     if not twice:
-        return df.join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
+        return df.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
     # ids are not unique: rows are told apart by their text, and of equal ones one stays
     digest = F.coalesce(F.sha2(text, 256), F.lit(""))
     marked = df.withColumn("tillmark_digest", digest)
@@ -332,9 +331,9 @@ def near_duplicates(df: DataFrame, words: int = 3, id_col: str = "doc_id", text:
         f"id {id_type}, fp long",
     )
     rows, _ = written(rows, "fingerprints")
-    distinct, _ = written(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
+    distinct, _ = written(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "distinct-fingerprints")
     linked = components(near_links(distinct.select("fp")), "gray")
     roots = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     low = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = roots.select("fp", "root").join(low, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    of_fp, _ = written(roots.select("fp", "n", "root").join(low, "root").select("fp", "n", "component_id"), "components")
+    return join_heavy(rows, of_fp, "fp", "n").select(F.col("id").alias(id_col), "fp", "component_id")

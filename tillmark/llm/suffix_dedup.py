@@ -105,15 +105,19 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[n
     return np.concatenate(begins), np.concatenate(counts), np.concatenate(hashes)
 
 
+def _digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
 class Shard:
     """One packed row: a record batch, its texts end to end, and which documents are first of their text."""
 
-    def __init__(self, blob: bytes, later: list[int] | None) -> None:
+    def __init__(self, blob: bytes, later: list[dict] | None) -> None:
         self.batch = pa.ipc.open_stream(zstandard.decompress(blob)).read_next_batch()
         self.texts = [x or b"" for x in self.batch.column("text").cast(pa.binary()).to_pylist()]
         self.ids = np.array([FIRST_ID if x is None else x for x in self.batch.column("doc_id").to_pylist()], np.int64)
-        self.later = np.zeros(len(self.texts), bool)
-        self.later[later or []] = True
+        first_of = {x["digest"]: x["first"] for x in later or []}
+        self.later = np.array([bool(first_of) and first_of.get(_digest(t), i) < i for t, i in zip(self.texts, self.ids.tolist(), strict=True)], bool)
         self.first = np.flatnonzero(~self.later)
         self.data = np.frombuffer(b"".join(self.texts[i] for i in self.first), np.uint8)
         self.ends = np.cumsum([len(self.texts[i]) for i in self.first]).astype(np.int64)
@@ -143,7 +147,7 @@ class Shard:
 
 
 def _pack(df: DataFrame, shard_bytes: int) -> DataFrame:
-    """Rows ``shard_id, blob, docs(id, digest)`` of about ``shard_bytes`` of text each."""
+    """Rows ``shard_id, blob, docs(digest, low, high)`` of about ``shard_bytes`` of text each: smallest and largest id of each distinct text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -155,9 +159,12 @@ def _pack(df: DataFrame, shard_bytes: int) -> DataFrame:
             with pa.ipc.new_stream(sink, batch.schema) as w:
                 w.write_batch(batch)
             blob = zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
-            digests = [hashlib.blake2b(x or b"", digest_size=16).digest() for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            ids = [FIRST_ID if x is None else x for x in batch.column("doc_id").to_pylist()]
-            docs = pa.array([[{"id": i, "digest": d} for i, d in zip(ids, digests, strict=True)]], pa.list_(pa.struct([("id", pa.int64()), ("digest", pa.binary())])))
+            span: dict[bytes, tuple[int, int]] = {}
+            for x, i in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
+                d, i = _digest(x or b""), FIRST_ID if i is None else i
+                low, high = span.get(d, (i, i))
+                span[d] = min(low, i), max(high, i)
+            docs = pa.array([[{"digest": d, "low": a, "high": b} for d, (a, b) in span.items()]], pa.list_(pa.struct([("digest", pa.binary()), ("low", pa.int64()), ("high", pa.int64())])))
             out = pa.RecordBatch.from_arrays([pa.array([(task << 32) + made], pa.int64()), pa.array([blob], pa.binary()), docs], names=["shard_id", "blob", "docs"])
             made, held, size = made + 1, [], 0
             return out
@@ -176,7 +183,7 @@ def _pack(df: DataFrame, shard_bytes: int) -> DataFrame:
         if held:
             yield shard()
 
-    return arrow_map(df, run, "shard_id long, blob binary, docs array<struct<id: long, digest: binary>>")
+    return arrow_map(df, run, "shard_id long, blob binary, docs array<struct<digest: binary, low: long, high: long>>")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -326,9 +333,9 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, clean: bool = False, sha
     """
     base = df if clean else df.select("doc_id", "text")
     shards, _ = written(_pack(base, shard_bytes), "shards")
-    docs = shards.selectExpr("shard_id", "posexplode(docs) as (place, doc)").selectExpr("shard_id", "place", "doc.id as id", "doc.digest as digest")
-    first = docs.groupBy("digest").agg(F.min("id").alias("first"))
-    later = docs.join(first, "digest").filter("id > first").groupBy("shard_id").agg(F.collect_list("place").alias("later"))
+    docs = shards.selectExpr("shard_id", "inline(docs)")  # a row for each shard that has a text, however often
+    first = docs.groupBy("digest").agg(F.min("low").alias("first"))
+    later = docs.join(first, "digest").filter("high > first").groupBy("shard_id").agg(F.collect_list(F.struct("digest", "first")).alias("later"))
     later, _ = written(later, "later")
     size = df.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets = int(max(1, min(MOST_BUCKETS, size // bucket_bytes)))
