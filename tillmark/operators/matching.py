@@ -51,7 +51,7 @@ def candidates(queries: DataFrame, catalog: DataFrame, top_k: int = TOP_K, floor
             return pd.DataFrame({"query_id": [], "product_id": [], "similarity": []})
         right = right.sort_values("product_id", kind="stable")
         a, b = np.stack(left["vector"].to_numpy()).astype(np.float64), np.stack(right["vector"].to_numpy()).astype(np.float64)
-        s = np.einsum("ik,jk->ij", a, b)
+        s = a @ b.T
         k = min(top_k, s.shape[1])
         best = np.argsort(-s, axis=1, kind="stable")[:, :k]
         got = np.take_along_axis(s, best, 1)
