@@ -192,3 +192,39 @@ def test_pixels():
     flat[:, 32:] = 110
     out = images.local_contrast(flat)
     assert out.shape == flat.shape and int(out[:, 40].mean()) > int(out[:, 10].mean())
+
+
+def test_blobs_quota_tallies_and_orders(spark, tmp_path):
+    from tillmark.operators import pages
+
+    v = spark.createDataFrame([([1.5, -2.0],), (None,)], "v array<float>")
+    assert [r[0] for r in v.select(sc.blob_to_vector(sc.vector_to_blob("v"))).collect()] == [[1.5, -2.0], None]
+    assert [r[0] for r in spark.createDataFrame([("Quota exceeded: requests per day",), ("busy",), (None,)], "m string").select(sc.is_daily_quota(F.col("m"))).collect()] == [True, False, False]
+    items = spark.createDataFrame([("S", "A"), ("S", "B"), ("S", "A")], "store string, raw_description string")
+    cols = f"store string, raw_description string, parsed {schemas.PARSED.simpleString()}"
+    before = spark.createDataFrame([("S", "A", {"product": "a"})], cols)
+    after = spark.createDataFrame([("S", "A", {"product": "a"}), ("S", "B", {"attempts": 2})], cols)
+    assert tuple(pages.parse_tallies(items, before, after).head()) == (2, 1, 1, 1, 1)
+    h = spark.createDataFrame([("b", 2), ("a", 2), ("c", 5)], "name string, times_bought int")
+    assert [r["name"] for r in pages.in_order(h, "histories", 2).collect()] == ["c", "a"]
+    readers.write_vocabulary(readers.read_vocabulary(spark), str(tmp_path / "v"))
+    assert readers.read_vocabulary(spark, str(tmp_path / "v")).count() == 13
+
+
+def test_created_products_join_the_catalog(spark):
+    cat = spark.createDataFrame([], "product_id string, brand string, product string, variant string, embedding array<float>, aliases array<string>")
+    rows = [("k1", "s", "SOAP A", None, "soap", None, False, [0.1234567]), ("k2", "s", "SOAP B", None, "Soap", None, False, [0.5])]
+    parsed = spark.createDataFrame(rows, "key string, store string, raw_description string, brand string, product string, variant string, needs_review boolean, embedding array<float>")
+    near = spark.createDataFrame([], "query_id string, product_id string, rank int")
+    d = matching.resolve(parsed, cat, near)
+    (p,) = matching.add_created(cat, d, parsed).collect()
+    assert p["aliases"] == ["S||SOAP A", "S||SOAP B"] and p["product"] == "soap" and round(p["embedding"][0], 6) == 0.12346
+    assert matching.outcome_counts(d).head()["n"] == 2
+
+
+def test_receipt_state(spark):
+    from tillmark.operators import pages
+
+    c = spark.createDataFrame([(1, "pass"), (1, "uncheckable"), (1, "fail")], "receipt_id long, status string")
+    li = spark.createDataFrame([(1, 0, None), (1, 1, None), (2, 0, "p")], "receipt_id long, is_voided int, product_id string")
+    assert sorted(map(tuple, pages.receipt_state(c, li).collect())) == [(1, 1, 2, 1), (2, 0, 0, 0)]

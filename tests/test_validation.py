@@ -67,3 +67,21 @@ def test_count_and_report(spark):
     got = {c["receipt_id"]: c for c in validation.report(validation.validate(r, x)).collect()}
     assert got[1]["summary"] == "NEEDS REVIEW: 1/2 checks passed, 3 not printed" and not got[1]["trustworthy"]
     assert got[2]["evidence"] == 0 and got[2]["summary"].startswith("no checks could run")
+
+
+def test_details_say_what_was_compared(spark):
+    lines = [(1, 1.29, 0.52, 2.49, "N", False), (2, 5.0, 2.0, 2.0, "X", False)]
+    r = spark.createDataFrame([(1, *amounts(subtotal=6.29, tax=0.32, total=6.61, rate=6.35, paid=60.0, change=53.37, rounding=-0.02, count=3))], RECEIPT)
+    x = spark.createDataFrame([(1, *row) for row in lines], LINE)
+    got = {(c["check_name"], c["line_number"]): c["detail"] for c in validation.validate(r, x).collect()}
+    assert got["items_sum_to_subtotal", None] == "2 items sum to 6.29"
+    assert got["subtotal_plus_tax_is_total", None] == "6.29 + 0.32 = 6.61"
+    assert got["tax_rate", None] == "1 taxable items = 5.00 x 6.35% = 0.32"
+    assert got["payment_reconciles", None] == "paid 60.00 - total 6.61 (+-0.02 rounding) = change 53.37"
+    assert got["item_count", None] == "extracted 2 items but the receipt says 3 -- a line was dropped or invented"
+    assert got["line_arithmetic", 1] == "line 1 (): 0.52 x 2.49 = 1.29"
+    assert got["line_arithmetic", 2] == "line 2 (): 2 x 2.00 = 4.00 but the line total printed is 5.00"
+    r = spark.createDataFrame([(1, *amounts(subtotal=6.29))], RECEIPT)
+    x = spark.createDataFrame([(1, 5, None, None, None, "N", False), (1, 2, None, None, None, "N", False)], LINE)
+    got = {c["check_name"]: c["detail"] for c in validation.validate(r, x).collect()}
+    assert got["items_sum_to_subtotal"] == "line(s) [2, 5] have no amount, so no sum is possible" and got["tax_rate"] == "no tax rate printed"

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The categories known at first.
 SEED_CATEGORIES = ("produce", "dairy", "meat", "seafood", "bakery", "pantry", "frozen", "beverage", "snack", "household", "personal_care", "pet", "baby")
@@ -120,3 +123,19 @@ def retry_after(message: Column) -> Column:
     said = F.regexp_extract(message, r"(?i)retry in ([0-9.]+)s", 1)
     delay = F.regexp_extract(message, r'"retryDelay"\s*:\s*"([0-9.]+)s"', 1)
     return F.coalesce(F.nullif(said, F.lit("")), F.nullif(delay, F.lit(""))).try_cast("double")
+
+
+def is_daily_quota(message: Column) -> Column:
+    """Whether a provider's message says that the day's quota is used up."""
+    return F.coalesce(F.lower(message), F.lit("")).rlike("per ?day|daily|requestsperday")
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def blob_to_vector(blob: pd.Series) -> pd.Series:
+    """Vectors from little-endian 32-bit floats as older tables hold them."""
+    return blob.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+
+
+@F.pandas_udf(T.BinaryType())
+def vector_to_blob(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())

@@ -111,6 +111,15 @@ def add_aliases(catalog: DataFrame, decisions: DataFrame) -> DataFrame:
     return catalog.join(new, "product_id", "left").withColumn("aliases", F.when(F.col("_new").isNull(), F.col("aliases")).otherwise(F.array_union("aliases", "_new"))).drop("_new")
 
 
+def add_created(catalog: DataFrame, decisions: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Catalog with one product for each new id, its aliases, and its vector to five decimals."""
+    made = decisions.filter(F.col("outcome") == "created").join(parsed, "key")
+    fields = [c for c in catalog.columns if c not in ("product_id", "aliases")]
+    value = lambda c: F.transform(c, lambda x: F.round(x, 5)) if c == "embedding" else F.col(c)
+    first = made.groupBy("product_id").agg(*(F.min_by(value(c) if c in made.columns else F.lit(None), "key").alias(c) for c in fields), F.array_sort(F.collect_set("alias")).alias("aliases"))
+    return catalog.unionByName(first.select(*(F.col(f.name).cast(f.dataType) for f in catalog.schema)))
+
+
 def outcome_counts(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("outcome").agg(F.count("*").alias("n"))
 

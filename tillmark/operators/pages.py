@@ -99,3 +99,52 @@ def worklist(aliases: DataFrame, limit: int = 40) -> DataFrame:
 def failed_checks(checks: DataFrame, limit: int = 30) -> DataFrame:
     """Some failed checks, in a fixed order."""
     return checks.filter(F.col("status") == "fail").orderBy("receipt_id", "check_name", F.coalesce("line_number", F.lit(0))).limit(limit)
+
+
+def priced_lines(lines: DataFrame) -> DataFrame:
+    """Lines that show a price: neither null nor 0."""
+    return lines.filter(F.col("price_per_base").isNotNull() & (F.col("price_per_base") != 0))
+
+
+def receipt_state(checks: DataFrame, lines: DataFrame) -> DataFrame:
+    """What a receipt's page says above its lines: checks passed and run, lines that still lack a product."""
+    c = checks.groupBy("receipt_id").agg(F.count_if(F.col("status") == "pass").alias("passed"), F.count_if(F.col("status").isin("pass", "fail")).alias("ran"))
+    p = lines.groupBy("receipt_id").agg(F.count_if((F.col("is_voided") == 0) & F.col("product_id").isNull()).alias("pending"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return c.join(p, "receipt_id", "full").select("receipt_id", zero("passed"), zero("ran"), zero("pending"))
+
+
+def parse_tallies(items: DataFrame, cache_before: DataFrame, cache_after: DataFrame) -> DataFrame:
+    """Of a run of the parser: distinct strings, those known before, new ones, those asked twice, those not understood."""
+    keys = ["store", "raw_description"]
+    mine = items.select(*keys).distinct()
+    known = cache_before.select(*keys, F.lit(True).alias("known"))
+    rows = mine.join(known, keys, "left").join(cache_after, keys)
+    p = F.col("parsed")
+    named = (F.length(F.coalesce(p["product"], F.lit(""))) > 0) & ~F.coalesce(p["needs_review"], F.lit(False))
+    return rows.agg(
+        F.count("*").alias("strings"), F.count_if(F.col("known")).alias("cached"), F.count_if(F.col("known").isNull()).alias("new"),
+        F.count_if(F.col("known").isNull() & (p["attempts"] > 1)).alias("retried"), F.count_if(~named).alias("unidentified"),
+    )
+
+
+#: The order in which each page shows its rows; nulls stand first ascending and last descending.
+ORDERS = {
+    "points": ("product_id", "purchase_date", "receipt_id"),
+    "histories": ("-times_bought", "name"),
+    "categories": ("-cents",),
+    "visits": ("date", "receipt_id"),
+    "stores": ("-gap_percent", "-times_bought", "name"),
+    "receipts": ("-purchase_date", "-receipt_id"),
+    "prices": ("-price_per_display",),
+    "lines": ("line_number",),
+    "quality": ("-receipt_id",),
+    "vocabulary": ("category",),
+}
+
+
+def in_order(df: DataFrame, page: str, limit: int | None = None) -> DataFrame:
+    """``df`` as ``page`` shows it, the first ``limit`` rows if given (a top-k plan, no full sort)."""
+    keys = [F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in ORDERS[page]]
+    out = df.orderBy(*keys)
+    return out if limit is None else out.limit(limit)

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillmark.functions.scalars import strip, to_cents
+from tillmark.functions.scalars import format_cents, strip, to_cents
+from tillmark.functions.units import short_number
 
 PASS, FAIL, UNCHECKABLE = "pass", "fail", "uncheckable"
 #: Cents that a product or a tax may be off; fixed value: flags of untaxed lines.
@@ -38,8 +39,13 @@ def _verdict(uncheckable: Column, expected: Column, actual: Column, allowed: int
     return status, F.when(~uncheckable, expected).otherwise(none) if cents else none, F.when(~uncheckable, actual).otherwise(none) if cents else none
 
 
+def _text(*parts) -> Column:
+    """Pieces joined; a string stands for itself."""
+    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
 def receipt_checks(receipts: DataFrame, lines: DataFrame) -> DataFrame:
-    """Five rows for each receipt: ``receipt_id, check_name, status, expected_cents, actual_cents, delta_cents, line_number``.
+    """Five rows for each receipt: ``receipt_id, place, check_name, status, expected_cents, actual_cents, delta_cents, line_number, detail``.
 
     ``receipts`` has amounts in dollars as printed, ``lines`` the lines of all of them. A receipt
     without charged lines sums to 0.
@@ -49,17 +55,40 @@ def receipt_checks(receipts: DataFrame, lines: DataFrame) -> DataFrame:
     sub, tax, total = (to_cents(F.col(c)) for c in ("subtotal", "tax", "total"))
     nil = lambda c: F.col(c).isNull()
     owed = F.rint(zero("taxable_cents") * F.col("tax_rate_percent") / 100).cast("bigint")
-    paid = to_cents(F.col("amount_paid")) - total + zero(to_cents(F.col("rounding_adjustment")))
+    rounding = zero(to_cents(F.col("rounding_adjustment")))
+    paid = to_cents(F.col("amount_paid")) - total + rounding
+    change = F.abs(to_cents(F.col("change_given")))
     verdicts = (
         _verdict(nil("subtotal") | (zero("n_missing") > 0), sub, zero("cents"), 0),
         _verdict(nil("subtotal") | nil("total"), sub + zero(tax), total, 0),
         _verdict(nil("tax_rate_percent") | nil("tax") | (zero("n_taxable") == 0) | (zero("n_unflagged") > 0), owed, tax, PENNY),
-        _verdict(nil("amount_paid") | nil("change_given") | nil("total"), paid, F.abs(to_cents(F.col("change_given"))), 0),
+        _verdict(nil("amount_paid") | nil("change_given") | nil("total"), paid, change, 0),
         _verdict(nil("item_count_printed"), F.col("item_count_printed").cast("bigint"), zero("n"), 0, cents=False),
     )
-    rows = F.array(*(F.struct(F.lit(k).alias("place"), F.lit(name).alias("check_name"), s.alias("status"), e.cast("bigint").alias("expected_cents"), a.cast("bigint").alias("actual_cents")) for k, (name, (s, e, a)) in enumerate(zip(CHECKS, verdicts, strict=True))))
-    out = r.select("receipt_id", F.inline(rows))
-    return out.select("receipt_id", "place", "check_name", "status", "expected_cents", "actual_cents", (F.col("actual_cents") - F.col("expected_cents")).alias("delta_cents"), F.lit(None).cast("int").alias("line_number"))
+    money = format_cents
+    sums = _text(zero("n"), " items sum to ", money(zero("cents")))
+    parts = _text(money(sub), " + ", money(zero(tax)), " = ")
+    rate = _text(zero("n_taxable"), " taxable items = ", money(zero("taxable_cents")), " x ", short_number(F.col("tax_rate_percent")), "% = ")
+    given = _text("paid ", money(to_cents(F.col("amount_paid"))), " - total ", money(total), F.when(rounding != 0, _text(" (+", money(rounding), " rounding)")).otherwise(""), " = ")
+    missing = F.concat(F.lit("["), F.array_join(F.transform("missing", lambda x: x.cast("string")), ", "), F.lit("]"))
+    # why not, what agrees, what does not
+    said = (
+        (F.when(nil("subtotal"), "no subtotal printed").otherwise(_text("line(s) ", missing, " have no amount, so no sum is possible")), sums, _text(sums, " but the printed subtotal is ", money(sub), " (off by ", money(F.abs(zero("cents") - sub)), ")")),
+        (F.lit("subtotal or total not printed"), _text(parts, money(total)), _text(parts, money(sub + zero(tax)), " but the printed total is ", money(total))),
+        (
+            F.when(nil("tax_rate_percent"), "no tax rate printed").when(nil("tax"), "no tax amount printed").when(zero("n_taxable") == 0, "no line items are flagged taxable").otherwise("some lines have no tax flag printed"),
+            _text(rate, money(tax)),
+            _text(rate, money(owed), " but the printed tax is ", money(tax), " -- a tax flag or an amount is misread"),
+        ),
+        (F.when(nil("amount_paid") | nil("change_given"), "payment or change not printed").otherwise("no total printed"), _text(given, "change ", money(change)), _text(given, money(paid), " but the printed change is ", money(change))),
+        (F.lit("no item count printed"), _text("extracted ", zero("n"), " items, receipt says ", F.col("item_count_printed")), _text("extracted ", zero("n"), " items but the receipt says ", F.col("item_count_printed"), " -- a line was dropped or invented")),
+    )
+    rows = []
+    for k, (name, (status, expected, actual), (why, good, bad)) in enumerate(zip(CHECKS, verdicts, said, strict=True)):
+        detail = F.when(status == UNCHECKABLE, why).when(status == PASS, good).otherwise(bad)
+        rows.append(F.struct(F.lit(k).alias("place"), F.lit(name).alias("check_name"), status.alias("status"), expected.cast("bigint").alias("expected_cents"), actual.cast("bigint").alias("actual_cents"), detail.alias("detail")))
+    out = r.select("receipt_id", F.inline(F.array(*rows)))
+    return out.select("receipt_id", "place", "check_name", "status", "expected_cents", "actual_cents", (F.col("actual_cents") - F.col("expected_cents")).alias("delta_cents"), F.lit(None).cast("int").alias("line_number"), "detail")
 
 
 def line_checks(lines: DataFrame) -> DataFrame:
@@ -67,9 +96,13 @@ def line_checks(lines: DataFrame) -> DataFrame:
     some = lines.filter(~F.coalesce(F.col("is_voided").cast("boolean"), F.lit(False)) & F.col("quantity").isNotNull() & F.col("unit_price").isNotNull() & F.col("line_total").isNotNull())
     expected = F.rint(F.col("quantity") * F.col("unit_price") * 100).cast("bigint")
     actual = to_cents(F.col("line_total"))
+    status = F.when(F.abs(expected - actual) <= PENNY, PASS).otherwise(FAIL)
+    name = F.substring(F.coalesce("raw_description", F.lit("")), 1, 24) if "raw_description" in lines.columns else F.lit("")
+    head = _text("line ", F.col("line_number"), " (", name, "): ", short_number(F.col("quantity")), " x ", F.format_string("%.2f", F.col("unit_price")), " = ")
+    detail = F.when(status == PASS, _text(head, format_cents(actual))).otherwise(_text(head, format_cents(expected), " but the line total printed is ", format_cents(actual)))
     return some.select(
-        "receipt_id", F.lit(len(CHECKS)).alias("place"), F.lit("line_arithmetic").alias("check_name"), F.when(F.abs(expected - actual) <= PENNY, PASS).otherwise(FAIL).alias("status"),
-        expected.alias("expected_cents"), actual.alias("actual_cents"), (actual - expected).alias("delta_cents"), "line_number",
+        "receipt_id", F.lit(len(CHECKS)).alias("place"), F.lit("line_arithmetic").alias("check_name"), status.alias("status"),
+        expected.alias("expected_cents"), actual.alias("actual_cents"), (actual - expected).alias("delta_cents"), "line_number", detail.alias("detail"),
     )
 
 

@@ -86,3 +86,14 @@ def capture(spark: SparkSession, path: str) -> DataFrame:
 def write_table(df: DataFrame, root: str, table: str, mode: str = "append") -> None:
     """Rows into the Parquet table below ``root``."""
     df.write.mode(mode).parquet(f"{root}/{table}")
+
+
+def write_vocabulary(df: DataFrame, path: str) -> None:
+    """Known categories, sorted, as one JSON list; a vocabulary is a few hundred words."""
+    one = df.agg(F.array_sort(F.collect_set("category")).alias("v")).select(F.to_json("v").alias("value"))
+    one.write.mode("overwrite").text(path)
+
+
+def write_catalog(df: DataFrame, path: str) -> None:
+    """The catalog as Parquet, in place of what was there."""
+    df.write.mode("overwrite").parquet(path)
