@@ -228,3 +228,17 @@ def test_receipt_state(spark):
     c = spark.createDataFrame([(1, "pass"), (1, "uncheckable"), (1, "fail")], "receipt_id long, status string")
     li = spark.createDataFrame([(1, 0, None), (1, 1, None), (2, 0, "p")], "receipt_id long, is_voided int, product_id string")
     assert sorted(map(tuple, pages.receipt_state(c, li).collect())) == [(1, 1, 2, 1), (2, 0, 0, 0)]
+
+
+def test_page_is_found_and_straightened(spark):
+    y, x = np.mgrid[0:300, 0:400]
+    page = (np.abs((x - 200) * 0.9553 + (y - 150) * 0.2955) < 110) & (np.abs(-(x - 200) * 0.2955 + (y - 150) * 0.9553) < 80)
+    photo = np.where(page, 230, 20).astype(np.uint8)
+    corners = images.find_corners(photo)
+    turn = np.array([[0.9553, -0.2955], [0.2955, 0.9553]])
+    true = np.array([[200, 150]]) + np.array([[-110, -80], [110, -80], [110, 80], [-110, 80]]) @ turn.T
+    assert np.abs(corners - images.order_corners(true)).max() < 5
+    assert images.find_corners(np.full((200, 200), 128, np.uint8)) is None
+    df = spark.createDataFrame([("a", 300, 400, 3, np.repeat(photo[..., None], 3, 2).tobytes()), ("b", 20, 20, 3, bytes(1200))], "path string, height int, width int, n_channels int, data binary")
+    got = {r["path"]: r for r in images.preprocess(df).collect()}
+    assert got["a"]["deskewed"] and abs(got["a"]["width"] - 220) < 8 and abs(got["a"]["height"] - 160) < 8 and not got["b"]["deskewed"] and got["b"]["width"] == 20
