@@ -137,7 +137,7 @@ def with_next(df: DataFrame, part_rows: int = 4096, max_parts: int = 10_000) ->
     n = base.count()
     parts = max(1, min(max_parts, n // part_rows))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    cuts = sorted(set(base.select(key.alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts))) if n and parts > 1 else []
+    cuts = sorted(set(base.select(key.alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], max(1e-4, 0.2 / parts)))) if n and parts > 1 else []
     part = F.expr(f"size(filter(array({', '.join(f'{int(c)}L' for c in cuts)}), c -> c <= coalesce(cast(doc_id as long), -9223372036854775808L)))") if cuts else F.lit(0)
     base = base.withColumn("part", part.cast("int"))
     first = sorted((r["part"], r["k"]) for r in base.groupBy("part").agg(F.min(key).alias("k")).collect())

@@ -147,7 +147,7 @@ class Shard:
 
 
 def _pack(df: DataFrame, shard_bytes: int) -> DataFrame:
-    """Rows ``shard_id, blob, docs(digest, low, high)`` of about ``shard_bytes`` of text each: smallest and largest id of each distinct text."""
+    """Rows ``shard_id, size, blob, docs(digest, low, high)`` of about ``shard_bytes`` of text each: smallest and largest id of each distinct text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -165,7 +165,7 @@ def _pack(df: DataFrame, shard_bytes: int) -> DataFrame:
                 low, high = span.get(d, (i, i))
                 span[d] = min(low, i), max(high, i)
             docs = pa.array([[{"digest": d, "low": a, "high": b} for d, (a, b) in span.items()]], pa.list_(pa.struct([("digest", pa.binary()), ("low", pa.int64()), ("high", pa.int64())])))
-            out = pa.RecordBatch.from_arrays([pa.array([(task << 32) + made], pa.int64()), pa.array([blob], pa.binary()), docs], names=["shard_id", "blob", "docs"])
+            out = pa.RecordBatch.from_arrays([pa.array([(task << 32) + made], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary()), docs], names=["shard_id", "size", "blob", "docs"])
             made, held, size = made + 1, [], 0
             return out
 
@@ -183,7 +183,7 @@ def _pack(df: DataFrame, shard_bytes: int) -> DataFrame:
         if held:
             yield shard()
 
-    return arrow_map(df, run, "shard_id long, blob binary, docs array<struct<digest: binary, low: long, high: long>>")
+    return arrow_map(df, run, "shard_id long, size long, blob binary, docs array<struct<digest: binary, low: long, high: long>>")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -337,7 +337,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, clean: bool = False, sha
     first = docs.groupBy("digest").agg(F.min("low").alias("first"))
     later = docs.join(first, "digest").filter("high > first").groupBy("shard_id").agg(F.collect_list(F.struct("digest", "first")).alias("later"))
     later, _ = written(later, "later")
-    size = df.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    size = shards.agg(F.sum("size")).head()[0] or 0
     buckets = int(max(1, min(MOST_BUCKETS, size // bucket_bytes)))
     packed = shards.select("shard_id", "blob").join(later, "shard_id", "left")
 
