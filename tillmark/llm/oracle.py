@@ -11,6 +11,45 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+def _crc_table() -> list[int]:
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def _crc32(hexed: str) -> str:
+    """CRC-32 of bytes given as a string of hex digits."""
+    octets = f"list_transform(range(0, length({hexed}) // 2), lambda i: cast('0x' || substr({hexed}, 2 * i + 1, 2) as bigint))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP3 = f"""
+with recursive tables as (select [{", ".join(f"cast({c} as bigint)" for c in _crc_table())}] as tab),
+d as (select doc_id, text, hex(encode(coalesce(text, ''))) as h, hex(encode(cast(doc_id as varchar))) as ih, coalesce(md5(text), repeat('0', 32)) as key from documents),
+r as (select doc_id, key, length(h) // 2 + 1 as size, {_crc32("h")} as text_crc32, case when doc_id is null then 0 else {_crc32("ih")} % 1024 end as cell from d, tables),
+g as (select key, cast(sum(size) as bigint) as size from r group by key),
+o as (select key, size, row_number() over (order by size desc, key) as k, cast(sum(size) over () - coalesce(sum(size) over (order by size desc, key rows between unbounded preceding and 1 preceding), 0) as bigint) as rest from g),
+m as (select coalesce(min(k) filter (k > 15 or size <= rest / (17 - k)), (select count(*) + 1 from g)) - 1 as n_own from o),
+own as (select key, k - 1 as shard from o, m where k <= n_own),
+s as (select list(size order by key) as sizes, cast(coalesce(sum(size), 0) as bigint) as total from g where key not in (select key from own)),
+b as (
+  select cast(greatest(1, ceil(total / (16 - n_own))) as bigint) as lo, total as hi, 0 as step from s, m
+  union all
+  select case when fits then lo else mid + 1 end, case when fits then mid else hi end, step + 1
+  from (select lo, hi, step, mid, list_max(sizes) <= mid and (list_reduce(list_prepend(cast(0 as bigint), sizes), lambda a, x: case when (a & 1099511627775) + x > mid then ((a >> 40) + 1) * 1099511627776 + x else a + x end) >> 40) + 1 <= 16 - n_own as fits
+    from (select lo, hi, step, (lo + hi) // 2 as mid from b where lo < hi), s, m)),
+c as (select lo as capacity from b where lo >= hi limit 1),
+n as (select key, size, row_number() over (order by key) as i from g where key not in (select key from own)),
+w as (
+  select i, key, size as used, cast(0 as bigint) as run from n where i = 1
+  union all
+  select n.i, n.key, case when w.used + n.size > capacity then n.size else w.used + n.size end, case when w.used + n.size > capacity then w.run + 1 else w.run end from w join n on n.i = w.i + 1, c),
+z as (select key, shard from own union all select key, run + n_own from w, m)
+select doc_id, size, text_crc32, 'bytes' as law, cast(shard as int) as shard, row_number() over (partition by shard order by cell, doc_id nulls first, key) - 1 as slot, cast(null as int) as grown_shard from r join z using (key)"""
+
 OP5 = f"""
 with dw as (select doc_id, regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
 bw as (select item_id, regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
@@ -104,4 +143,4 @@ select page_id, k.host, path, rule, coalesce(said, case when rejected then 'bloc
 from k join t on t.host = k.host and t.segs = k.segs join v on v.host = t.host and v.node = t.node"""
 
 
-ORACLE = {"op4_license_scan": OP4, "op5_fm_decontaminate": OP5, "op6_chat_windows": OP6, "op7_induced_suffix_dedup": OP7, "op8_url_templates": _op8()}
+ORACLE = {"op3_minimax_shards": OP3, "op4_license_scan": OP4, "op5_fm_decontaminate": OP5, "op6_chat_windows": OP6, "op7_induced_suffix_dedup": OP7, "op8_url_templates": _op8()}

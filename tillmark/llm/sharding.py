@@ -146,7 +146,7 @@ def shard_rows(df: DataFrame, n_shards: int = 16, text: str = "text", id_col: st
         shard = F.when(F.col("key") >= cut, len(own) + 1 + k).otherwise(shard)
     for key, k in own.items():
         shard = F.when(F.col("key") == key, k).otherwise(shard)
-    cells = rows.withColumn("shard", shard.cast("int")).withColumn("cell", F.pmod(F.xxhash64(F.col("id")), F.lit(salts)).cast("int"))
+    cells = rows.withColumn("shard", shard.cast("int")).withColumn("cell", (F.coalesce(F.crc32(F.encode(F.col("id").cast("string"), "UTF-8")), F.lit(0)) % salts).cast("int"))
     counts = sorted(tuple(r) for r in cells.groupBy("shard", "cell").count().collect())  # n_shards x salts rows at most
     begins, at, of = [], 0, None
     for s, c, n in counts:
