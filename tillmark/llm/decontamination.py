@@ -24,7 +24,7 @@ from tillmark.llm.common import arrow_map
 from tillmark.llm.fm_index import FMIndex
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 #: Documents are concatenated up to so many bytes for one shard.
 SHARD_BYTES = 4 << 20
 
