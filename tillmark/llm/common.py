@@ -124,19 +124,22 @@ def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataF
     """Connected components of ``edges(a, b)`` of longs by alternating large-star and small-star rounds.
 
     Returns ``node, root`` for every node that has an edge; ``root`` is the
-    smallest node id reachable. Hubs are pre-aggregated before they are joined,
+    smallest node id reachable. Hubs are pre-aggregated and joined by broadcast,
     each round is written to the shared folder, and nothing is collected but
     a count and a checksum.
     """
     spark = edges.sparkSession
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, total: int) -> DataFrame:
         if large:
             both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             both = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        joined = both.join(low, "a")
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+        # hubs are fewer than HEAVY; their edges stay where they are
+        is_hub = F.col("n") * HEAVY > (2 * total if large else total)
+        hubs = F.broadcast(low.filter(is_hub).select("a", "m"))
+        joined = both.join(hubs, "a").unionByName(both.join(hubs.select("a"), "a", "left_anti").join(low.filter(~is_hub).select("a", "m"), "a"))
         if large:
             out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -149,7 +152,7 @@ def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataF
     for _ in range(max_rounds):
         if not before[0]:
             break
-        after, new_at = written(star(star(now, True), False), tag)
+        after, new_at = written(star(star(now, True, before[0]), False, before[0]), tag)
         drop_path(spark, at)
         now, at, seen = after, new_at, sign(after)
         if seen == before:
