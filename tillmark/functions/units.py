@@ -54,7 +54,8 @@ def normalize_line(size_value: Column, size_unit: Column, pack_count: Column, is
     """Struct of dimension, base_unit, base_quantity, price_per_base, basis, inferred_unit, note, display_unit, price_per_display.
 
     Weighed lines are priced by their printed unit (pounds if none), others by the size
-    in their description; where there is nothing to divide by, the price is null and ``note`` says why.
+    in their description; where there is nothing to divide by, the price is null and ``note`` says why
+    (the notes are fixed values).
     """
     weighed = looks_weighed(quantity)
     is_capacity = F.coalesce(is_capacity, F.lit(False))

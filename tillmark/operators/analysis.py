@@ -133,6 +133,7 @@ def summary(shoppers: DataFrame, receipts: DataFrame, history: DataFrame) -> Dat
     )
 
 
+#: What each hint is about, what it takes (None: depends on the shopper), and why.
 HINTS = (
     ("Whether prices are going up or down", None, "A price needs readings on two separate days before it can be said to have moved."),
     ("Which store is cheaper for what you actually buy", "Buy the same item at a second store", "Comparing whole baskets mostly measures what you bought, not what things cost."),

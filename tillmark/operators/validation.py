@@ -71,7 +71,7 @@ def receipt_checks(receipts: DataFrame, lines: DataFrame) -> DataFrame:
     rate = _text(zero("n_taxable"), " taxable items = ", money(zero("taxable_cents")), " x ", short_number(F.col("tax_rate_percent")), "% = ")
     given = _text("paid ", money(to_cents(F.col("amount_paid"))), " - total ", money(total), F.when(rounding != 0, _text(" (+", money(rounding), " rounding)")).otherwise(""), " = ")
     missing = F.concat(F.lit("["), F.array_join(F.transform("missing", lambda x: x.cast("string")), ", "), F.lit("]"))
-    # why not, what agrees, what does not
+    # fixed values: what a page says of a check that cannot run, that agrees, that does not
     said = (
         (F.when(nil("subtotal"), "no subtotal printed").otherwise(_text("line(s) ", missing, " have no amount, so no sum is possible")), sums, _text(sums, " but the printed subtotal is ", money(sub), " (off by ", money(F.abs(zero("cents") - sub)), ")")),
         (F.lit("subtotal or total not printed"), _text(parts, money(total)), _text(parts, money(sub + zero(tax)), " but the printed total is ", money(total))),
