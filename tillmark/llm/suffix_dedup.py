@@ -116,8 +116,10 @@ class Shard:
         self.batch = pa.ipc.open_stream(zstandard.decompress(blob)).read_next_batch()
         self.texts = [x or b"" for x in self.batch.column("text").cast(pa.binary()).to_pylist()]
         self.ids = np.array([FIRST_ID if x is None else x for x in self.batch.column("doc_id").to_pylist()], np.int64)
-        first_of = {x["digest"]: x["first"] for x in later or []}
-        self.later = np.array([bool(first_of) and first_of.get(_digest(t), i) < i for t, i in zip(self.texts, self.ids.tolist(), strict=True)], bool)
+        first_of = {x["k"]: x["first"] for x in later or []}
+        number: dict[bytes, int] = {}  # distinct texts as _pack lists them
+        kinds = [number.setdefault(_digest(t), len(number)) for t in self.texts] if first_of else [0] * len(self.texts)
+        self.later = np.array([first_of.get(k, i) < i for k, i in zip(kinds, self.ids.tolist(), strict=True)], bool)
         self.first = np.flatnonzero(~self.later)
         self.data = np.frombuffer(b"".join(self.texts[i] for i in self.first), np.uint8)
         self.ends = np.cumsum([len(self.texts[i]) for i in self.first]).astype(np.int64)
@@ -158,7 +160,7 @@ def _pack(df: DataFrame, shard_bytes: int) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema) as w:
                 w.write_batch(batch)
-            blob = zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
+            blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
             span: dict[bytes, tuple[int, int]] = {}
             for x, i in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
                 d, i = _digest(x or b""), FIRST_ID if i is None else i
@@ -333,9 +335,10 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, clean: bool = False, sha
     """
     base = df if clean else df.select("doc_id", "text")
     shards, _ = written(_pack(base, shard_bytes), "shards")
-    docs = shards.selectExpr("shard_id", "inline(docs)")  # a row for each shard that has a text, however often
+    # a row for each shard that has a text, however often; back goes its place in the shard's list
+    docs = shards.selectExpr("shard_id", "posexplode(docs) as (k, d)").selectExpr("shard_id", "k", "d.*")
     first = docs.groupBy("digest").agg(F.min("low").alias("first"))
-    later = docs.join(first, "digest").filter("high > first").groupBy("shard_id").agg(F.collect_list(F.struct("digest", "first")).alias("later"))
+    later = docs.join(first, "digest").filter("high > first").groupBy("shard_id").agg(F.collect_list(F.struct("k", "first")).alias("later"))
     later, _ = written(later, "later")
     size = shards.agg(F.sum("size")).head()[0] or 0
     buckets = int(max(1, min(MOST_BUCKETS, size // bucket_bytes)))
