@@ -6,7 +6,8 @@ that later passes read and join as they are. Then:
 
 1. Every window of ``length`` bytes names an anchor, the least hash of the 20-byte
    strings in it, so equal windows name equal anchors. Anchors are counted over
-   all shards; those of one document only are done with.
+   all shards, which list each of their texts once; those of one document only
+   are done with.
 2. Each shard sends the text around the other anchors, once for each distinct
    piece, with the smallest id that has it, to the bucket of the anchor.
 3. A bucket's pieces form one string, but for those whose anchor no other distinct
@@ -16,7 +17,7 @@ that later passes read and join as they are. Then:
 4. What the bucket found returns to the shards, which cut.
 
 Copies of a whole text beyond the first are told by a digest and take no part in
-1 to 3: they are removed whole. A shard sends at most one piece of a kind, so no
+2 and 3: they are removed whole. A shard sends at most one piece of a kind, so no
 bucket grows with the number of documents that share a passage.
 """
 
@@ -112,14 +113,18 @@ def _digest(text: bytes) -> bytes:
 class Shard:
     """One packed row: a record batch, its texts end to end, and which documents are first of their text."""
 
-    def __init__(self, blob: bytes, later: list[dict] | None) -> None:
+    def __init__(self, blob: bytes, later: list[dict] | None, fold: bool = False) -> None:
         self.batch = pa.ipc.open_stream(zstandard.decompress(blob)).read_next_batch()
         self.texts = [x or b"" for x in self.batch.column("text").cast(pa.binary()).to_pylist()]
         self.ids = np.array([FIRST_ID if x is None else x for x in self.batch.column("doc_id").to_pylist()], np.int64)
         first_of = {x["k"]: x["first"] for x in later or []}
         number: dict[bytes, int] = {}  # distinct texts as _pack lists them
-        kinds = [number.setdefault(_digest(t), len(number)) for t in self.texts] if first_of else [0] * len(self.texts)
-        self.later = np.array([first_of.get(k, i) < i for k, i in zip(kinds, self.ids.tolist(), strict=True)], bool)
+        kinds = [number.setdefault(_digest(t), len(number)) for t in self.texts] if first_of or fold else [0] * len(self.texts)
+        if fold:  # one of each text of this shard, whatever other shards have
+            self.later = np.ones(len(kinds), bool)
+            self.later[np.unique(kinds, return_index=True)[1]] = False
+        else:
+            self.later = np.array([first_of.get(k, i) < i for k, i in zip(kinds, self.ids.tolist(), strict=True)], bool)
         self.first = np.flatnonzero(~self.later)
         self.data = np.frombuffer(b"".join(self.texts[i] for i in self.first), np.uint8)
         self.ends = np.cumsum([len(self.texts[i]) for i in self.first]).astype(np.int64)
@@ -346,7 +351,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, clean: bool = False, sha
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
-            shard = Shard(r["blob"], r["later"])
+            shard = Shard(r["blob"], None, fold=True)
             begin, _, h = anchors(shard.data, shard.ends, length)
             doc = np.searchsorted(shard.ends, begin, side="right")
             h >>= np.uint64(1)
@@ -362,7 +367,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, clean: bool = False, sha
             blobs = [keys[x:y].tobytes() for x, y in zip(edge, np.append(edge, len(b))[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(b[edge], pa.int32()), pa.array([r["shard_id"]] * len(edge), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "shard_id", "keys"])
 
-    counted = arrow_map(packed, send_anchors, "bucket int, shard_id long, keys binary").repartition("bucket").sortWithinPartitions("bucket")
+    counted = arrow_map(shards.select("shard_id", "blob"), send_anchors, "bucket int, shard_id long, keys binary").repartition("bucket").sortWithinPartitions("bucket")
     repeated, _ = written(arrow_map(counted, _count_anchors, "shard_id long, anchors binary"), "anchors")
     free_shuffles(df.sparkSession)
     repeated = repeated.groupBy("shard_id").agg(F.collect_list("anchors").alias("anchors"))
