@@ -42,9 +42,12 @@ from tillmark.llm.induced_sort import new_map, suffix_order
 LENGTH = 50
 GRAM = 20
 #: Bytes of text in a shard, and of all text for each bucket.
-SHARD_BYTES, BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 8 << 20, 50_000
+SHARD_BYTES, BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 16 << 20, 50_000
 FIRST_ID = -(1 << 63)
 
+#: Bits of a hash that an anchor's number leaves out: with its flag it takes six bytes. Strangers with one number only make more pieces.
+_SHIFT = np.uint64(17)
+
 _CHUNK = 1 << 19
 _VALUE = np.array([int.from_bytes(hashlib.blake2b(bytes([b]), digest_size=8, salt=b"anchor").digest(), "little") for b in range(256)], np.uint64)
 _BASE = 0xD1342543DE82EF95
@@ -133,8 +136,8 @@ class Shard:
         """Distinct pieces, their anchors and smallest ids, and of each run its piece, first window and number of windows."""
         begin, n, h = anchors(self.data, self.ends, length)
         if len(repeated) and len(h):
-            k = np.minimum(np.searchsorted(repeated, h >> np.uint64(1)), len(repeated) - 1)
-            keep = repeated[k] == h >> np.uint64(1)
+            k = np.minimum(np.searchsorted(repeated, h >> _SHIFT), len(repeated) - 1)
+            keep = repeated[k] == h >> _SHIFT
         else:
             keep = np.zeros(len(h), bool)
         begin, n, h = begin[keep], n[keep], h[keep]
@@ -142,7 +145,7 @@ class Shard:
         ids = self.ids[self.first[doc]] if len(doc) else np.empty(0, np.int64)
         raw, number, of = self.data.tobytes(), {}, np.empty(len(begin), np.int64)
         lowest, anchor = [], []
-        for j, (a, w, i, b) in enumerate(zip(begin.tolist(), n.tolist(), ids.tolist(), (h >> np.uint64(1)).tolist(), strict=True)):
+        for j, (a, w, i, b) in enumerate(zip(begin.tolist(), n.tolist(), ids.tolist(), (h >> _SHIFT).tolist(), strict=True)):
             piece = raw[a : a + w + length - 1]
             k = of[j] = number.setdefault(piece, len(number))
             if k == len(lowest):
@@ -211,10 +214,21 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[di
         yield now, group
 
 
+def _six(keys: np.ndarray) -> bytes:
+    """Numbers below 2 ** 48 in six bytes each."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64)[:, 0]
+
+
 def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From each bucket to each of its shards: the anchors that two documents or more have."""
     for _, group in _by_bucket(batches):
-        parts = [np.frombuffer(r["keys"], np.uint64) for r in group]
+        parts = [_from_six(r["keys"]) for r in group]
         keys = np.sort(np.concatenate(parts))  # an anchor, and as last bit whether its shard has it twice
         h = keys >> np.uint64(1)
         new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
@@ -230,8 +244,8 @@ def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _payload(ks: list[int], pieces: list[bytes], anchor: list[int], lowest: list[int]) -> bytes:
-    n, ids, own = np.array([len(pieces[k]) for k in ks], np.int32), np.array([lowest[k] for k in ks], np.int64), np.array([anchor[k] for k in ks], np.int64)
-    return zstandard.compress(struct.pack("<q", len(ks)) + n.tobytes() + ids.tobytes() + own.tobytes() + b"".join(pieces[k] for k in ks), 1)
+    n, ids, own = np.array([len(pieces[k]) for k in ks], np.int32), np.array([lowest[k] for k in ks], np.int64), np.array([anchor[k] & 0x7FFFFFFF for k in ks], np.int32)
+    return zstandard.compress(struct.pack("<q", len(ks)) + n.tobytes() + ids.tobytes() + own.tobytes() + b"".join(pieces[k] for k in ks), 3)
 
 
 def _by_bucket_of(anchor: list[int], buckets: int) -> dict[int, list[int]]:
@@ -254,8 +268,8 @@ def _sort_bucket(length: int):
                 (m,) = struct.unpack_from("<q", raw)
                 n = np.frombuffer(raw, np.int32, m, 8).tolist()
                 ids = np.frombuffer(raw, np.int64, m, 8 + 4 * m).tolist()
-                hashes = np.frombuffer(raw, np.int64, m, 8 + 12 * m).tolist()
-                at, own = 8 + 20 * m, []
+                hashes = np.frombuffer(raw, np.int32, m, 8 + 12 * m).tolist()
+                at, own = 8 + 16 * m, []
                 for w, i, h in zip(n, ids, hashes, strict=True):
                     piece = raw[at : at + w]
                     at += w
@@ -354,7 +368,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, clean: bool = False, sha
             shard = Shard(r["blob"], None, fold=True)
             begin, _, h = anchors(shard.data, shard.ends, length)
             doc = np.searchsorted(shard.ends, begin, side="right")
-            h >>= np.uint64(1)
+            h >>= _SHIFT
             order = np.lexsort((doc, h))
             h, doc = h[order], doc[order]
             new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
@@ -364,7 +378,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, clean: bool = False, sha
             order = np.argsort(b, kind="stable")
             b, keys = b[order], keys[order]
             edge = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.empty(0, np.int64)
-            blobs = [keys[x:y].tobytes() for x, y in zip(edge, np.append(edge, len(b))[1:], strict=True)]
+            blobs = [_six(keys[x:y]) for x, y in zip(edge, np.append(edge, len(b))[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(b[edge], pa.int32()), pa.array([r["shard_id"]] * len(edge), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "shard_id", "keys"])
 
     counted = arrow_map(shards.select("shard_id", "blob"), send_anchors, "bucket int, shard_id long, keys binary").repartition("bucket").sortWithinPartitions("bucket")
