@@ -81,6 +81,35 @@ def test_keep_one_catches_near_copies_and_leaves_others(spark):
         assert any(jaccard(text[d], text[o]) > 0.4 for o in text if o != d)
 
 
+def edited_pairs(rng, n=60):
+    """Pairs by shape of edit: contiguous ones and short texts, mostly a little over 0.8."""
+    words = [f"w{k}" for k in range(2000)]
+    text = lambda n: rng.choices(words, k=n)
+    shapes = {
+        "last of 15": lambda: (w := text(15), w[:-1] + text(1)),
+        "one word less of 9": lambda: (w := text(9), w[:-1]),
+        "cut by 15 %": lambda: (w := text(150), w[:128]),
+        "appended": lambda: (w := text(120), w + text(27)),
+        "phrase replaced": lambda: (w := text(100), w[:40] + text(6) + w[46:]),
+        "cut at both ends": lambda: (w := text(60), w[5:-5]),
+        "scattered": lambda: (w := text(200), [*w[:40], *text(1), *w[41:90], *text(1), *w[91:150], *text(1), *w[151:]]),
+    }
+    return {name: [tuple(" ".join(x) for x in make()) for _ in range(n)] for name, make in shapes.items()}
+
+
+def test_keep_one_finds_every_shape_of_edit(spark):
+    import random
+
+    pairs = [(name, *p) for name, some in edited_pairs(random.Random(6)).items() for p in some]
+    assert all(jaccard(a, b) >= 0.8 for _, a, b in pairs)
+    rows = [(2 * k + j, t, "en", "s", len(t)) for k, p in enumerate(pairs) for j, t in enumerate(p[1:])]
+    kept = {r["doc_id"] for r in sg.keep_one(cases.documents(spark, rows)).collect()}
+    for name in dict.fromkeys(p[0] for p in pairs):
+        both = [{2 * k, 2 * k + 1} <= kept for k, p in enumerate(pairs) if p[0] == name]
+        assert sum(both) <= 1, (name, sum(both), len(both))
+    assert all(2 * k in kept for k in range(len(pairs)))
+
+
 def test_keep_one_on_odd_rows(spark):
     rows = cases.odd_rows()
     out = sg.keep_one(cases.documents(spark, rows)).collect()

@@ -12,6 +12,8 @@ spanning forest of its links, never its pairs.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,7 +108,13 @@ class GrayTree:
         if len(close):
             a = np.concatenate([np.arange(leaves[0][k], leaves[0][k + 1] - 1) for k in close]).astype(np.int64)
             labels = join_labels(labels, a, a + 1)
-        root_of = np.repeat(np.arange(len(self.levels[-1][0]) - 1), np.diff(self._members()))
+        members = self._members()
+        root_of = np.repeat(np.arange(len(self.levels[-1][0]) - 1), np.diff(members))
+        if also is not None:  # neighbours first: a large group of near copies is then one label, and left out below
+            for k in (1, 2):
+                a = np.flatnonzero((root_of[k:] == root_of[:-k]) & (np.bitwise_count(x[k:] ^ x[:-k]) <= radius))
+                labels = join_labels(labels, (a := a[also(a, a + k)]), a + k)
+        spans = self._label_spans(labels) if also is not None else None
         todo = [(i, min(i + 20_000, len(x))) for i in range(0, len(x), 20_000)]
         while todo:
             lo, hi = todo.pop()
@@ -114,6 +122,8 @@ class GrayTree:
             node = root_of[lo:hi]
             acc = np.bitwise_count((x[q] ^ self.levels[-1][1][node]) & self.levels[-1][2][node]).astype(np.int16)
             ok = self.levels[-1][3][node] > q
+            if spans is not None:
+                ok &= (spans[-1][0][node] != labels[q]) | (spans[-1][1][node] != labels[q])
             q, node, acc = q[ok], node[ok], acc[ok]
             pairs_a, pairs_b = [], []
             for depth in range(len(self.levels) - 1, -1, -1):
@@ -134,6 +144,8 @@ class GrayTree:
                     _, pattern, own, end = self.levels[depth - 1]
                     acc = acc + np.bitwise_count((x[q] ^ pattern[below]) & own[below] & ~above)
                     ok = (acc <= radius) & (end[below] > q)
+                    if spans is not None:
+                        ok &= (spans[depth - 1][0][below] != labels[q]) | (spans[depth - 1][1][below] != labels[q])
                 else:
                     ok = (below > q) & (np.bitwise_count(x[q] ^ x[below]) <= radius)
                     if also is not None:
@@ -146,8 +158,18 @@ class GrayTree:
                 todo += [(lo, mid), (mid, hi)]
                 continue
             labels = join_labels(labels, np.concatenate([*pairs_a, q]), np.concatenate([*pairs_b, node]))
+            if spans is not None and len(q):
+                spans = self._label_spans(labels)
         return labels
 
+    def _label_spans(self, labels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Least and greatest label below each node, by level."""
+        out, low, high = [], labels, labels
+        for child, *_ in self.levels:
+            low, high = np.minimum.reduceat(low, child[:-1]), np.maximum.reduceat(high, child[:-1])
+            out.append((low, high))
+        return out
+
     def _members(self) -> np.ndarray:
         at = np.arange(len(self.levels[-1][0]))
         for child, *_ in reversed(self.levels):
@@ -232,13 +254,16 @@ def near_links(fps: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
     return arrow_map(keyed.repartition("key"), _forest, "a long, b long")
 
 
-#: Fingerprints of distinct words that lead to a pair, bits of its five-word shingles that settle it, and how many of those may differ.
-LEADS, CHECK_BITS, CHECK_APART = 8, 128, 26
+#: Words of a shingle, and fingerprints over distinct shingles that lead to a pair. At Jaccard 0.8 two sets have a cosine of 8/9 at least, whatever
+#: the edit, and bits differ by 0.152 at most: one of the 4 * LEADS blocks of 16 bits agrees with a chance of 1 - (1 - 0.848 ** 16) ** 80 = 0.997.
+SHINGLE, LEADS = 5, 20
+#: Bits of 64 and of ``CHECK_BITS`` further ones that may differ in a candidate: 3.5 deviations above their means at Jaccard 0.8.
+LEAD_APART, CHECK_BITS, CHECK_APART = 16, 128, 34
 
 
-def sketches(texts: list[bytes], shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """``LEADS`` fingerprints over distinct words and two over distinct shingles, for each text."""
-    leads, checks = [np.empty((0, LEADS), np.uint64)], [np.empty((0, CHECK_BITS // 64), np.uint64)]
+def sketches(texts: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """``LEADS`` fingerprints over distinct shingles, two further ones, and the sorted distinct shingles (five bytes each), for each text."""
+    leads, checks, sets = [np.empty((0, LEADS), np.uint64)], [np.empty((0, CHECK_BITS // 64), np.uint64)], []
     at = 0
     while at < len(texts):
         to, size = at, 0
@@ -246,8 +271,6 @@ def sketches(texts: list[bytes], shingle: int = 5) -> tuple[np.ndarray, np.ndarr
             size += len(texts[to]) + 1
             to += 1
         word, first = fingerprints.words(texts[at:to])
-        terms, _, runs = fingerprints.distinct_terms(word, first)
-        leads.append(np.stack([fingerprints.vote(terms, None, runs, 1 + k) for k in range(LEADS)], 1))
         n = np.diff(first)
         whole = np.maximum(1, n - shingle + 1) * (n > 0)  # shingles of each text
         ends = np.concatenate(([0], np.cumsum(whole)))
@@ -258,9 +281,25 @@ def sketches(texts: list[bytes], shingle: int = 5) -> tuple[np.ndarray, np.ndarr
             inside = begin + j < stop
             joint = np.where(inside, fingerprints._mixed(joint * np.uint64(3) + np.where(inside, word[np.minimum(begin + j, len(word) - 1)] if len(word) else 0, 0)), joint)
         terms, _, runs = fingerprints.distinct_terms(joint, ends)
+        leads.append(np.stack([fingerprints.vote(terms, None, runs, 1 + k) for k in range(LEADS)], 1))
         checks.append(np.stack([fingerprints.vote(terms, None, runs, 101 + k) for k in range(CHECK_BITS // 64)], 1))
+        packed = np.ascontiguousarray(terms.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+        sets += [packed[5 * lo : 5 * hi] for lo, hi in zip(runs[:-1].tolist(), runs[1:].tolist(), strict=True)]
         at = to
-    return np.concatenate(leads), np.concatenate(checks)
+    return np.concatenate(leads), np.concatenate(checks), sets
+
+
+#: Sets of so few shingles differ in one at Jaccard 0.8, where ties make bits err more; what is left without each one leads to those pairs.
+ONE_OFF = (4, 9)
+
+
+def one_off(shingles: bytes) -> list[int]:
+    """Of a small set a digest that removing a shingle changes to one that the set without it has: its own, and those without each."""
+    if not ONE_OFF[0] <= len(shingles) // 5 <= ONE_OFF[1]:
+        return []
+    terms = [int.from_bytes(shingles[k : k + 5], "little") for k in range(0, len(shingles), 5)]
+    whole = functools.reduce(operator.xor, terms)
+    return [whole, *(whole ^ t for t in terms)]
 
 
 def _checked_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,33 +309,36 @@ def _checked_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     column = lambda c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held])
     key, fp, node = column("key"), column("fp").view(np.uint64), column("node")
     check = np.stack([column("c0").view(np.uint64), column("c1").view(np.uint64)], 1)
-    a, b = group_links(key, fp, RADIUS, check, CHECK_APART)
+    a, b = group_links(key, fp, LEAD_APART, check, CHECK_APART)
     yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one row of each group of near copies: the one with the smallest id (null stands first).
 
-    A pair whose five-word shingles are alike to 0.8 or more shares nearly all its words,
-    so one of several fingerprints over distinct words comes within three bits with near
-    certainty; it links if 128 further bits of its shingles agree as far as such likeness
-    makes them. Texts without words are copies of each other, of rows that agree in id and
-    text one stays, an empty table gives no rows; ``df``'s columns come back as they are.
+    Near copies are pairs whose sets of five-word shingles have a Jaccard index of 0.8 or
+    more, and what such pairs join. Fingerprints over the shingles lead to candidates, with
+    a chance that depends on the Jaccard index and not on the shape of the edit. Texts
+    without words are copies of each other, of rows that agree in id and text one stays,
+    an empty table gives no rows; ``df``'s columns come back as they are.
     """
     id_type = dict(df.dtypes)[id_col]
 
     def run(b: pa.RecordBatch) -> dict:
-        leads, checks = sketches(raw_texts(b, "text"))
-        node = [int.from_bytes(xxhash.xxh3_64_digest(x.tobytes() + y.tobytes()), "little", signed=True) for x, y in zip(leads, checks, strict=True)]
-        return {"id": b.column("id"), "node": node, "leads": list(leads.view(np.int64)), "c0": checks[:, 0].view(np.int64), "c1": checks[:, 1].view(np.int64)}
+        leads, checks, sets = sketches(raw_texts(b, "text"))
+        node = [int.from_bytes(xxhash.xxh3_64_digest(x), "little", signed=True) for x in sets]
+        return {"id": b.column("id"), "node": node, "leads": list(leads.view(np.int64)), "c0": checks[:, 0].view(np.int64), "c1": checks[:, 1].view(np.int64), "shingles": sets, "few": [one_off(x) for x in sets]}
 
-    rows, _ = written(map_arrow(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run, f"id {id_type}, node long, leads array<long>, c0 long, c1 long"), "sketches")
-    nodes = rows.groupBy("node").agg(F.first("leads").alias("leads"), F.first("c0").alias("c0"), F.first("c1").alias("c1"))
+    rows, _ = written(map_arrow(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), run, f"id {id_type}, node long, leads array<long>, c0 long, c1 long, shingles binary, few array<long>"), "sketches")
+    nodes = rows.groupBy("node").agg(F.first("leads").alias("leads"), F.first("c0").alias("c0"), F.first("c1").alias("c1"), F.first("few").alias("few"))
     nodes, _ = written(nodes, "nodes")
     led = nodes.selectExpr("node", "c0", "c1", "posexplode(leads) as (lead, fp)")
     led = led.selectExpr("node", "c0", "c1", "lead", "fp", f"explode(sequence(0, {BLOCKS - 1})) as t")
-    keyed = led.selectExpr("node", "c0", "c1", "fp", f"(cast(lead * {BLOCKS} + t as long) << 32) | (shiftrightunsigned(fp, t * {WIDTH}) & {(1 << WIDTH) - 1}L) as key")
+    turned = f"case when t = 0 then fp else shiftrightunsigned(fp, t * {WIDTH}) | shiftleft(fp, 64 - t * {WIDTH}) end as fp"
+    keyed = led.selectExpr("node", "c0", "c1", turned, f"(cast(lead * {BLOCKS} + t as long) << 32) | (shiftrightunsigned(fp, t * {WIDTH}) & {(1 << WIDTH) - 1}L) as key")
     links = arrow_map(keyed.repartition("key").select("key", "fp", "node", "c0", "c1"), _checked_forest, "a long, b long")
+    few = nodes.selectExpr("node", "explode(few) as v")
+    links = links.unionByName(few.join(few.groupBy("v").agg(F.min("node").alias("a")), "v").filter("node <> a").select("a", F.col("node").alias("b")))
     linked = components(links, "near")
     # ids meet first for each node, then for each group of nodes: no task gets all rows of a group
     lowest = lambda df, key: df.groupBy(key).agg(F.min("low").alias("low"))
@@ -309,7 +351,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     digest = F.coalesce(F.sha2(text, 256), F.lit(""))
     marked = df.withColumn("tillmark_digest", digest)
     of_text = map_arrow(
-        marked.select(F.col(id_col).alias("id"), F.col(text).alias("text"), "tillmark_digest"), lambda b: run(b) | {"d": b.column("tillmark_digest")}, f"id {id_type}, node long, leads array<long>, c0 long, c1 long, d string"
+        marked.select(F.col(id_col).alias("id"), F.col(text).alias("text"), "tillmark_digest"), lambda b: run(b) | {"d": b.column("tillmark_digest")}, f"id {id_type}, node long, leads array<long>, c0 long, c1 long, shingles binary, few array<long>, d string"
     ).select("id", "node", F.col("d"))
     best = of_text.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")).groupBy("root").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "d")).alias("low"))
     best = best.select(F.col("low.id").alias("kept_id"), F.col("low.d").alias("kept_d"))
