@@ -110,6 +110,50 @@ def test_keep_one_finds_every_shape_of_edit(spark):
     assert all(2 * k in kept for k in range(len(pairs)))
 
 
+def test_exact_links_as_all_pairs():
+    rng = np.random.default_rng(8)
+    for size in (5, 12, 60):
+        base = [rng.choice(1 << 39, size, replace=False) for _ in range(6)]
+        sets = [set(base[k % 6].tolist()) for k in range(90)]
+        for x in sets:
+            for _ in range(rng.integers(0, size // 4 + 1)):
+                x.discard(rng.choice(sorted(x)))
+                if rng.random() < 0.5:
+                    x.add(int(rng.integers(1 << 39)))
+        a, b = sg.exact_links([b"".join(t.to_bytes(5, "little") for t in sorted(x)) for x in sets])
+        i, j = zip(*[(i, j) for i in range(90) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+        assert (sg.join_labels(np.arange(90), np.array(a), np.array(b)) == sg.join_labels(np.arange(90), np.array(i), np.array(j))).all()
+        assert len(a) < 90
+
+
+@pytest.mark.parametrize("weight", [sg.PART_WEIGHT, 2000])
+def test_keep_one_leaves_pairs_below_the_threshold(spark, weight, monkeypatch):
+    import random
+
+    monkeypatch.setattr(sg.verified, "__defaults__", (weight,))
+    rng, texts = random.Random(12), []
+    words = [f"w{k}" for k in range(2000)]
+    for _ in range(40):
+        w = rng.choices(words, k=150)
+        texts.append(" ".join(w))
+        for edits in (2, 4, 5, 6, 7):
+            v = list(w)
+            for k in rng.sample(range(4, 146, 6), edits):
+                v[k] = rng.choice(words)
+            texts.append(" ".join(v))
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    kept = {r["doc_id"] for r in sg.keep_one(cases.documents(spark, rows)).collect()}
+    near = {d: [o for o in range(d // 6 * 6, d // 6 * 6 + 6) if o != d and jaccard(texts[d], texts[o]) >= 0.8] for d in range(len(texts))}
+    low = {}  # the smallest id that pairs at 0.8 or more reach
+    for d in range(len(texts)):
+        seen, todo = {d}, [d]
+        while todo:
+            todo += (new := set(near[todo.pop()]) - seen)
+            seen |= new
+        low[d] = min(seen)
+    assert kept == set(low.values()) and len(kept) > 100
+
+
 def test_keep_one_on_odd_rows(spark):
     rows = cases.odd_rows()
     out = sg.keep_one(cases.documents(spark, rows)).collect()

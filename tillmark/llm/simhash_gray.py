@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.llm import fingerprints
-from tillmark.llm.common import arrow_map, components, join_heavy, map_arrow, raw_texts, written
+from tillmark.llm.common import arrow_map, components, drop_path, free_shuffles, join_heavy, map_arrow, raw_texts, written
 
 SEED = 42
 RADIUS = 3
@@ -313,12 +313,84 @@ def _checked_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
 
+#: Weight (shingles, and ``SET_WEIGHT`` for each set) of the part of a candidate component that is compared with another at once.
+PART_WEIGHT, SET_WEIGHT = 2_000_000, 200
+
+
+def exact_links(sets: list[bytes]) -> tuple[list[int], list[int]]:
+    """Spanning forest (indexes) of all pairs of sets of shingles (distinct, five bytes each) with a Jaccard index of 0.8 or more."""
+    n = np.array([len(x) // 5 for x in sets], np.int64)
+    order = np.argsort(n, kind="stable")
+    n, at = n[order], np.concatenate(([0], np.cumsum(n[order])))
+    wide = np.zeros((at[-1], 8), np.uint8)
+    wide[:, :5] = np.frombuffer(b"".join(sets[k] for k in order), np.uint8).reshape(-1, 5)
+    distinct, term = np.unique(wide.view("<u8")[:, 0], return_inverse=True)
+    has = np.zeros(len(distinct), bool)
+    labels, out_a, out_b = np.arange(len(sets)), [], []
+    for i in range(1, len(sets)):
+        first = int(np.searchsorted(n, -(-4 * n[i] // 5)))  # smaller sets share too little
+        some = first + np.flatnonzero(labels[first:i] != i)
+        if not len(some) or not n[i]:
+            continue
+        has[term[at[i] : at[i + 1]]] = True
+        while len(some):
+            # the latest first, so many shingles at once; what a link joins is not compared again
+            take = max(1, int(np.searchsorted(np.cumsum(n[some][::-1]), 50_000)))
+            now, some = some[-take:], some[:-take]
+            size = n[now]
+            here = np.repeat(at[now] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+            shared = np.add.reduceat(has[term[here]], np.concatenate(([0], np.cumsum(size)[:-1])), dtype=np.int64)
+            near = now[9 * shared >= 4 * (size + n[i])]
+            if len(near):
+                roots, which = np.unique(labels[near], return_index=True)
+                out_a += [order[i]] * len(roots)
+                out_b += order[near[which]].tolist()
+                labels[np.isin(labels, roots)] = i
+                labels[i] = i
+                some = some[labels[some] != i]
+        has[term[at[i] : at[i + 1]]] = False
+    return [int(x) for x in out_a], out_b
+
+
+def _exact_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each run of rows with the same ``root, i, j``; one run is held at a time."""
+    key, nodes, sets = None, [], []
+
+    def done() -> pa.RecordBatch:
+        a, b = exact_links(sets)
+        return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x in a], pa.int64()), pa.array([nodes[x] for x in b], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for *k, node, x in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "shingles")), strict=True):
+            if k != key:
+                if len(sets) > 1:
+                    yield done()
+                key, nodes, sets = k, [], []
+            nodes.append(node)
+            sets.append(x)
+    if len(sets) > 1:
+        yield done()
+
+
+def verified(sets: DataFrame, part_weight: int = PART_WEIGHT) -> DataFrame:
+    """Links ``a, b`` that join what pairs of a Jaccard index of 0.8 or more join among the ``sets(root, node, shingles)`` of each root.
+
+    Roots above ``part_weight`` are cut into parts, of which every two meet.
+    """
+    weight = F.sum(F.octet_length("shingles") / 5 + SET_WEIGHT)
+    cut = sets.groupBy("root").agg(F.ceil(weight / part_weight).cast("int").alias("parts")).filter("parts > 1")
+    dealt = sets.join(F.broadcast(cut), "root", "left").selectExpr("root", "node", "shingles", "coalesce(parts, 1) as parts", "cast(pmod(xxhash64(node), coalesce(parts, 1)) as int) as part")
+    dealt = dealt.selectExpr("root", "node", "shingles", "part", "explode(sequence(0, parts - 1)) as other").selectExpr("root", "least(part, other) as i", "greatest(part, other) as j", "node", "shingles")
+    return arrow_map(dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j"), _exact_forest, "a long, b long")
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one row of each group of near copies: the one with the smallest id (null stands first).
 
     Near copies are pairs whose sets of five-word shingles have a Jaccard index of 0.8 or
     more, and what such pairs join. Fingerprints over the shingles lead to candidates, with
-    a chance that depends on the Jaccard index and not on the shape of the edit. Texts
+    a chance that depends on the Jaccard index and not on the shape of the edit; a pair
+    links only if its sets of shingles (hashed to 40 bits) are that much alike. Texts
     without words are copies of each other, of rows that agree in id and text one stays,
     an empty table gives no rows; ``df``'s columns come back as they are.
     """
@@ -339,7 +411,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     links = arrow_map(keyed.repartition("key").select("key", "fp", "node", "c0", "c1"), _checked_forest, "a long, b long")
     few = nodes.selectExpr("node", "explode(few) as v")
     links = links.unionByName(few.join(few.groupBy("v").agg(F.min("node").alias("a")), "v").filter("node <> a").select("a", F.col("node").alias("b")))
-    linked = components(links, "near")
+    # candidates only bring sets together: what they join is compared shingle by shingle
+    sets = rows.groupBy("node").agg(F.first("shingles").alias("shingles")).join(components(links, "candidates"), "node").select("root", "node", "shingles")
+    sets, at = written(sets, "shingles")
+    free_shuffles(df.sparkSession)
+    linked = components(verified(sets), "near")
+    drop_path(df.sparkSession, at)
     # ids meet first for each node, then for each group of nodes: no task gets all rows of a group
     lowest = lambda df, key: df.groupBy(key).agg(F.min("low").alias("low"))
     first = lowest(rows.select("node", F.struct(F.col("id").isNotNull().alias("some"), "id").alias("low")), "node")
