@@ -29,6 +29,26 @@ def test_restored(chars, said, meant):
     assert meant in noisy.restore_all(f"a {said} here", chars).split()
 
 
+@pytest.fixture(scope="module")
+def more_chars(spark):
+    df = spark.createDataFrame([((ENGLISH + "you are an asshole and such shit is hell so kill all of the stupid morons you moron ") * 40,)], "text string")
+    return noisy.CharModel(toxicity.char_counts(df))
+
+
+@pytest.mark.parametrize("gap", [" ", "  ", ".", "-"])
+def test_long_spans_are_decoded(more_chars, gap):
+    said = "you are a stupid idiot and a pathetic loser the worthless moron".split()
+    spaced = (gap if len(gap) > 1 else " ").join(gap[0].join(w) for w in said) if len(gap) > 1 else gap.join("".join(said))
+    assert len(spaced) > noisy.LONGEST and noisy._SUSPECT.search(spaced).group(0) == spaced and noisy.suspects([spaced.encode()]) == [0]
+    assert {"stupid", "idiot", "pathetic", "loser", "worthless", "moron"} <= set(noisy.restore_all(spaced, more_chars).split())
+    assert noisy.restore_all(gap.join("stupid" * 4000), more_chars).count("stupid") > 3900
+
+
+def test_long_runs_are_decoded(more_chars):
+    for said in ("stup" + 70 * "i" + "d", "s" + 50 * "t" + "up" + 50 * "i" + "d", "st" + 90 * "u" + "p1d"):
+        assert "stupid" in noisy.restore_all(said, more_chars).split()
+
+
 def test_clean_text_is_left_alone(chars):
     clean = "the others are here, in 2024 at 10:30; a good book (with 3 pages) for all. see you too!"
     assert noisy.restore(clean, chars) == clean and noisy.suspects([b"a good book, 12 pages"]) == []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -18,8 +19,15 @@ LEET = {
 AS_IS, SUBSTITUTE, DROP, COLLAPSE, COLLAPSE_TWO = -0.02, -1.6, -0.4, -0.7, -3.0
 #: States kept at a character, readings kept in a state, readings of a span, and how far (in log-probability) they may lie behind the likeliest.
 BEAM, KEPT, READINGS, BEHIND = 24, 3, 4, 6.0
-LONGEST = 64  # characters of a span that is decoded; a longer one is no obfuscated word
-
+#: Characters that are decoded at once; a longer span is cut where its likeliest reading has a space, with so many characters after it known.
+LONGEST, AHEAD = 64, 20
+
+#: What may stand between letters set apart.
+SEPARATORS = " .-_*/"
+_RUN = re.compile(r"(.)\1{3,}", re.S)
+_DOUBLE, _GAPS = re.compile(r"[ .\-_*/]{2}"), re.compile(r"[ .\-_*/]+")
+_EDGED = re.compile(r"^[0-9@$!|+]{2,}[^\W\d_]|[^\W\d_][0-9@$!|+*]{2,}$")
+_ENDED, _THRICE = re.compile(r"[^\W\d_]+[!|+*]+"), re.compile(r"([^\W\d_])\1\1")
 _SUSPECT = re.compile(
     r"(?<!\w)(?:[^\W\d_][ .\-_*]{1,2}){2,}[^\W\d_](?!\w)"  # letters set apart
     r"|(?<![\w@$!|+*])(?=[\w@$!|+*]*[^\W\d_])(?=[\w@$!|+*]*?(?:[^\W\d_][0-9@$!|+*]+[^\W\d_]|(?<![\w@$!|+*])[0-9@$!|+][^\W\d_]|[^\W\d_][0-9@$](?![\w@$%&#*!])|([^\W\d_])\1\1))[\w@$!|+*]+"
@@ -57,6 +65,7 @@ class CharModel:
         p3 = (tri + 8 * p2) / (tri.sum(2, keepdims=True) + 8)
         self.logp = np.log(p3).astype(np.float32)
         self.seen: dict[str, list[str]] = {}
+        self.tails: dict[tuple, list[str]] = {}
 
     def readings(self, span: str) -> list[str]:
         """What may stand behind ``span`` (lower-cased), likeliest first."""
@@ -64,14 +73,59 @@ class CharModel:
             return got
         if len(self.seen) > 200_000:
             self.seen.clear()
-        out = self.seen[span] = self._viterbi(span) if len(span) <= LONGEST else [span]
-        return out
-
-    def _viterbi(self, o: str) -> list[str]:
+        if len(span) > LONGEST:
+            span = _RUN.sub(r"\1\1\1", span)
+        if len(span) <= LONGEST:
+            out = self._viterbi(span)
+            if _ENDED.fullmatch(span) and not _THRICE.search(span):  # a word and its sign stay first, likely readings come after
+                out = [span, *(x for x in out if x != span)]
+            elif _EDGED.search(span) and span not in out:
+                out = [*out, span]
+            self.seen[span] = out
+            return out
+        parts = [self.readings(x) for x in self._pieces(span)]
+        return [" ".join(x[min(k, len(x) - 1)] for x in parts) for k in range(max(map(len, parts)))]
+
+    def _pieces(self, span: str) -> Iterator[str]:
+        """``span`` in pieces of at most ``LONGEST``: cut between words, or overlapping where no end of a word is in sight."""
+        at = 0
+        while len(span) - at > LONGEST:
+            window = span[at : at + LONGEST]
+            # double separators first if others are single, else the spaces of the likeliest reading
+            ends = [m.start() for m in _DOUBLE.finditer(window, 1, LONGEST - 2)]
+            ends = ends if 2 * len(ends) < len(_GAPS.findall(window)) else []
+            ends = ends or [k for k, c in enumerate(self._viterbi(window, True)[0][: LONGEST - AHEAD]) if c == " " and k]
+            yield window[: ends[-1]] if ends else window
+            at += ends[-1] if ends else LONGEST - AHEAD
+            while at < len(span) and span[at] in SEPARATORS:
+                at += 1
+        if at < len(span):
+            yield span[at:]
+
+    def _viterbi(self, o: str, aligned: bool = False) -> list[str]:
+        """Readings of ``o``; ``aligned`` ones are as long as ``o``, filled up with zeros."""
+        # letters at the beginning that can only be themselves: what follows depends on the last two
+        k = 0
+        while k < len(o) - 1 and o[k].isalpha() and o[k + 1] != o[k]:
+            k += 1
+        p, q = (0, 0, *symbols_of(o[max(0, k - 2) : k]).tolist())[-2:]
+        key = (p, q, k > 0, aligned, o[k:])
+        if (got := self.tails.get(key)) is None:
+            if len(self.tails) > 200_000:
+                self.tails.clear()
+            got = self.tails[key] = self._decoded(p, q, k > 0, aligned, o[k:])
+        return [o[:k] + x for x in got]
+
+    def _decoded(self, p: int, q: int, inner: bool, aligned: bool, o: str) -> list[str]:
+        """Readings of ``o`` after symbols ``p, q``; ``inner`` after letters of the same span."""
         logp, n = self.logp, len(o)
         # at each character and for each last two symbols: the best few readings so far
         at: list[dict[tuple[int, int], list[tuple[float, str]]]] = [{} for _ in range(n + 1)]
-        at[0][0, 0] = [(0.0, "")]
+        at[0][p, q] = [(0.0, "")]
+        # signs before and after all letters may also be signs, if they are several or what ends a sentence
+        letters_at = [-1] * inner + [k for k, c in enumerate(o) if c.isalpha()] or [n]
+        first, last = letters_at[0], letters_at[-1]
+        signs = set(range(first) if first > 1 else ()) | set(range(last + 1, n) if n - last > 2 or o[-1] in "!|+*" else ())
         for i in range(n):
             x, states = o[i], at[i]
             if len(states) > BEAM:
@@ -88,14 +142,18 @@ class CharModel:
                     arcs.append((2, x, COLLAPSE_TWO))
             else:
                 arcs += [(k, c, SUBSTITUTE) for c in LEET.get(x, "") for k in sorted({1, r})]
-                if x in " .-_*":
+                if i in signs and x not in " .-_/":
+                    arcs.append((1, x, AS_IS))
+                if x in SEPARATORS:
                     arcs += [(r, "", DROP), (r, " ", DROP)]
                 elif not arcs:
                     arcs.append((r, "", 4 * DROP))
+            if aligned:
+                arcs = [(k, letters.ljust(k, "\0"), cost) for k, letters, cost in arcs]
             for (p, q), best in states.items():
                 for k, letters, cost in arcs:
                     a, b, s = p, q, cost
-                    for c in letters:
+                    for c in letters.rstrip("\0"):
                         d = int(_TABLE[min(ord(c), len(_TABLE) - 1)])
                         s += logp.item(a, b, d)
                         a, b = b, d
