@@ -49,6 +49,22 @@ def test_long_runs_are_decoded(more_chars):
         assert "stupid" in noisy.restore_all(said, more_chars).split()
 
 
+@pytest.mark.parametrize(
+    "said, meant",
+    [("ki11", "kill"), ("he11", "hell"), ("@$$hole", "asshole"), ("455hole", "asshole"), ("shi+", "shit"), ("stup!d!", "stupid!"), ("m 0 r 0 n", "moron"), ("s/t/u/p/i/d", "stupid"), ("s t u p 1 d", "stupid"), ("$ t u p i d", "stupid"), ("1 d 1 0 t", "idiot"), ("m.0.r.0.n", "moron"), ("a$$", "ass"), ("shi*", "shit"), ("ki1|", "kill")],
+)
+def test_substitutes_at_ends_and_set_apart(more_chars, said, meant):
+    text = f"a {said} here"
+    assert noisy.suspects([text.encode()]) == [0] and noisy._SUSPECT.search(text)
+    assert meant in noisy.restore_all(text, more_chars).split()
+
+
+def test_signs_at_ends_stay_signs(more_chars):
+    for clean in ("a good place!", "others!!!", "the 100th and others123", "1 2 3 4 5 6", "10/12/2024"):
+        assert set(clean.split()) <= set(noisy.restore_all(clean, more_chars).split())
+    assert noisy.restore("a good place! 10/12/2024 1 2 3 4", more_chars) == "a good place! 10/12/2024 1 2 3 4"
+
+
 def test_clean_text_is_left_alone(chars):
     clean = "the others are here, in 2024 at 10:30; a good book (with 3 pages) for all. see you too!"
     assert noisy.restore(clean, chars) == clean and noisy.suspects([b"a good book, 12 pages"]) == []

@@ -29,8 +29,11 @@ _DOUBLE, _GAPS = re.compile(r"[ .\-_*/]{2}"), re.compile(r"[ .\-_*/]+")
 _EDGED = re.compile(r"^[0-9@$!|+]{2,}[^\W\d_]|[^\W\d_][0-9@$!|+*]{2,}$")
 _ENDED, _THRICE = re.compile(r"[^\W\d_]+[!|+*]+"), re.compile(r"([^\W\d_])\1\1")
 _SUSPECT = re.compile(
-    r"(?<!\w)(?:[^\W\d_][ .\-_*]{1,2}){2,}[^\W\d_](?!\w)"  # letters set apart
-    r"|(?<![\w@$!|+*])(?=[\w@$!|+*]*[^\W\d_])(?=[\w@$!|+*]*?(?:[^\W\d_][0-9@$!|+*]+[^\W\d_]|(?<![\w@$!|+*])[0-9@$!|+][^\W\d_]|[^\W\d_][0-9@$](?![\w@$%&#*!])|([^\W\d_])\1\1))[\w@$!|+*]+"
+    # letters and substitutes set apart, two letters among the first
+    r"(?<!\w)(?=(?:(?:[^\W_]|[@$!|+])[ .\-_*/]{1,2}){0,3}?[^\W\d_][ .\-_*/]{1,2}(?:(?:[^\W_]|[@$!|+])[ .\-_*/]{1,2}){0,3}?[^\W\d_](?!\w))"
+    r"(?:(?:[^\W_]|[@$!|+])[ .\-_*/]{1,2}){2,}(?:[^\W_]|[@$!|+])(?!\w)"
+    # substitutes within, before or after the letters of a word, and runs
+    r"|(?<![\w@$!|+*])(?=[\w@$!|+*]*[^\W\d_])(?=[\w@$!|+*]*?(?:[^\W\d_][0-9@$!|+*]+[^\W\d_]|(?<![\w@$!|+*])[0-9@$!|+]+[^\W\d_]|[^\W\d_][0-9@$!|+*]+(?![\w@$%&#*!|+])|([^\W\d_])\1\1))[\w@$!|+*]+"
 )
 
 
@@ -176,8 +179,9 @@ for _b in b"abcdefghijklmnopqrstuvwxyz":
 _CLASS[128:] = 1
 for _c in LEET:
     _CLASS[ord(_c)] |= 2
-for _c in " .-_*\n\t,;:!?\"'()":
-    _CLASS[ord(_c)] |= 4
+for _b in range(128):
+    if not chr(_b).isalnum():
+        _CLASS[_b] |= 4
 
 
 def suspects(texts: list[bytes]) -> list[int]:
@@ -191,11 +195,12 @@ def suspects(texts: list[bytes]) -> list[int]:
     hit[1:] |= leet[1:] & letter[:-1]
     hit[:-1] |= leet[:-1] & letter[1:]
     hit[2:] |= letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
-    # single letters: a letter between gaps, again two or three bytes later
+    # single letters: a letter between gaps, again or a substitute two or three bytes later or before
     alone = np.zeros(len(data), bool)
-    alone[1:-1] = letter[1:-1] & gap[:-2] & gap[2:]
-    hit[:-2] |= alone[:-2] & alone[2:]
-    hit[:-3] |= alone[:-3] & alone[3:]
+    alone[1:-1] = (letter | leet)[1:-1] & gap[:-2] & gap[2:]
+    alone[0] = (letter | leet)[0] & gap[1]
+    for k in (2, 3):
+        hit[:-k] |= alone[:-k] & alone[k:] & (letter[:-k] | letter[k:])
     # letters of two bytes set apart
     wide = data >= 0xC0
     hit[:-4] |= wide[:-4] & gap[2:-2] & (gap[4:] | gap[4:]) if len(data) > 4 else False
