@@ -14,14 +14,16 @@ from tillmark.llm import induced_sort as ind
 from tillmark.llm import suffix_dedup as sd
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(1, 4), max_size=25), min_size=1, max_size=8), st.integers(1, 40), st.integers(1, 30))
-def test_induced_order_and_prefixes(texts, block, buffer):
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 4), max_size=25), min_size=1, max_size=8), st.integers(1, 40), st.integers(1, 30), st.sampled_from([1, 3, 4096]), st.booleans())
+def test_induced_order_and_prefixes(texts, block, buffer, span, twice):
+    texts = texts * (1 + twice)
     flat = [0] + [x for t in texts for x in [*t, 0]]
     s = np.array(flat, np.uint16)
     if not (s > 0).any():
         return
-    with tempfile.TemporaryDirectory() as folder:
+    with tempfile.TemporaryDirectory() as folder, pytest.MonkeyPatch.context() as m:
+        m.setattr(ind, "RANGE", span)  # symbols that share a queue
         order, lcp = ind.suffix_order(s, folder, block, buffer)
     tail = lambda i: flat[i : flat.index(0, i)]
     expected = sorted((i for i, x in enumerate(flat) if x), key=lambda i: (tail(i), flat.index(0, i)))
@@ -42,6 +44,53 @@ def test_sorting_on_disk(tmp_path, monkeypatch):
     assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
 
 
+def test_names_are_sorted_by_the_same_routine(tmp_path, monkeypatch):
+    rng = np.random.default_rng(2)
+    calls, whole = [], ind.suffix_order
+
+    def counted(s, folder, *rest):
+        calls.append((len(s), rest[2] if len(rest) > 2 else 257))
+        return whole(s, folder, *rest)
+
+    monkeypatch.setattr(ind, "suffix_order", counted)
+    passage = rng.integers(1, 250, 1500)
+    s = np.concatenate([[0], *([*passage[k:], 0] for k in range(0, 1200, 25))]).astype(np.uint16)
+    order, lcp = counted(s, str(tmp_path), 64, 50)
+    sizes = [n for n, _ in calls]
+    assert len(calls) > 3 and all(2 * b <= a + 2 for a, b in zip(sizes, sizes[1:], strict=False)) and max(a for _, a in calls[1:]) > 257
+    flat = s.tolist()
+    tail = lambda i: flat[i : flat.index(0, i)]
+    assert [tail(i) for i in order] == sorted(tail(i) for i, x in enumerate(flat) if x) and lcp.max() == 255
+
+
+def test_a_bucket_far_above_its_memory(monkeypatch):
+    """Pieces of sixty times the bytes that are told apart at once, every array in a file, small blocks and queues: as a plain count."""
+    monkeypatch.setattr(ind, "RANGE", 64)
+    on_disk = lambda folder, name, n, dtype: np.memmap(f"{folder}/{name}", dtype, "w+", shape=(max(1, n),))[:n]
+    monkeypatch.setattr(ind, "new_map", on_disk)
+    monkeypatch.setattr(sd, "new_map", on_disk)
+    monkeypatch.setattr(sd, "suffix_order", lambda s, folder: ind.suffix_order(s, folder, 1 << 12, 1 << 10))
+    monkeypatch.setattr(sd, "_rows", lambda batches: batches)
+    rng = np.random.default_rng(3)
+    shared = [rng.integers(97, 101, 70).astype(np.uint8).tobytes() for _ in range(40)]
+    sent = []
+    for shard in range(12):
+        own = [rng.integers(97, 101, 70).astype(np.uint8).tobytes() for _ in range(100)]
+        mixed = [a[: 10 + shard] + b for a, b in zip(own[:20], rng.permutation(np.array(shared, object))[:20], strict=True)]
+        sent.append(list(dict.fromkeys(own + mixed)))
+    rows = iter([{"bucket": 0, "shard_id": k, "pieces": sd._payload(list(range(len(x))), x, [7] * len(x), [k] * len(x))} for k, x in enumerate(sent)])
+    assert sum(len(p) for x in sent for p in x) > 60 * 1024
+    got = list(sd._sort_bucket(50, 1024)(rows))
+    least = {}
+    for k, x in enumerate(sent):
+        for p in x:
+            for i in range(len(p) - 49):
+                least.setdefault(p[i : i + 50], k)
+    for k, (x, batch) in enumerate(zip(sent, got, strict=True)):
+        assert batch.column("shard_id")[0].as_py() == k
+        assert np.frombuffer(sd.zstandard.decompress(batch.column("least")[0].as_py()), np.int64).tolist() == [least[p[i : i + 50]] for p in x for i in range(len(p) - 49)]
+
+
 def plain_repeats(rows, length=50):
     first = {}
     out = []

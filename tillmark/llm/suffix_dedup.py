@@ -10,8 +10,8 @@ that later passes read and join as they are. Then:
    are done with.
 2. Each shard sends the text around the other anchors, once for each distinct
    piece, with the smallest id that has it, to the bucket of the anchor.
-3. A bucket's pieces form one string, but for those whose anchor no other distinct
-   piece has: they share no window with any. Its suffixes are sorted with their
+3. A bucket's pieces go to a file as they come and form one string, but for those whose
+   anchor no other piece has: they share no window with any. Its suffixes are sorted with their
    common prefixes by external induced sorting (``induced_sort``), and runs that
    share ``length`` bytes learn the smallest id among them.
 4. What the bucket found returns to the shards, which cut.
@@ -24,6 +24,7 @@ bucket grows with the number of documents that share a passage.
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import tempfile
 from collections.abc import Iterator
@@ -41,8 +42,10 @@ from tillmark.llm.induced_sort import new_map, suffix_order
 
 LENGTH = 50
 GRAM = 20
-#: Bytes of text in a shard, and of all text for each bucket.
-SHARD_BYTES, BUCKET_BYTES, MOST_BUCKETS = 1 << 20, 16 << 20, 50_000
+#: Bytes of text in a shard, and of all text for each bucket: there are as many buckets as that takes.
+SHARD_BYTES, BUCKET_BYTES = 1 << 20, 16 << 20
+#: Bytes of pieces of a bucket among which equal ones are told at once; later ones meet in the sort.
+FOLD_BYTES = 4 << 20
 FIRST_ID = -(1 << 63)
 
 #: Bits of a hash that an anchor's number leaves out: with its flag it takes six bytes. Strangers with one number only make more pieces.
@@ -256,73 +259,122 @@ def _by_bucket_of(anchor: list[int], buckets: int) -> dict[int, list[int]]:
     return where
 
 
-def _sort_bucket(length: int):
+class _Bucket:
+    """The pieces of one bucket in files: their bytes, and for each its length, smallest id and anchor; and what each shard sent."""
+
+    def __init__(self, folder: str, fold_bytes: int) -> None:
+        self.folder, self.fold_bytes, self.n = folder, fold_bytes, 0
+        self.rows: list[tuple[int, int, int]] = []  # shard, bucket, pieces
+        self.number: dict[bytes, int] = {}
+        self.held = 0
+        self.files = {name: open(f"{folder}/{name}", "wb") for name in ("bytes", "lengths", "anchors", "sent", "ids")}
+
+    def add(self, row: dict) -> None:
+        raw = zstandard.decompress(row["pieces"])
+        (m,) = struct.unpack_from("<q", raw)
+        lengths, ids, anchors_ = np.frombuffer(raw, np.int32, m, 8), np.frombuffer(raw, np.int64, m, 8 + 4 * m), np.frombuffer(raw, np.int32, m, 8 + 12 * m)
+        at, sent, new = 8 + 16 * m, [], []
+        for k, w in enumerate(lengths.tolist()):
+            piece = raw[at : at + w]
+            at += w
+            if (own := self.number.get(piece)) is None:
+                own = self.number[piece] = self.n + len(new)
+                new.append(k)
+                self.held += w
+                self.files["bytes"].write(piece)
+            sent.append(own)
+        self.files["lengths"].write(lengths[new].tobytes())
+        self.files["anchors"].write(anchors_[new].tobytes())
+        self.files["sent"].write(np.array(sent, np.int32).tobytes())
+        self.files["ids"].write(ids.tobytes())
+        self.n += len(new)
+        self.rows.append((row["shard_id"], row["bucket"], m))
+        if self.held > self.fold_bytes:
+            self.number, self.held = {}, 0
+
+    def finish(self, length: int) -> Iterator[pa.RecordBatch]:
+        self.number = {}
+        for f in self.files.values():
+            f.close()
+        read = lambda name, dtype: np.memmap(f"{self.folder}/{name}", dtype, "r") if os.path.getsize(f"{self.folder}/{name}") else np.empty(0, dtype)
+        data, lengths, anchors_, sent, ids = (read(n, d) for n, d in (("bytes", np.uint8), ("lengths", np.int32), ("anchors", np.int32), ("sent", np.int32), ("ids", np.int64)))
+        lowest = new_map(self.folder, "lowest", self.n, np.int64)
+        lowest[:] = np.iinfo(np.int64).max
+        for at in range(0, len(sent), 1 << 18):
+            np.minimum.at(lowest, sent[at : at + (1 << 18)], ids[at : at + (1 << 18)])
+        windows = lengths.astype(np.int64) - length + 1
+        at = np.concatenate(([0], np.cumsum(windows)))
+        least = new_map(self.folder, "of-windows", int(at[-1]), np.int64)  # for each window of each piece, as if it stood alone
+        order = np.argsort(anchors_, kind="stable")
+        own = anchors_[order]
+        same = own[1:] == own[:-1]
+        alone = np.ones(self.n, bool)
+        alone[order[np.append(same, False) | np.append(False, same)]] = False
+        some, shared = np.flatnonzero(alone), np.flatnonzero(~alone)
+        for lo in range(0, len(some), 1 << 14):
+            k = some[lo : lo + (1 << 14)]
+            least[_spread(at[k], windows[k])] = np.repeat(lowest[k], windows[k])
+        if len(shared):
+            begins = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)[:-1]))
+            got, done = _least_of(data, begins[shared], lengths[shared].astype(np.int64), np.asarray(lowest)[shared], length, self.folder), 0
+            for lo in range(0, len(shared), 1 << 14):
+                k = shared[lo : lo + (1 << 14)]
+                to = _spread(at[k], windows[k])
+                least[to] = got[done : done + len(to)]
+                done += len(to)
+        done = 0
+        for shard, bucket, m in self.rows:
+            k = np.asarray(sent[done : done + m])
+            done += m
+            found = zstandard.compress(np.asarray(least[_spread(at[k], windows[k])]).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([bucket], pa.int32()), pa.array([found], pa.binary())], names=["shard_id", "bucket", "least"])
+
+
+def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of runs of ``n`` that begin at each of ``begin``, one after the other."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _sort_bucket(length: int, fold_bytes: int = FOLD_BYTES):
+    """Sorts each bucket as soon as its rows have passed; its folder is scratch of the task, made anew if the task runs again."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _by_bucket(batches):
-            number: dict[bytes, int] = {}
-            lowest: list[int] = []
-            anchor: list[int] = []
-            sent: list[list[int]] = []
-            for r in group:
-                raw = zstandard.decompress(r["pieces"])
-                (m,) = struct.unpack_from("<q", raw)
-                n = np.frombuffer(raw, np.int32, m, 8).tolist()
-                ids = np.frombuffer(raw, np.int64, m, 8 + 4 * m).tolist()
-                hashes = np.frombuffer(raw, np.int32, m, 8 + 12 * m).tolist()
-                at, own = 8 + 16 * m, []
-                for w, i, h in zip(n, ids, hashes, strict=True):
-                    piece = raw[at : at + w]
-                    at += w
-                    k = number.setdefault(piece, len(number))
-                    if k == len(lowest):
-                        lowest.append(i)
-                        anchor.append(h)
-                    elif i < lowest[k]:
-                        lowest[k] = i
-                    own.append(k)
-                sent.append(own)
-                r["pieces"] = None
-            pieces = list(number)
-            del number
-            windows = np.array([len(p) - length + 1 for p in pieces], np.int64)
-            at = np.concatenate(([0], np.cumsum(windows)))
-            least = np.repeat(np.array(lowest, np.int64), windows)  # for each window of each piece, as if it stood alone
-            order = np.argsort(np.array(anchor))
-            own = np.array(anchor)[order]
-            same = own[1:] == own[:-1]
-            shared = np.sort(order[np.append(same, False) | np.append(False, same)])
-            if len(shared):
-                got = _least_of([pieces[k] for k in shared.tolist()], np.array(lowest, np.int64)[shared], length)
-                w = windows[shared]
-                least[np.repeat(at[shared] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))] = got
-            for r, k in zip(group, map(np.array, sent), strict=True):
-                w = windows[k]
-                found = zstandard.compress(least[np.repeat(at[k] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))].tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([r["shard_id"]], pa.int64()), pa.array([r["bucket"]], pa.int32()), pa.array([found], pa.binary())], names=["shard_id", "bucket", "least"])
+        rows = _rows(batches)
+        row = next(rows, None)
+        while row is not None:
+            now = row["bucket"]
+            with tempfile.TemporaryDirectory(prefix="bucket-") as folder:
+                bucket = _Bucket(folder, fold_bytes)
+                while row is not None and row["bucket"] == now:
+                    bucket.add(row)
+                    row = next(rows, None)
+                yield from bucket.finish(length)
 
     return run
 
 
-def _least_of(pieces: list[bytes], ids: np.ndarray, length: int) -> np.ndarray:
-    """For each window of each piece the smallest of the ``ids`` of pieces that hold the same bytes, by suffix sorting."""
-    sizes = np.array([len(p) for p in pieces], np.int64)
+def _least_of(data: np.ndarray, at: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int, folder: str) -> np.ndarray:
+    """For each window of each piece (``sizes`` bytes of ``data`` from ``at``) the smallest of the ``ids`` of pieces that hold the same bytes, by suffix sorting."""
     begins = 1 + np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    total = int(sizes.sum()) + len(pieces) + 1
-    with tempfile.TemporaryDirectory(prefix="bucket-") as folder:
-        s = new_map(folder, "string", total, np.uint16)
-        owner = new_map(folder, "owner", total, np.int32)
-        for at in range(0, len(pieces), 1 << 14):
-            some = pieces[at : at + (1 << 14)]
-            n = sizes[at : at + len(some)] + 1
-            x = np.frombuffer(b"\x00".join(some) + b"\x00", np.uint8).astype(np.uint16) + np.uint16(1)
-            x[np.cumsum(n) - 1] = 0
-            s[begins[at] : begins[at] + len(x)] = x
-            owner[begins[at] : begins[at] + len(x)] = np.repeat(np.arange(at, at + len(some), dtype=np.int32), n)
-        order, lcp = suffix_order(s, folder)
-        least = new_map(folder, "least", total, np.int64)  # of the strings that begin like each
-        _smallest(order, lcp, owner, ids, least, length)
-        w = sizes - length + 1
-        return np.array(least[np.repeat(begins - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))])
+    total = int(sizes.sum()) + len(sizes) + 1
+    s = new_map(folder, "string", total, np.uint16)
+    owner = new_map(folder, "owner", total, np.int32)
+    for lo in range(0, len(sizes), 1 << 14):
+        n, b = sizes[lo : lo + (1 << 14)], begins[lo : lo + (1 << 14)]
+        to = _spread(b, n)
+        s[to] = data[_spread(at[lo : lo + (1 << 14)], n)].astype(np.uint16) + np.uint16(1)
+        owner[to] = np.repeat(np.arange(lo, lo + len(n), dtype=np.int32), n)
+    sorted_in = os.path.join(folder, "sorted")
+    os.mkdir(sorted_in)
+    order, lcp = suffix_order(s, sorted_in)
+    least = new_map(folder, "least", total, np.int64)  # of the strings that begin like each
+    _smallest(order, lcp, owner, ids, least, length)
+    out, done = new_map(folder, "of-shared", int((sizes - length + 1).sum()), np.int64), 0
+    for lo in range(0, len(sizes), 1 << 14):
+        where = _spread(begins[lo : lo + (1 << 14)], sizes[lo : lo + (1 << 14)] - length + 1)
+        out[done : done + len(where)] = least[where]
+        done += len(where)
+    return out
 
 
 def _smallest(order: np.ndarray, lcp: np.ndarray, owner: np.ndarray, ids: np.ndarray, out: np.ndarray, length: int, block: int = 1 << 18) -> None:
@@ -350,7 +402,9 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, clean: bool = False, sha
     which one byte went; a null text stays null) and ``n_chars``, if there is one, is counted
     again; texts of which nothing is left stay as empty ones. Null texts count as empty; a
     null id counts as smaller than any other; rows with equal ids are not smaller than each
-    other; an empty table gives no rows. ``doc_id`` is an integer.
+    other; of equal texts the one with the smallest id stays whole; texts of any length are
+    sorted in pieces; other columns are left alone, whatever their names; an empty table gives no
+    rows. ``doc_id`` is an integer.
     """
     base = df if clean else df.select("doc_id", "text")
     shards, _ = written(_pack(base, shard_bytes), "shards")
@@ -360,7 +414,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, clean: bool = False, sha
     later = docs.join(first, "digest").filter("high > first").groupBy("shard_id").agg(F.collect_list(F.struct("k", "first")).alias("later"))
     later, _ = written(later, "later")
     size = shards.agg(F.sum("size")).head()[0] or 0
-    buckets = int(max(1, min(MOST_BUCKETS, size // bucket_bytes)))
+    buckets = int(max(1, size // bucket_bytes))
     packed = shards.select("shard_id", "blob").join(later, "shard_id", "left")
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
