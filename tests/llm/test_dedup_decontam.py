@@ -170,6 +170,17 @@ def test_hits(spark, block):
     assert len(none) == len(cases.odd_rows()) and not any(r["n_hit"] for r in none)
 
 
+def test_fifty_blocks_in_one_pass(spark):
+    rows = cases.corpus(40)
+    items = [(k, " ".join(t.split()[k % 5 : k % 5 + 8 + k % 7])) for k, t, *_ in rows[:30]] + [(100 + k, f"not there {k} " * 6) for k in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(dc.blocks_of(bench, 10, 1).shared) == 60
+    out = dc.contamination(cases.documents(spark, rows), bench, block_bytes=1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], ",".join(r["items"])) for r in out.collect()) == plain_hits(rows, items)
+
+
 @pytest.mark.parametrize("block", [dc.BLOCK_BYTES, 1])
 def test_passages_cut(spark, block):
     bench = spark.createDataFrame([(1, cases.PASSAGE), (2, "UPPER, lower-123")], "item_id long, text string")

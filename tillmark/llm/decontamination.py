@@ -1,30 +1,36 @@
 """Benchmark decontamination by an FM-index of each training shard.
 
-A shard is one batch of whole documents. Its words become symbols of the
-benchmark's vocabulary; a word outside it matches nothing and ends a run, and a
-run shorter than the shortest test phrase cannot hold one and is left out. Over
-the runs stands an FM-index: test phrases are found by backward search with
-wavelet-tree ranks, their places by sampled suffix positions, and the found
-words are checked byte for byte before their spans are merged. Nothing is
-shuffled. The benchmark goes to the executors in blocks of ``block_bytes``;
-each block is one pass over the documents.
+A shard is one batch of whole documents. A word that the benchmark cannot have (by
+a filter of fixed size) matches nothing and ends a run, and a run shorter than the
+shortest test phrase cannot hold one and is left out. Over the runs stands one
+FM-index, whose symbols are the shard's own words: test phrases are found by
+backward search with wavelet-tree ranks, their places by sampled suffix positions,
+and the found words are checked byte for byte before their spans are merged. The documents
+are not shuffled and go by once. The executors make blocks of ``block_bytes`` of the
+benchmark; each shard is searched for one block after the other, and a worker
+holds one block at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tillmark.llm.common import arrow_map
+from tillmark.llm.common import arrow_map, drop_path, written
 from tillmark.llm.fm_index import FMIndex
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BLOCK_BYTES = 2 << 20
+#: Bits of the filter of words that the benchmark has, whatever its size: more words in a filter only leave more in the index.
+FILTER_BITS = 24
 #: Documents are concatenated up to so many bytes for one shard.
 SHARD_BYTES = 4 << 20
 
@@ -77,13 +83,8 @@ class Phrases:
     def __init__(self, items: list[tuple[object, str | None]], width: int) -> None:
         texts = [(i, WORD.findall((t or "").encode().translate(bytes(_LOWER)))) for i, t in items]
         self.words = sorted({w for _, ws in texts for w in ws})
-        of = {w: k + 1 for k, w in enumerate(self.words)}
-        joined = np.frombuffer(b" ".join(self.words) or b" ", np.uint8)
-        hashes = words_of(joined)[2] if self.words else np.empty(0, np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.symbols = hashes[order], order + 1
-        self.seen = np.zeros(1 << 16, bool)
-        self.seen[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+        of = {w: k for k, w in enumerate(self.words)}
+        self.hashes = words_of(np.frombuffer(b" ".join(self.words), np.uint8))[2] if self.words else np.empty(0, np.uint64)
         windows: dict[tuple[int, ...], set[int]] = {}
         self.ids: list[str] = sorted({str(i) for i, _ in texts if i is not None})
         place = {i: k for k, i in enumerate(self.ids)}
@@ -98,21 +99,66 @@ class Phrases:
             of_m = [w for w in windows if len(w) == m]
             owners = [sorted(windows[w]) for w in of_m]
             begins = np.concatenate(([0], np.cumsum([len(o) for o in owners])))
-            self.by_length[m] = (np.array(of_m, np.int64), begins, np.array([x for o in owners for x in o], np.int64))
+            self.by_length[m] = (np.array(of_m, np.int32), begins, np.array([x for o in owners for x in o], np.int32))
         self.shortest = min(self.by_length, default=0)
 
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        """Symbol of each word hash, 0 outside the vocabulary."""
-        out = np.zeros(len(hashes), np.int64)
-        if len(self.hashes):
-            maybe = np.flatnonzero(self.seen[(hashes >> np.uint64(48)).astype(np.int64)])
-            h = hashes[maybe]
-            k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            out[maybe] = np.where(self.hashes[k] == h, self.symbols[k], 0)
-        return out
 
+class Blocks:
+    """The blocks of a benchmark as the executors get them: each a broadcast of its own, and a filter of the words of all."""
 
-def scan_shard(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
+    def __init__(self, shared: list[Broadcast], may_have: np.ndarray, shortest: int) -> None:
+        self.shared, self.may_have, self.shortest = shared, may_have, shortest
+        self.held: tuple[int, Phrases] | None = None
+
+    def __iter__(self) -> Iterator[Phrases]:
+        for k, b in enumerate(self.shared):
+            if self.held is None or self.held[0] != k:
+                self.held = None  # before the next is read
+                self.held = k, pickle.loads(b.value)
+                b.__dict__.pop("_value", None)  # the worker would keep what it has read
+            yield self.held[1]
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether the benchmark may have a word of each hash."""
+        at = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        return (self.may_have[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def blocks_of(benchmark: DataFrame, width: int, block_bytes: int) -> Blocks:
+    """The benchmark in blocks that the executors make; they pass through the driver one at a time, as bytes."""
+    spark = benchmark.sparkSession
+    items = benchmark.select("item_id", "text")
+    total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def block() -> pa.RecordBatch:
+            p = Phrases(held, width)
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(p)], pa.binary()), pa.array([np.unique(p.hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int32)], pa.list_(pa.int32())), pa.array([p.shortest], pa.int32())], names=["block", "bits", "shortest"])
+
+        for batch in batches:
+            for i, x in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                held.append((i, x))
+                size += len(x or "")
+                if size >= block_bytes:
+                    yield block()
+                    held, size = [], 0
+        if held:
+            yield block()
+
+    made, at = written(arrow_map(items.repartition(max(1, -(-total // (8 * block_bytes)))), pack, "block binary, bits array<int>, shortest int"), "benchmark")
+    shared, may_have, shortest = [], np.zeros(1 << FILTER_BITS - 3, np.uint8), 0
+    for r in made.toLocalIterator():
+        shared.append(spark.sparkContext.broadcast(bytes(r["block"])))
+        bits = np.array(r["bits"], np.int64)
+        np.bitwise_or.at(may_have, bits >> 3, np.uint8(1) << (bits & 7).astype(np.uint8))
+        shortest = min(shortest or r["shortest"], r["shortest"] or shortest)
+    drop_path(spark, at)
+    return Blocks(shared, may_have, shortest)
+
+
+def scan_shard(texts: list[bytes], blocks: Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
     """Begin and end bytes of all words (of the joined texts), which are hit, words before each text (and all), items of each text."""
     n = len(texts)
     joined = b"\x00".join(texts)
@@ -121,69 +167,58 @@ def scan_shard(texts: list[bytes], phrases: Phrases) -> tuple[np.ndarray, np.nda
     starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))).astype(np.int64)
     first = np.searchsorted(begin, starts)
     hit = np.zeros(len(begin), bool)
-    items: list[list[str]] = [[] for _ in range(n)]
-    if not phrases.shortest or not len(begin):
-        return begin, end, hit, first, items
-    symbol = phrases.of(hashes)
-    # runs of known words within a text: a text's first word begins a run
-    breaks = symbol == 0
+    items: list[set[str]] = [set() for _ in range(n)]
+    # runs of words that the benchmark may have, within a text: a text's first word begins a run
+    breaks = ~blocks.known(hashes) if blocks.shortest else np.ones(len(begin), bool)
     new_text = np.zeros(len(begin) + 1, bool)
     new_text[first] = True
     run_begin = np.flatnonzero(~breaks & (np.concatenate(([True], breaks[:-1])) | new_text[:-1]))
     run_end = np.flatnonzero(~breaks & (np.concatenate((breaks[1:], [True])) | new_text[1:])) + 1
-    long_ = run_end - run_begin >= phrases.shortest
+    long_ = run_end - run_begin >= blocks.shortest
     run_begin, run_end = run_begin[long_], run_end[long_]
     if not len(run_begin):
-        return begin, end, hit, first, items
+        return begin, end, hit, first, [[] for _ in texts]
     lengths = run_end - run_begin + 1  # with the closing 0
     stops = np.cumsum(lengths)
     word_at = np.arange(stops[-1]) - np.repeat(stops - lengths - run_begin, lengths)
-    s = symbol[np.minimum(word_at, len(symbol) - 1)]
-    s[stops - 1] = 0
-    index = FMIndex(s, len(phrases.words))
+    closing = np.zeros(len(word_at), bool)
+    closing[stops - 1] = True
+    own, number = np.unique(hashes[word_at[~closing]], return_inverse=True)  # the shard's words
+    s = np.zeros(len(word_at), np.int64)
+    s[~closing] = number + 1
+    index = FMIndex(s, len(own))
     deltas = np.zeros(len(begin) + 1, np.int64)
-    pairs = []
-    for m, (patterns, owner_at, owners) in phrases.by_length.items():
-        lo, hi = index.search(patterns)
-        found = np.flatnonzero(hi > lo)
-        counts = hi[found] - lo[found]
-        if not len(found):
-            continue
-        rows = np.repeat(lo[found] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-        which = np.repeat(found, counts)
-        at = word_at[index.locate(rows)]
-        # words by their bytes, as hashes may collide
-        same = np.ones(len(at), bool)
-        span_begin, span_end = begin[at], end[at + m - 1]
-        seen: dict[tuple[int, bytes], bool] = {}
-        for j, (w, a, b) in enumerate(zip(which.tolist(), span_begin.tolist(), span_end.tolist(), strict=True)):
-            raw = data[a:b].tobytes()
-            if (ok := seen.get((w, raw))) is None:
-                ok = seen[w, raw] = WORD.findall(raw) == [phrases.words[c - 1] for c in patterns[w]]
-            same[j] = ok
-        at, which = at[same], which[same]
-        np.add.at(deltas, at, 1)
-        np.add.at(deltas, at + m, -1)
-        doc = np.searchsorted(first, at, side="right") - 1
-        n_own = owner_at[which + 1] - owner_at[which]
-        flat = np.repeat(owner_at[which] - np.concatenate(([0], np.cumsum(n_own)[:-1])), n_own) + np.arange(n_own.sum()) if len(which) else np.empty(0, np.int64)
-        pairs.append(np.unique(np.repeat(doc, n_own) * len(phrases.ids) + owners[flat]))
-    hit = np.cumsum(deltas[:-1]) > 0
-    for x in np.unique(np.concatenate(pairs)).tolist() if pairs else []:
-        items[x // len(phrases.ids)].append(phrases.ids[x % len(phrases.ids)])
-    return begin, end, hit, first, items
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[object, str | None]]]:
-    block, size = [], 0
-    for r in benchmark.select("item_id", "text").toLocalIterator():
-        block.append((r["item_id"], r["text"]))
-        size += len(r["text"] or "")
-        if size >= block_bytes:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+    for phrases in blocks:
+        k = np.minimum(np.searchsorted(own, phrases.hashes), len(own) - 1)
+        symbol = np.where(own[k] == phrases.hashes, k + 1, 0)
+        for m, (patterns, owner_at, owners) in phrases.by_length.items():
+            here = symbol[patterns]
+            some = np.flatnonzero((here > 0).all(1))  # the others have a word that the shard has not
+            lo, hi = index.search(here[some])
+            found = np.flatnonzero(hi > lo)
+            if not len(found):
+                continue
+            counts = hi[found] - lo[found]
+            rows = np.repeat(lo[found] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+            which = np.repeat(some[found], counts)
+            at = word_at[index.locate(rows)]
+            # words by their bytes, as hashes may collide
+            same = np.ones(len(at), bool)
+            seen: dict[tuple[int, bytes], bool] = {}
+            for j, (w, a, b) in enumerate(zip(which.tolist(), begin[at].tolist(), end[at + m - 1].tolist(), strict=True)):
+                raw = data[a:b].tobytes()
+                if (ok := seen.get((w, raw))) is None:
+                    ok = seen[w, raw] = WORD.findall(raw) == [phrases.words[c] for c in patterns[w]]
+                same[j] = ok
+            at, which = at[same], which[same]
+            np.add.at(deltas, at, 1)
+            np.add.at(deltas, at + m, -1)
+            doc = np.searchsorted(first, at, side="right") - 1
+            n_own = owner_at[which + 1] - owner_at[which]
+            flat = np.repeat(owner_at[which] - np.concatenate(([0], np.cumsum(n_own)[:-1])), n_own) + np.arange(n_own.sum()) if len(which) else np.empty(0, np.int64)
+            for x in np.unique(np.repeat(doc, n_own) * len(phrases.ids) + owners[flat]).tolist():
+                items[x // len(phrases.ids)].add(phrases.ids[x % len(phrases.ids)])
+    return begin, end, np.cumsum(deltas[:-1]) > 0, first, [sorted(x) for x in items]
 
 
 def _shards(batch: pa.RecordBatch, bound: int) -> Iterator[pa.RecordBatch]:
@@ -203,62 +238,43 @@ def contamination(df: DataFrame, benchmark: DataFrame, width: int = 10, block_by
     byte of each maximal hit passage); with it ``df``'s own columns, where ``text`` has lost each
     passage from its first hit word to its last (and ``n_chars``, if there is one, is
     counted again). A null text has no words and stays null; null ids are kept, repeated rows
-    each count, empty tables give no rows, other columns are left alone. Items with a
-    null id or no words have no windows; items with fewer than ``width`` words are one window.
+    each count, empty tables give no rows; other columns are left alone, whatever their names. A text
+    longer than a shard is a shard of its own. Items with a null id or no words have no windows; items
+    with fewer than ``width`` words are one window; items with equal ids are one, items with equal windows are each found.
     """
-    sc = df.sparkSession.sparkContext
-    blocks = [sc.broadcast(Phrases(b, width)) for b in _blocks(benchmark, block_bytes)] or [sc.broadcast(Phrases([], width))]
-    # each block is bounded by block_bytes; a worker holds one at a time
-    columns = df.columns if clean else ["doc_id", "text"]
-    base = df.select(*columns)
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    extra = ["n_words", "n_hit", "items", "spans"]
-    while {*extra} & {c.lower() for c in columns}:  # columns of these names are the caller's
-        extra = [f"{c}_" for c in extra]
-    found = ", ".join(f"{c} {t}" for c, t in zip(extra, ("long", "long", "array<string>", "array<array<long>>"), strict=True))
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-
-        def run(batches: Iterator[pa.RecordBatch], block=block, k=k, last=last) -> Iterator[pa.RecordBatch]:
-            phrases = block.value
-            for whole in batches:
-                for batch in _shards(whole, SHARD_BYTES):
-                    texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-                    begin, end, hit, first, items = scan_shard(texts, phrases)
-                    if k:
-                        for j, (old_items, old_spans) in enumerate(zip(batch.column(extra[2]).to_pylist(), batch.column(extra[3]).to_pylist(), strict=True)):
-                            items[j] = sorted({*items[j], *old_items})
-                            at0 = sum(len(t) + 1 for t in texts[:j]) if old_spans else 0
-                            for a, b in old_spans:
-                                hit[np.searchsorted(begin, at0 + a) : np.searchsorted(begin, at0 + b)] = True
-                    n_words = np.diff(first)
-                    total = np.concatenate(([0], np.cumsum(hit)))
-                    n_hit = total[first[1:]] - total[first[:-1]]
-                    spans: list[list[list[int]]] = [[] for _ in texts]
-                    at0 = 0
-                    for j, t in enumerate(texts):
-                        if n_hit[j]:
-                            h = hit[first[j] : first[j + 1]]
-                            edge = np.flatnonzero(np.diff(np.concatenate(([False], h, [False])).view(np.int8))) + first[j]
-                            spans[j] = [[int(begin[a] - at0), int(end[b - 1] - at0)] for a, b in zip(edge[::2], edge[1::2], strict=True)]
-                        at0 += len(t) + 1
-                    cols = {c: batch.column(c) for c in columns}
-                    if clean and last and any(spans):
-                        null = batch.column("text").is_null().to_pylist()
-                        cut = [None if z else b"".join(t[a:b] for a, b in zip([0, *(y for _, y in sp)], [*(x for x, _ in sp), len(t)], strict=True)).decode() for t, sp, z in zip(texts, spans, null, strict=True)]
-                        cols["text"] = pa.array(cut, pa.string())
-                        if "n_chars" in cols:
-                            cols["n_chars"] = pa.array([len(c) if sp else n for c, sp, n in zip(cut, spans, batch.column("n_chars").to_pylist(), strict=True)], batch.column("n_chars").type)
-                    arrays = list(cols.values())
-                    if last and not clean:
-                        arrays = [batch.column("doc_id")]
-                    if not (last and clean):
-                        arrays += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
-                    names = (columns if clean else ["doc_id"]) if last else list(columns)
-                    names = names + ([] if last and clean else extra)
-                    yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-        id_type = dict(base.dtypes).get("doc_id", "long")
-        schema = (own if clean else f"doc_id {id_type}, {found}") if last else f"{own}, {found}"
-        base = arrow_map(base, run, schema)
-    return base
+    made = blocks_of(benchmark, width, block_bytes)
+    parts, shortest = made.shared, made.shortest
+    may_have = df.sparkSession.sparkContext.broadcast(made.may_have)  # of fixed size
+    columns = df.columns if clean else ["doc_id"]
+    base = df if clean else df.select("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(parts, may_have.value, shortest)
+        for whole in batches:
+            for batch in _shards(whole, SHARD_BYTES):
+                texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+                begin, end, hit, first, items = scan_shard(texts, blocks)
+                n_words = np.diff(first)
+                total = np.concatenate(([0], np.cumsum(hit)))
+                n_hit = total[first[1:]] - total[first[:-1]]
+                spans: list[list[list[int]]] = [[] for _ in texts]
+                at0 = 0
+                for j, t in enumerate(texts):
+                    if n_hit[j]:
+                        h = hit[first[j] : first[j + 1]]
+                        edge = np.flatnonzero(np.diff(np.concatenate(([False], h, [False])).view(np.int8))) + first[j]
+                        spans[j] = [[int(begin[a] - at0), int(end[b - 1] - at0)] for a, b in zip(edge[::2], edge[1::2], strict=True)]
+                    at0 += len(t) + 1
+                cols = {c: batch.column(c) for c in columns}
+                if clean and any(spans):
+                    null = batch.column("text").is_null().to_pylist()
+                    cut = [None if z else b"".join(t[a:b] for a, b in zip([0, *(y for _, y in sp)], [*(x for x, _ in sp), len(t)], strict=True)).decode() for t, sp, z in zip(texts, spans, null, strict=True)]
+                    cols["text"] = pa.array(cut, pa.string())
+                    if "n_chars" in cols:
+                        cols["n_chars"] = pa.array([len(c) if sp else n for c, sp, n in zip(cut, spans, batch.column("n_chars").to_pylist(), strict=True)], batch.column("n_chars").type)
+                if not clean:
+                    cols |= {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64())))}
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name in columns)
+    return arrow_map(base, run, own if clean else f"{own}, n_words long, n_hit long, items array<string>, spans array<array<long>>")
