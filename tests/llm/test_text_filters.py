@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm import cases
@@ -26,12 +28,12 @@ def chars(spark):
     [("1d10t", "idiot"), ("$tup1d", "stupid"), ("i d i o t", "idiot"), ("m.o.r.o.n", "moron"), ("looooser", "loser"), ("w0rthl3ss", "worthless"), ("p4th3t1c", "pathetic"), ("cl*wn", "clown"), ("IDI0T".lower(), "idiot")],
 )
 def test_restored(chars, said, meant):
-    assert meant in noisy.restore_all(f"a {said} here", chars).split()
+    assert meant in noisy.restore(f"the {said} here", chars).split()
 
 
 @pytest.fixture(scope="module")
 def more_chars(spark):
-    df = spark.createDataFrame([((ENGLISH + "you are an asshole and such shit is hell so kill all of the stupid morons you moron ") * 40,)], "text string")
+    df = spark.createDataFrame([((ENGLISH + "you are an ass and an asshole and such shit is hell so kill all of the stupid morons you moron ") * 40,)], "text string")
     return noisy.CharModel(toxicity.char_counts(df))
 
 
@@ -39,44 +41,83 @@ def more_chars(spark):
 def test_long_spans_are_decoded(more_chars, gap):
     said = "you are a stupid idiot and a pathetic loser the worthless moron".split()
     spaced = (gap if len(gap) > 1 else " ").join(gap[0].join(w) for w in said) if len(gap) > 1 else gap.join("".join(said))
-    assert len(spaced) > noisy.LONGEST and noisy._SUSPECT.search(spaced).group(0) == spaced and noisy.suspects([spaced.encode()]) == [0]
-    assert {"stupid", "idiot", "pathetic", "loser", "worthless", "moron"} <= set(noisy.restore_all(spaced, more_chars).split())
-    assert noisy.restore_all(gap.join("stupid" * 4000), more_chars).count("stupid") > 3900
+    assert len(spaced) > noisy.LONGEST and noisy._SUSPECT.search(spaced).group(0) == spaced and noisy.suspects([spaced]) == [0]
+    assert {"stupid", "idiot", "pathetic", "loser", "worthless", "moron"} <= set(noisy.restore(spaced, more_chars).split())
+    assert noisy.restore(gap.join("stupid" * 4000), more_chars).count("stupid") > 3900
 
 
 def test_long_runs_are_decoded(more_chars):
     for said in ("stup" + 70 * "i" + "d", "s" + 50 * "t" + "up" + 50 * "i" + "d", "st" + 90 * "u" + "p1d"):
-        assert "stupid" in noisy.restore_all(said, more_chars).split()
+        assert "stupid" in noisy.restore(said, more_chars).split()
 
 
 @pytest.mark.parametrize(
     "said, meant",
-    [("ki11", "kill"), ("he11", "hell"), ("@$$hole", "asshole"), ("455hole", "asshole"), ("shi+", "shit"), ("stup!d!", "stupid!"), ("m 0 r 0 n", "moron"), ("s/t/u/p/i/d", "stupid"), ("s t u p 1 d", "stupid"), ("$ t u p i d", "stupid"), ("1 d 1 0 t", "idiot"), ("m.0.r.0.n", "moron"), ("a$$", "ass"), ("shi*", "shit"), ("ki1|", "kill")],
+    [("ki11", "kill"), ("he11", "hell"), ("@$$hole", "asshole"), ("455hole", "asshole"), ("shi+", "shit"), ("stup!d!", "stupid!"), ("m 0 r 0 n", "moron"), ("s/t/u/p/i/d", "stupid"), ("s t u p 1 d", "stupid"), ("$ t u p i d", "stupid"), ("1 d 1 0 t", "idiot"), ("m.0.r.0.n", "moron"), ("shi*", "shit"), ("ki1|", "kill")],
 )
 def test_substitutes_at_ends_and_set_apart(more_chars, said, meant):
-    text = f"a {said} here"
-    assert noisy.suspects([text.encode()]) == [0] and noisy._SUSPECT.search(text)
-    assert meant in noisy.restore_all(text, more_chars).split()
+    text = f"the {said} here"
+    assert noisy.suspects([text]) == [0] and noisy._SUSPECT.search(text)
+    assert meant in noisy.restore(text, more_chars).split()
 
 
 def test_signs_at_ends_stay_signs(more_chars):
     for clean in ("a good place!", "others!!!", "the 100th and others123", "1 2 3 4 5 6", "10/12/2024"):
-        assert set(clean.split()) <= set(noisy.restore_all(clean, more_chars).split())
+        assert set(clean.split()) <= set(noisy.restore(clean, more_chars).split())
     assert noisy.restore("a good place! 10/12/2024 1 2 3 4", more_chars) == "a good place! 10/12/2024 1 2 3 4"
 
 
 def test_clean_text_is_left_alone(chars):
     clean = "the others are here, in 2024 at 10:30; a good book (with 3 pages) for all. see you too!"
-    assert noisy.restore(clean, chars) == clean and noisy.suspects([b"a good book, 12 pages"]) == []
+    assert noisy.restore(clean, chars) == clean and noisy.suspects(["a good book, 12 pages"]) == []
 
 
-def test_suspects_miss_nothing(chars):
-    rng = random.Random(1)
-    texts = ["".join(rng.choice("abo01@$ .-é!") for _ in range(rng.randint(0, 30))) for _ in range(500)]
-    found = set(noisy.suspects([t.encode() for t in texts]))
+PRINTABLE = "".join(map(chr, range(32, 127)))
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.text(st.sampled_from(PRINTABLE + "abo01@$ .-!_/*+|[](){}=" * 3 + "éüßñçя日٣αﬀ\u0301\n"), max_size=30), min_size=1, max_size=4))
+def test_suspects_miss_nothing(texts):
+    texts = [t.lower() for t in texts]
+    found = noisy.suspects(texts)
+    assert found == sorted(set(found))
     for k, t in enumerate(texts):
-        if noisy._SUSPECT.search(t) and all(ord(c) < 128 for c in t):
-            assert k in found, t
+        assert k in found or not noisy._SUSPECT.search(t), t
+
+
+@pytest.mark.parametrize("text", ["[f u n]", "/f u n/", "=f u n=", "é ü é", "a 日 本 b", "x1", "1x", "ooo"])
+def test_suspects_of_signs_around(text):
+    assert noisy._SUSPECT.search(text) is None or noisy.suspects([text]) == [0]
+
+
+def every_reading(o, inner):
+    """All paths through the lattice: their text and the channel's cost."""
+    arcs = noisy.lattice(o, inner)
+    paths = [(0, "", 0.0)]
+    while any(i < len(o) for i, *_ in paths):
+        paths = [(i + k, text + letters, s + cost) for i, text, s in paths for k, letters, cost in (arcs[i] if i < len(o) else [(0, "", 0.0)])]
+    return [(text, s) for _, text, s in paths]
+
+
+@pytest.mark.parametrize("beam", [1, 2, 24])
+def test_decoding_is_exact(more_chars, monkeypatch, beam):
+    monkeypatch.setattr(noisy, "BEAM", beam)
+    rng = random.Random(5)
+    for _ in range(150):
+        o = "".join(rng.choice("stupid10!@ .*") for _ in range(rng.randint(1, 6)))
+        if o.count("*") > 2:
+            continue
+        known, inner = rng.choice([(0, False), (noisy.code_of([19, 20]), True)])
+        best = -1e9
+        for text, s in every_reading(o, inner):
+            last = known
+            for d in [*noisy.symbols_of(text).tolist(), 0]:
+                if d or last % noisy.SYMBOLS:
+                    s += more_chars.logp[last * noisy.SYMBOLS + d]
+                    last = (last * noisy.SYMBOLS + d) % noisy._STATES
+            best = max(best, s)
+        score, text = more_chars.decoded(known, inner, False, o)
+        assert abs(score - best) < 1e-6 and text in dict(every_reading(o, inner))
 
 
 def test_counts_cover_all_texts(spark):
@@ -104,11 +145,40 @@ def test_learns_and_generalises(spark):
     assert len(right) > 50 and np.mean(right) > 0.97
 
 
+@pytest.mark.parametrize("share", [0.5, 0.6, 0.9])
+def test_learns_where_most_are_toxic(spark, share):
+    rng = random.Random(3)
+    plain = "the of and a to in is that it was for on are with as his they at be this".split()
+    rows, labels = [], []
+    for k in range(600):
+        w = [rng.choice(plain) for _ in range(rng.randint(5, 60))]
+        toxic = rng.random() < share
+        if toxic:
+            w.insert(rng.randrange(len(w)), rng.choice(["idiot", "m0ron"]))
+        rows.append((k, " ".join(w), "en", "s", 1))
+        labels.append((k, int(toxic)))
+    df, lab = cases.documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    kept = {r["doc_id"] for r in toxicity.reject(df, lab).collect()}
+    assert kept == {k for k, y in labels if not y}
+
+
+def test_the_fit_is_at_its_optimum():
+    rng = np.random.default_rng(7)
+    x = rng.random((200, 12)) < 0.3
+    y = (rng.random(200) < 1 / (1 + np.exp(-(x @ rng.normal(size=12) - 0.5)))).astype(float)
+    w, b = toxicity.fit(*np.nonzero(x), y, 12, l2=0.1, rounds=5000)
+    off = 1 / (1 + np.exp(-(x @ w + b))) - y
+    assert np.abs(x.T @ off + 0.1 * w).max() < 1e-3 and abs(off.sum()) < 1e-3
+
+
 def test_toxicity_of_odd_rows(spark):
     df = cases.with_clashes(cases.documents(spark))
     labels = spark.createDataFrame([(6, 1), (3, 0), (None, 1), (4, None), (6, 1)], "doc_id long, toxic int")
     out = toxicity.reject(df, labels)
-    assert out.columns == df.columns and out.count() <= len(cases.odd_rows())
+    # two labelled rows give no feature, so nothing tells for or against a text
+    assert out.columns == df.columns and out.count() == len(cases.odd_rows())
+    scores = [r["score"] for r in toxicity.score(df, *toxicity.train(df, labels)).collect()]
+    assert len(scores) == len(cases.odd_rows()) and len(set(scores)) == 1 and 0 < scores[0] < 1
     none = toxicity.train(df, labels.filter("false"))
     assert none[1] is None and all(r["score"] == 0 for r in toxicity.score(df, *none).collect())
     assert toxicity.reject(df, labels.filter("false")).count() == len(cases.odd_rows())

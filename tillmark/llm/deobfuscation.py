@@ -1,24 +1,32 @@
-"""Noisy channel for obfuscated words: a lattice of what each character may stand for, decoded by Viterbi under a character model."""
+"""Noisy channel for obfuscated words: a lattice of what each character may stand for, decoded by Viterbi under a character model.
+
+The likeliest path is exact. It is one reading: where letters set apart follow a word of one letter
+("a i d i o t"), the model alone says whether that letter belongs to them, and signs after what
+is a word of its own ("a$$") stay signs if that is likelier.
+"""
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Symbols of the character model: 0 a boundary, 1 to 26 a-z, the rest other letters by their code point.
-SYMBOLS = 64
+#: Symbols of the character model: 0 a boundary, 1 to 26 a-z, the rest other letters by their code point; and how many it looks at at once.
+SYMBOLS, ORDER = 32, 4
 
 #: Letters that a character is used for in place of them.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "abcdefghijklmnopqrstuvwxyz",
 }
-#: Log-probabilities of the channel: a letter as it is, a substitute, a dropped separator, a collapsed run.
-AS_IS, SUBSTITUTE, DROP, COLLAPSE, COLLAPSE_TWO = -0.02, -1.6, -0.4, -0.7, -3.0
-#: States kept at a character, readings kept in a state, readings of a span, and how far (in log-probability) they may lie behind the likeliest.
-BEAM, KEPT, READINGS, BEHIND = 24, 3, 4, 6.0
+#: Log-probabilities of the channel: a letter or a sign after a word as it is, a digit beside letters as it is, a substitute, a dropped separator, a collapsed run.
+AS_IS, DIGIT, SUBSTITUTE, DROP, COLLAPSE, COLLAPSE_TWO = -0.02, -1.2, -1.6, -0.4, -0.7, -3.0
+#: Weight of the model of fewer symbols, in symbols seen.
+PRIOR = 4.0
+#: States at a character in a first search; where it leaves some out, its score bounds a second one that leaves out nothing that could win.
+BEAM = 24
 #: Characters that are decoded at once; a longer span is cut where its likeliest reading has a space, with so many characters after it known.
 LONGEST, AHEAD = 64, 20
 
@@ -26,8 +34,6 @@ LONGEST, AHEAD = 64, 20
 SEPARATORS = " .-_*/"
 _RUN = re.compile(r"(.)\1{3,}", re.S)
 _DOUBLE, _GAPS = re.compile(r"[ .\-_*/]{2}"), re.compile(r"[ .\-_*/]+")
-_EDGED = re.compile(r"^[0-9@$!|+]{2,}[^\W\d_]|[^\W\d_][0-9@$!|+*]{2,}$")
-_ENDED, _THRICE = re.compile(r"[^\W\d_]+[!|+*]+"), re.compile(r"([^\W\d_])\1\1")
 _SUSPECT = re.compile(
     # letters and substitutes set apart, two letters among the first
     r"(?<!\w)(?=(?:(?:[^\W_]|[@$!|+])[ .\-_*/]{1,2}){0,3}?[^\W\d_][ .\-_*/]{1,2}(?:(?:[^\W_]|[@$!|+])[ .\-_*/]{1,2}){0,3}?[^\W\d_](?!\w))"
@@ -43,35 +49,49 @@ def symbols_of(text: str) -> np.ndarray:
     return _TABLE[np.minimum(cp, len(_TABLE) - 1)]
 
 
+_OTHER = 27
+
+
 def _table() -> np.ndarray:
     out = np.zeros(0x2000, np.int64)
     for cp in range(len(out)):
         if 97 <= cp < 123:
             out[cp] = cp - 96
         elif chr(cp).isalpha() and cp > 127:
-            out[cp] = 27 + cp % (SYMBOLS - 27)
+            out[cp] = _OTHER + cp % (SYMBOLS - _OTHER)
     return out
 
 
 _TABLE = _table()
-_OTHER = 27
+
+
+_STATES = SYMBOLS ** (ORDER - 1)
+
+
+def code_of(symbols: list[int]) -> int:
+    """Code of the last symbols, as many as the model looks back on."""
+    code = 0
+    for d in symbols:
+        code = (code * SYMBOLS + d) % _STATES
+    return code
 
 
 class CharModel:
-    """Interpolated trigram model from counts of ``a * 64 * 64 + b * 64 + c``."""
+    """Interpolated model of ``ORDER`` symbols, from counts of their codes in base ``SYMBOLS``."""
 
     def __init__(self, counts: np.ndarray) -> None:
-        tri = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(np.float64)
-        bi, uni = tri.sum(0), tri.sum((0, 1))
-        p1 = (uni + 1) / (uni.sum() + SYMBOLS)
-        p2 = (bi + 4 * p1) / (bi.sum(1, keepdims=True) + 4)
-        p3 = (tri + 8 * p2) / (tri.sum(2, keepdims=True) + 8)
-        self.logp = np.log(p3).astype(np.float32)
-        self.seen: dict[str, list[str]] = {}
-        self.tails: dict[tuple, list[str]] = {}
-
-    def readings(self, span: str) -> list[str]:
-        """What may stand behind ``span`` (lower-cased), likeliest first."""
+        n = [counts.reshape((SYMBOLS,) * ORDER).astype(np.float64)]
+        for _ in range(ORDER - 1):
+            n.append(n[-1].sum(0))
+        p = (n[-1] + 1) / (n[-1].sum() + SYMBOLS)
+        for c in reversed(n[:-1]):
+            p = (c + PRIOR * p) / (c.sum(-1, keepdims=True) + PRIOR)
+        self.logp = array("f", np.log(p).astype(np.float32).tobytes())  # by the code of ``ORDER`` symbols
+        self.seen: dict[str, str] = {}
+        self.tails: dict[tuple, str] = {}
+
+    def reading(self, span: str) -> str:
+        """What most likely stands behind ``span`` (lower-cased)."""
         if (got := self.seen.get(span)) is not None:
             return got
         if len(self.seen) > 200_000:
@@ -79,15 +99,9 @@ class CharModel:
         if len(span) > LONGEST:
             span = _RUN.sub(r"\1\1\1", span)
         if len(span) <= LONGEST:
-            out = self._viterbi(span)
-            if _ENDED.fullmatch(span) and not _THRICE.search(span):  # a word and its sign stay first, likely readings come after
-                out = [span, *(x for x in out if x != span)]
-            elif _EDGED.search(span) and span not in out:
-                out = [*out, span]
-            self.seen[span] = out
+            out = self.seen[span] = self._viterbi(span)
             return out
-        parts = [self.readings(x) for x in self._pieces(span)]
-        return [" ".join(x[min(k, len(x) - 1)] for x in parts) for k in range(max(map(len, parts)))]
+        return " ".join(self.reading(x) for x in self._pieces(span))
 
     def _pieces(self, span: str) -> Iterator[str]:
         """``span`` in pieces of at most ``LONGEST``: cut between words, or overlapping where no end of a word is in sight."""
@@ -97,7 +111,7 @@ class CharModel:
             # double separators first if others are single, else the spaces of the likeliest reading
             ends = [m.start() for m in _DOUBLE.finditer(window, 1, LONGEST - 2)]
             ends = ends if 2 * len(ends) < len(_GAPS.findall(window)) else []
-            ends = ends or [k for k, c in enumerate(self._viterbi(window, True)[0][: LONGEST - AHEAD]) if c == " " and k]
+            ends = ends or [k for k, c in enumerate(self._viterbi(window, True)[: LONGEST - AHEAD]) if c == " " and k]
             yield window[: ends[-1]] if ends else window
             at += ends[-1] if ends else LONGEST - AHEAD
             while at < len(span) and span[at] in SEPARATORS:
@@ -105,114 +119,114 @@ class CharModel:
         if at < len(span):
             yield span[at:]
 
-    def _viterbi(self, o: str, aligned: bool = False) -> list[str]:
-        """Readings of ``o``; ``aligned`` ones are as long as ``o``, filled up with zeros."""
-        # letters at the beginning that can only be themselves: what follows depends on the last two
+    def _viterbi(self, o: str, aligned: bool = False) -> str:
+        """The likeliest reading of ``o``; an ``aligned`` one is as long as ``o``, filled up with zeros."""
+        # letters at the beginning that can only be themselves: what follows depends on the last few
         k = 0
         while k < len(o) - 1 and o[k].isalpha() and o[k + 1] != o[k]:
             k += 1
-        p, q = (0, 0, *symbols_of(o[max(0, k - 2) : k]).tolist())[-2:]
-        key = (p, q, k > 0, aligned, o[k:])
+        known = code_of(symbols_of(o[max(0, k - ORDER + 1) : k]).tolist())
+        key = (known, k > 0, aligned, o[k:])
         if (got := self.tails.get(key)) is None:
             if len(self.tails) > 200_000:
                 self.tails.clear()
-            got = self.tails[key] = self._decoded(p, q, k > 0, aligned, o[k:])
-        return [o[:k] + x for x in got]
-
-    def _decoded(self, p: int, q: int, inner: bool, aligned: bool, o: str) -> list[str]:
-        """Readings of ``o`` after symbols ``p, q``; ``inner`` after letters of the same span."""
-        logp, n = self.logp, len(o)
-        # at each character and for each last two symbols: the best few readings so far
-        at: list[dict[tuple[int, int], list[tuple[float, str]]]] = [{} for _ in range(n + 1)]
-        at[0][p, q] = [(0.0, "")]
-        # signs before and after all letters may also be signs, if they are several or what ends a sentence
-        letters_at = [-1] * inner + [k for k, c in enumerate(o) if c.isalpha()] or [n]
-        first, last = letters_at[0], letters_at[-1]
-        signs = set(range(first) if first > 1 else ()) | set(range(last + 1, n) if n - last > 2 or o[-1] in "!|+*" else ())
-        for i in range(n):
-            x, states = o[i], at[i]
-            if len(states) > BEAM:
-                states = {s: states[s] for s in sorted(states, key=lambda s: -states[s][0][0])[:BEAM]}
-            r = 1
-            while i + r < n and o[i + r] == x:
-                r += 1
-            arcs = []  # steps, letters, channel
-            if x.isalpha():
-                arcs.append((1, x, AS_IS))
-                if r >= 3:
-                    arcs += [(r, x, COLLAPSE), (r, x + x, COLLAPSE)]
-                elif r == 2:
-                    arcs.append((2, x, COLLAPSE_TWO))
-            else:
-                arcs += [(k, c, SUBSTITUTE) for c in LEET.get(x, "") for k in sorted({1, r})]
-                if i in signs and x not in " .-_/":
-                    arcs.append((1, x, AS_IS))
-                if x in SEPARATORS:
-                    arcs += [(r, "", DROP), (r, " ", DROP)]
-                elif not arcs:
-                    arcs.append((r, "", 4 * DROP))
+            got = self.tails[key] = self.decoded(*key)[1]
+        return o[:k] + got
+
+    def decoded(self, known: int, inner: bool, aligned: bool, o: str) -> tuple[float, str]:
+        """Score and text of the likeliest path through the lattice of ``o`` after symbols of the code ``known``; ``inner`` after letters of the same span."""
+        score, text, whole = self._search(known, inner, aligned, o, BEAM, -np.inf)
+        if not whole:  # no logarithm of a probability is above 0: a state below a path's score cannot lead to a better one
+            score, text, _ = self._search(known, inner, aligned, o, None, score - 1e-9)
+        return score, text
+
+    def _search(self, known: int, inner: bool, aligned: bool, o: str, beam: int | None, floor: float) -> tuple[float, str, bool]:
+        """The best path over the best ``beam`` states at each character, and whether those were all."""
+        logp, n, whole = self.logp, len(o), True
+        # at each character and for the code of the last symbols: the best reading so far
+        at: list[dict[int, tuple[float, str]]] = [{} for _ in range(n + 1)]
+        at[0][known] = (0.0, "")
+        for i, arcs in enumerate(lattice(o, inner)):
+            states = at[i]
+            if beam and len(states) > beam:
+                states, whole = {s: states[s] for s in sorted(states, key=lambda s: -states[s][0])[:beam]}, False
             if aligned:
                 arcs = [(k, letters.ljust(k, "\0"), cost) for k, letters, cost in arcs]
-            for (p, q), best in states.items():
-                for k, letters, cost in arcs:
-                    a, b, s = p, q, cost
-                    for c in letters.rstrip("\0"):
-                        d = int(_TABLE[min(ord(c), len(_TABLE) - 1)])
-                        s += logp.item(a, b, d)
-                        a, b = b, d
-                    here = at[i + k].setdefault((a, b), [])
-                    known = {t for _, t in here}
-                    here += [(score + s, text + letters) for score, text in best if text + letters not in known]
-                    here.sort(key=lambda y: (-y[0], y[1]))
-                    del here[KEPT:]
-        ends = sorted(((s + logp.item(a, b, 0), t) for (a, b), best in at[n].items() for s, t in best), key=lambda y: (-y[0], y[1]))
-        out: dict[str, None] = {}
-        for s, t in ends:
-            if s >= ends[0][0] - BEHIND and len(out) < READINGS:
-                out[t] = None
-        return list(out) or [o]
-
-
-_CLASS = np.zeros(256, np.uint8)  # 1 letter, 2 leet, 4 what may stand between letters
-for _b in b"abcdefghijklmnopqrstuvwxyz":
-    _CLASS[_b] = 1
-_CLASS[128:] = 1
-for _c in LEET:
-    _CLASS[ord(_c)] |= 2
-for _b in range(128):
-    if not chr(_b).isalnum():
-        _CLASS[_b] |= 4
-
-
-def suspects(texts: list[bytes]) -> list[int]:
-    """Indexes of the lower-cased texts that may hold an obfuscated word; others cannot."""
-    data = np.frombuffer(b"\n\n".join(texts) + b"\n\n", np.uint8)
-    if len(data) < 6:
-        return []
-    k = _CLASS[data]
-    letter, leet, gap = (k & 1) > 0, (k & 2) > 0, (k & 4) > 0
-    hit = np.zeros(len(data), bool)
+            arcs = [(k, letters, cost, [int(_TABLE[min(ord(c), len(_TABLE) - 1)]) for c in letters if c != "\0"]) for k, letters, cost in arcs]
+            for state, (score, text) in states.items():
+                for k, letters, cost, symbols in arcs:
+                    last, s = state, score + cost
+                    for d in symbols:
+                        if d or last % SYMBOLS:  # a boundary after a boundary is the same one
+                            last = last * SYMBOLS + d
+                            s += logp[last]
+                            last %= _STATES
+                    if s < floor:
+                        continue
+                    here = at[i + k].get(last)
+                    if here is None or s > here[0] or s == here[0] and text + letters < here[1]:
+                        at[i + k][last] = (s, text + letters)
+        score, text = min(((s + logp[last * SYMBOLS] if last % SYMBOLS else s, t) for last, (s, t) in at[n].items()), key=lambda y: (-y[0], y[1]))
+        return score, text, whole
+
+
+def lattice(o: str, inner: bool = False) -> list[list[tuple[int, str, float]]]:
+    """For each character of ``o`` its arcs: how many characters they take, the letters they stand for, and the channel's log-probability."""
+    n = len(o)
+    # signs before and after all letters may also be signs, if they are several or what ends a sentence
+    letters_at = [-1] * inner + [k for k, c in enumerate(o) if c.isalpha()] or [n]
+    first, last = letters_at[0], letters_at[-1]
+    signs = set(range(first) if first > 1 else ()) | set(range(last + 1, n) if n - last > 2 or o[-1] in "!|+*" else ())
+    out = []
+    for i, x in enumerate(o):
+        r = 1
+        while i + r < n and o[i + r] == x:
+            r += 1
+        arcs = []
+        if x.isalpha():
+            arcs.append((1, x, AS_IS))
+            if r >= 3:
+                arcs += [(r, x, COLLAPSE), (r, x + x, COLLAPSE)]
+            elif r == 2:
+                arcs.append((2, x, COLLAPSE_TWO))
+        else:
+            arcs += [(k, c, SUBSTITUTE) for c in LEET.get(x, "") for k in sorted({1, r})]
+            if i in signs and x not in " .-_/":
+                arcs.append((1, x, AS_IS if x in "!|+*" else DIGIT))
+            if x in SEPARATORS:
+                arcs += [(r, "", DROP), (r, " ", DROP)]
+            elif not arcs:
+                arcs.append((r, "", 4 * DROP))
+        out.append(arcs)
+    return out
+
+
+#: Bits of a character: 1 a letter or digit, 2 a substitute, 4 what may stand beside letters set apart, 8 a separator, 16 a letter.
+_CLASS = np.zeros(0x2000, np.uint8)
+for _b in range(len(_CLASS)):
+    _c = chr(_b)
+    _CLASS[_b] = (_c.isalnum() and 1) | (_c in LEET and 2) | ((not _c.isalnum() or _b > 127) and 4) | (_c in SEPARATORS and 8) | ((_c.isalpha() or _b > 127) and 16)
+_CLASS[-1] = 1 | 4 | 16  # any character from here on
+
+
+def suspects(texts: list[str]) -> list[int]:
+    """Indexes of the lower-cased texts that may hold a suspicious span; the others hold none (where a class of characters is in doubt, both count)."""
+    x = np.frombuffer(("\n\n" + "\n\n".join(texts) + "\n\n\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    k = _CLASS[np.minimum(x, len(_CLASS) - 1)]
+    letter, leet, unit, beside, gap = (k & 16) > 0, (k & 2) > 0, (k & 3) > 0, (k & 4) > 0, (k & 8) > 0
+    hit = np.zeros(len(x), bool)
     hit[1:] |= leet[1:] & letter[:-1]
     hit[:-1] |= leet[:-1] & letter[1:]
-    hit[2:] |= letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
-    # single letters: a letter between gaps, again or a substitute two or three bytes later or before
-    alone = np.zeros(len(data), bool)
-    alone[1:-1] = (letter | leet)[1:-1] & gap[:-2] & gap[2:]
-    alone[0] = (letter | leet)[0] & gap[1]
-    for k in (2, 3):
-        hit[:-k] |= alone[:-k] & alone[k:] & (letter[:-k] | letter[k:])
-    # letters of two bytes set apart
-    wide = data >= 0xC0
-    hit[:-4] |= wide[:-4] & gap[2:-2] & (gap[4:] | gap[4:]) if len(data) > 4 else False
-    starts = np.concatenate(([0], np.cumsum([len(t) + 2 for t in texts])))
+    hit[2:] |= letter[2:] & (x[2:] == x[1:-1]) & (x[1:-1] == x[:-2])
+    # two set apart one after the other, a letter among them: every span of that form has such a pair
+    alone = np.zeros(len(x), bool)
+    alone[1:-1] = unit[1:-1] & beside[:-2] & gap[2:]
+    for n in (2, 3):
+        hit[:-n] |= alone[:-n] & alone[n:] & (letter[:-n] | letter[n:])
+    starts = 2 + np.concatenate(([0], np.cumsum([len(t) + 2 for t in texts])))
     return np.unique(np.searchsorted(starts, np.flatnonzero(hit), side="right") - 1).tolist()
 
 
 def restore(text: str, model: CharModel) -> str:
     """Lower-cased text with each suspicious span in its likeliest reading."""
-    return _SUSPECT.sub(lambda m: model.readings(m.group(0))[0], text)
-
-
-def restore_all(text: str, model: CharModel) -> str:
-    """The same with each span's other likely readings after it, for scoring."""
-    return _SUSPECT.sub(lambda m: " ".join(model.readings(m.group(0))), text)
+    return _SUSPECT.sub(lambda m: model.reading(m.group(0)), text)

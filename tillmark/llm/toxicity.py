@@ -1,9 +1,9 @@
 """Toxicity: restore obfuscated words by a noisy channel, then score the restored text.
 
-The character model counts trigrams over all documents. The classifier's features
+The character model counts sequences of four characters over all documents. The classifier's features
 are words and word beginnings of restored texts, chosen on a bounded sample of
-labelled rows by how far their share among toxic texts exceeds that among
-others, and weighted by a logistic regression on the same sample. Scoring is one
+labelled rows by how far the share of toxic texts among those that have them is from that
+among all, on either side, and weighted by a logistic regression on the same sample. Scoring is one
 pass over the documents without a shuffle.
 """
 
@@ -24,6 +24,8 @@ from tillmark.llm.decontamination import words_of
 
 #: Labelled rows that the classifier is fitted on, features it keeps, score from which a text is rejected.
 SAMPLE_ROWS, FEATURES, REJECT = 20_000, 4096, 0.3
+#: Gain in log-likelihood from which on a word or beginning is a feature.
+LEAST_GAIN = 3.0
 #: Bytes of the word beginnings that are features.
 PREFIXES = (4, 5, 6, 7, 8)
 _CHUNK_BYTES = 2 << 20
@@ -34,8 +36,8 @@ def _lowered(batch: pa.RecordBatch) -> pa.Array:
 
 
 def char_counts(df: DataFrame) -> np.ndarray:
-    """Trigram counts of the character model over every text of ``df(text)``; at most 64 ** 3 rows reach the driver."""
-    n = noisy.SYMBOLS**3
+    """How often each sequence of the character model's order stands in the texts of ``df(text)``, all of them; at most ``SYMBOLS ** ORDER`` numbers reach the driver."""
+    n, order = noisy.SYMBOLS**noisy.ORDER, noisy.ORDER
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n, np.int64)
@@ -47,23 +49,33 @@ def char_counts(df: DataFrame) -> np.ndarray:
                 while to < len(texts) and (size == 0 or size < _CHUNK_BYTES // 4):
                     size += len(texts[to])
                     to += 1
-                s = noisy.symbols_of("\n\n" + "\n\n".join(texts[at:to]) + "\n")
-                total += np.bincount(s[:-2] * noisy.SYMBOLS**2 + s[1:-1] * noisy.SYMBOLS + s[2:], minlength=n)
+                gap = "\n" * (order - 1)
+                s = noisy.symbols_of(gap + gap.join(texts[at:to]) + "\n")
+                code = np.zeros(len(s) - order + 1, np.int64)
+                for k in range(order):
+                    code = code * noisy.SYMBOLS + s[k : len(s) - order + 1 + k]
+                total += np.bincount(code, minlength=n)
                 at = to
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["tri", "n"])
+        for k in range(0, n, _ROW):  # rows of counts of neighbouring codes
+            if total[k : k + _ROW].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([total[k : k + _ROW]], pa.list_(pa.int64()))], names=["code", "n"])
 
     out = np.zeros(n, np.int64)
-    for r in arrow_map(df.select("text"), count, "tri long, n long").groupBy("tri").agg(F.sum("n").alias("n")).collect():
-        out[r["tri"]] = r["n"]
+    parts = arrow_map(df.select("text"), count, "code long, n array<long>").selectExpr("code", "posexplode(n) as (k, n)").filter("n > 0")
+    sums = parts.groupBy((F.col("code") + F.col("k")).alias("code")).agg(F.sum("n").alias("n"))
+    for r in sums.groupBy(F.floor(F.col("code") / _ROW)).agg(F.collect_list("code").alias("code"), F.collect_list("n").alias("n")).toLocalIterator():
+        out[r["code"]] = r["n"]
     return out
 
 
+_ROW = 4096
+
+
 def _restored(texts: pa.Array, model: noisy.CharModel) -> list[bytes]:
-    raw = texts.cast(pa.binary()).to_pylist()
-    for i in noisy.suspects(raw):
-        raw[i] = noisy.restore_all(raw[i].decode(), model).encode()
-    return raw
+    said = texts.to_pylist()
+    for i in noisy.suspects(said):
+        said[i] = noisy.restore(said[i], model)
+    return [x.encode() for x in said]
 
 
 _TAGS = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF) for k in range(len(PREFIXES) + 1)]
@@ -186,10 +198,10 @@ def train(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_fe
         return chars, None
     rate = (base[1] or 0) / base[0]
     counts = arrow_map(sample, tally, "h long, t long, n long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    # log-likelihood ratio of a share of toxic texts above the mean
-    p = (F.col("t") + 0.0) / F.col("n")
-    gain = F.col("t") * F.log(p / F.lit(max(rate, 1e-9))) + F.when(F.col("t") < F.col("n"), (F.col("n") - F.col("t")) * F.log((1 - p) / F.lit(max(1 - rate, 1e-9)))).otherwise(0.0)
-    best = counts.filter((F.col("t") >= 2) & (p > 2 * rate)).withColumn("gain", gain).filter("gain > 3").orderBy(F.desc("gain"), "h").limit(n_features)
+    # log-likelihood ratio of a share of toxic texts that is not the mean, whichever side it lies on
+    part = lambda k, of: F.when(k > 0, k * F.log(k / F.col("n") / F.lit(max(of, 1e-9)))).otherwise(0.0)
+    gain = part(F.col("t"), rate) + part(F.col("n") - F.col("t"), 1 - rate)
+    best = counts.filter("n > 1").withColumn("gain", gain).filter(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "h").limit(n_features)
     hashes = np.sort(np.array([r["h"] for r in best.select("h").collect()], np.int64).view(np.uint64))
     model = sc.broadcast(ToxicityModel(hashes, np.zeros(len(hashes)), 0.0))
 
@@ -210,7 +222,8 @@ def train(df: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_fe
 def reject(df: DataFrame, labels: DataFrame, threshold: float = REJECT) -> DataFrame:
     """``df`` without the rows that score ``threshold`` or more by a model trained on it and ``labels``; its columns stay.
 
-    A text with nothing that tells for or against stays, even where most labelled rows are toxic.
+    A text with nothing that tells for or against stays, even where most labelled rows are toxic: so do null and
+    empty ones. Whole texts are read; repeated rows stay or go together, null ids are kept, columns may have any names, an empty table gives no rows.
     """
     chars, model = train(df.select("doc_id", "text"), labels)
     if model:
@@ -225,8 +238,8 @@ def score(df: DataFrame, chars: noisy.CharModel, model: ToxicityModel | None, ke
     """``doc_id, score`` for each row of ``df``, or with ``keep`` all its columns and the score last, as ``name``.
 
     A null text counts as empty and gets the score of a text without features; without
-    labels every score is 0. Null ids are kept, repeated rows each scored alike, an
-    empty table gives no rows.
+    labels every score is 0. Whole texts are read, however long. Null ids are kept, repeated rows each scored alike (equal
+    texts have equal scores), an empty table gives no rows; with ``keep`` a column of ``df`` that is called ``name`` must not exist.
     """
     sc = df.sparkSession.sparkContext
     shared = sc.broadcast((chars, model))
