@@ -14,7 +14,7 @@ from tillmark.llm import deobfuscation as noisy
 from tillmark.llm import queries as q
 from tillmark.llm import url_templates as ut
 
-ENGLISH = "the idiot said that a clown is not a worthless person but a stupid moron and a pathetic loser would be here with the others in this place "
+ENGLISH = "the idiot said that a clown is not a worthless person but a stupid moron and a pathetic loser would be here with the others too in this place "
 
 
 @pytest.fixture(scope="module")

@@ -22,7 +22,7 @@ LEET = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "abcdefghijklmnopqrstuvwxyz",
 }
 #: Log-probabilities of the channel: a letter or a sign after a word as it is, a digit beside letters as it is, a substitute, a dropped separator, a collapsed run.
-AS_IS, DIGIT, SUBSTITUTE, DROP, COLLAPSE, COLLAPSE_TWO = -0.02, -1.2, -1.6, -0.4, -0.7, -3.0
+AS_IS, DIGIT, SUBSTITUTE, DROP, COLLAPSE, COLLAPSE_TWO = -0.02, -1.2, -1.6, -0.4, -0.7, -6.0
 #: Weight of the model of fewer symbols, in symbols seen.
 PRIOR = 4.0
 #: States at a character in a first search; where it leaves some out, its score bounds a second one that leaves out nothing that could win.
