@@ -43,6 +43,40 @@ def test_small_frontier_and_check(monkeypatch):
     assert (sg.join_labels(np.arange(len(x)), a, b) == sg.join_labels(np.arange(len(x)), i, j)).all()
 
 
+def test_the_tree_carries_the_search():
+    """Groups of thousands: several levels, whose nodes drop most of what a search would have to look at, and all links found."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    x = np.unique(np.concatenate([x, x[:500] ^ (np.uint64(1) << rng.integers(0, 63, 500).astype(np.uint64)), x[:200] ^ np.uint64(7 << 40)]))
+    assert sg.dealing_bits(10_000) == 1 and sg.dealing_bits(100) == 0 and sg.dealing_bits(10**12) == sg.WIDTH
+    count = [[0, 0] for _ in range(9)]
+    a, b = sg.group_links(np.zeros(len(x), np.int64), x, count=count)
+    got = sg.join_labels(np.arange(len(x)), a, b)
+    i, j = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= 3, 1))
+    assert (got == sg.join_labels(np.arange(len(x)), i, j)).all() and len(i) >= 700
+    met, dropped = np.array([c for c in count if c[0]]).T
+    assert len(met) >= 4 and (dropped[:3] > 0).all() and sum(dropped[1:]) > 0
+    assert met[0] < len(x) * (len(x) - 1) / 2 / 2  # members compared, of all pairs
+
+
+def test_groups_stream(spark):
+    import pyarrow as pa
+
+    from tillmark.llm.common import by_group
+
+    rng = np.random.default_rng(2)
+    key = np.sort(rng.integers(0, 40, 3000))
+    key[700:2100] = key[700]
+    key = np.sort(key)
+    for size in (7, 100, 5000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[k : k + size]), pa.array(np.arange(k, min(k + size, 3000)))], names=["key", "v"]) for k in range(0, 3000, size)]
+        got = list(by_group(iter(batches), "key", 50))
+        assert np.concatenate([g["v"] for g in got]).tolist() == list(range(3000))
+        ends = [set(g["key"].tolist()) for g in got]
+        assert all(not a & b for k, a in enumerate(ends) for b in ends[k + 1 :]) and (size > 100 or len(got) > 5)
+    assert list(by_group(iter([]), "key")) == []
+
+
 def plain_components(rows):
     x = np.array([plain_bits(t) for _, t, *_ in rows], np.uint64)
     i, j = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= 3, 1))
@@ -54,9 +88,9 @@ def plain_components(rows):
     return sorted((str(d), int(f) - (1 << 64) * (int(f) >> 63), low.get(label)) for (d, *_), f, label in zip(rows, x, labels.tolist(), strict=True))
 
 
-@pytest.mark.parametrize("split", [sg.SPLIT_ROWS, 0])
-def test_components(spark, split, monkeypatch):
-    monkeypatch.setattr(sg.near_links, "__defaults__", (split,))
+@pytest.mark.parametrize("split, group", [(sg.SPLIT_ROWS, sg.GROUP_ROWS), (0, sg.GROUP_ROWS), (sg.SPLIT_ROWS, 4), (0, 4)])
+def test_components(spark, split, group, monkeypatch):
+    monkeypatch.setattr(sg.near_links, "__defaults__", (split, group))
     for rows in (cases.odd_rows(), cases.corpus()):
         got = sg.near_duplicates(cases.with_clashes(cases.documents(spark, rows))).collect()
         assert sorted((str(r["doc_id"]), r["fp"], r["component_id"]) for r in got) == plain_components(rows)

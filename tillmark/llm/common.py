@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +94,33 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str) -
     return arrow_map(df, run, schema)
 
 
+def by_group(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 16) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of whole groups of one ``key`` from batches sorted by it: small groups together, up to about ``rows`` rows, a larger one alone."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+
+    def columns(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        return {c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in parts]) for c in parts[0].schema.names}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if n >= rows:  # all but the last group can go
+            k = batch.column(key).to_numpy(zero_copy_only=False)
+            last = held[-1].column(key)[-1].as_py()
+            end = int(np.searchsorted(k, last, side="right"))
+            held.append(batch.slice(0, end))
+            n += end
+            if end == batch.num_rows:
+                continue
+            yield columns(held)
+            held, n, batch = [], 0, batch.slice(end)
+        held.append(batch)
+        n += batch.num_rows
+    if held:
+        yield columns(held)
+
+
 def raw_texts(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty, without decoding."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

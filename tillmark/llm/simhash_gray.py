@@ -1,8 +1,9 @@
 """SimHash near-duplicates through a hierarchical index in Gray order.
 
-Distinct fingerprints are dealt by four 16-bit blocks: two that differ in at
-most three bits agree on one of them. Within such a group they are sorted by
-Gray rank, so that neighbours share bits, and stand under a tree whose nodes
+Distinct fingerprints go four times into groups of some thousands, each time by a few
+bits of another block of 16: two that differ in at most three bits agree on one whole block,
+so one of the groups has both. A group is sorted by
+Gray rank, so that neighbours share bits, and stands under a tree whose nodes
 hold the masked bits that all below them share; a node keeps only the bits that
 its parent does not have yet. A search goes down the tree adding up the
 differences and drops a whole group once they exceed the radius; a node all of
@@ -23,15 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.llm import fingerprints
-from tillmark.llm.common import arrow_map, components, drop_path, free_shuffles, join_heavy, map_arrow, raw_texts, written
+from tillmark.llm.common import arrow_map, by_group, components, drop_path, free_shuffles, join_heavy, map_arrow, raw_texts, written
 
 SEED = 42
 RADIUS = 3
 BLOCKS = 4
 WIDTH = 64 // BLOCKS
 FAN = 8
-#: Groups of more rows than this are dealt again by a second block.
-SPLIT_ROWS = 200_000
+#: Rows of a group on average: so many of the bits of a block deal as leave that; and rows from which on a group is dealt again by a second block.
+GROUP_ROWS, SPLIT_ROWS = 4096, 200_000
 #: Entries that a search may hold at once; beyond them its queries are halved.
 FRONTIER = 2_000_000
 
@@ -99,8 +100,11 @@ class GrayTree:
             if nodes.max() == 1:
                 break
 
-    def links(self, radius: int, labels: np.ndarray, also=None) -> np.ndarray:
-        """``labels`` (a root for each member) with linked members joined; ``also`` says which pairs within the radius link (all)."""
+    def links(self, radius: int, labels: np.ndarray, also=None, count: list[list[int]] | None = None) -> np.ndarray:
+        """``labels`` (a root for each member) with linked members joined; ``also`` says which pairs within the radius link (all).
+
+        ``count`` gets for each level, leaves first, how many nodes (below them: members) searches met and how many they dropped.
+        """
         x = self.x
         leaves = self.levels[0]
         spread = np.bitwise_count(~leaves[2])
@@ -152,6 +156,9 @@ class GrayTree:
                         ok &= labels[q] != labels[below]
                         some = np.flatnonzero(ok)
                         ok[some] = also(q[some], below[some])
+                if count is not None:
+                    count[depth][0] += len(ok)
+                    count[depth][1] += int((~ok).sum())
                 q, node, acc = q[ok], below[ok], acc[ok]
             if q is None:
                 mid = (lo + hi) // 2
@@ -194,8 +201,8 @@ def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return labels
 
 
-def group_links(group: np.ndarray, rotated: np.ndarray, radius: int = RADIUS, check: np.ndarray | None = None, apart: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest (indexes) of the links within each group of one partition.
+def group_links(group: np.ndarray, rotated: np.ndarray, radius: int = RADIUS, check: np.ndarray | None = None, apart: int = 0, count: list[list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (indexes) of the links within each group.
 
     With ``check`` (rows of further bits) a pair links only if these too differ in ``apart`` bits at most.
     """
@@ -214,7 +221,7 @@ def group_links(group: np.ndarray, rotated: np.ndarray, radius: int = RADIUS, ch
         if check is not None:
             c = check[order[members]]
             also = lambda a, b, c=c: np.bitwise_count(c[a] ^ c[b]).sum(1, dtype=np.int64) <= apart
-        labels = GrayTree(x[members], at).links(radius, np.arange(len(members)), also)
+        labels = GrayTree(x[members], at).links(radius, np.arange(len(members)), also, count)
         low = np.flatnonzero(labels != np.arange(len(members)))
         out_a.append(order[members[low]])
         out_b.append(order[members[labels[low]]])
@@ -224,34 +231,35 @@ def group_links(group: np.ndarray, rotated: np.ndarray, radius: int = RADIUS, ch
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, fps = [], []
-    for b in batches:
-        keys.append(b.column(0).to_numpy(zero_copy_only=False))
-        fps.append(b.column(1).to_numpy(zero_copy_only=False))
-    if not keys:
-        return
-    key, fp = np.concatenate(keys), np.concatenate(fps).view(np.uint64)
-    block = ((key >> 32) & 3).astype(np.uint64) * np.uint64(WIDTH)  # which block the group agrees on
-    rotated = np.where(block == 0, fp, (fp >> block) | (fp << ((np.uint64(64) - block) & np.uint64(63))))
-    a, b = group_links(key, rotated)
-    yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], names=["a", "b"])
-
-
-def near_links(fps: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    for c in by_group(batches, "key"):
+        key, fp = c["key"], c["fp"].view(np.uint64)
+        block = ((key >> 32) & 3).astype(np.uint64) * np.uint64(WIDTH)  # of whose bits the group has the same
+        rotated = np.where(block == 0, fp, (fp >> block) | (fp << ((np.uint64(64) - block) & np.uint64(63))))
+        a, b = group_links(key, rotated)
+        yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], names=["a", "b"])
+
+
+def dealing_bits(n: int, group_rows: int = GROUP_ROWS) -> int:
+    """How many bits of a block deal ``n`` fingerprints into groups of about ``group_rows``."""
+    return min(WIDTH, max(0, (n // group_rows).bit_length() - 1))
+
+
+def near_links(fps: DataFrame, split_rows: int = SPLIT_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Links ``a, b`` whose components are those of all pairs of ``fps(fp)`` within three bits."""
-    tables = " union all ".join(f"select {t}L as t, shiftrightunsigned(fp, {t * WIDTH}) & {(1 << WIDTH) - 1}L as v, fp from {{fps}}" for t in range(BLOCKS))
+    bits = dealing_bits(fps.count(), group_rows)
+    tables = " union all ".join(f"select {t}L as t, shiftrightunsigned(fp, {t * WIDTH}) & {(1 << bits) - 1}L as v, fp from {{fps}}" for t in range(BLOCKS))
     keyed = fps.sparkSession.sql(tables, fps=fps).selectExpr("(t << 32) | v as key", "fp")
     hot = keyed.groupBy("key").count().filter(F.col("count") > split_rows).select("key")
     hot, _ = written(hot, "hot-blocks")
     if hot.head(1):
-        # the other 48 bits again in four blocks of 12, of which one agrees: finer groups, the same links
+        # of a pair that agrees on the whole block the other 48 bits agree on one of four blocks of 12: finer groups, the same links
         cold = keyed.join(hot, "key", "left_anti")
         rest = keyed.join(hot, "key").selectExpr(
             "key", "fp", f"case when key >> 32 = 0 then fp else shiftrightunsigned(fp, cast((key >> 32) * {WIDTH} as int)) | shiftleft(fp, cast(64 - (key >> 32) * {WIDTH} as int)) end as r"
         ).selectExpr("key", "fp", "r", "explode(sequence(0, 3)) as s")
         fine = rest.selectExpr("key | (cast(s + 1 as long) << 34) | ((shiftrightunsigned(r, 16 + 12 * s) & 4095L) << 16 << 24) as key", "fp")
         keyed = cold.unionByName(fine)
-    return arrow_map(keyed.repartition("key"), _forest, "a long, b long")
+    return arrow_map(keyed.repartition("key").sortWithinPartitions("key"), _forest, "a long, b long")
 
 
 #: Words of a shingle, and fingerprints over distinct shingles that lead to a pair. At Jaccard 0.8 two sets have a cosine of 8/9 at least, whatever
@@ -303,14 +311,10 @@ def one_off(shingles: bytes) -> list[int]:
 
 
 def _checked_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = list(batches)
-    if not held:
-        return
-    column = lambda c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held])
-    key, fp, node = column("key"), column("fp").view(np.uint64), column("node")
-    check = np.stack([column("c0").view(np.uint64), column("c1").view(np.uint64)], 1)
-    a, b = group_links(key, fp, LEAD_APART, check, CHECK_APART)
-    yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+    for c in by_group(batches, "key"):
+        check = np.stack([c["c0"].view(np.uint64), c["c1"].view(np.uint64)], 1)
+        a, b = group_links(c["key"], c["fp"].view(np.uint64), LEAD_APART, check, CHECK_APART)
+        yield pa.RecordBatch.from_arrays([pa.array(c["node"][a]), pa.array(c["node"][b])], names=["a", "b"])
 
 
 #: Weight (shingles, and ``SET_WEIGHT`` for each set) of the part of a candidate component that is compared with another at once.
@@ -391,8 +395,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     more, and what such pairs join. Fingerprints over the shingles lead to candidates, with
     a chance that depends on the Jaccard index and not on the shape of the edit; a pair
     links only if its sets of shingles (hashed to 40 bits) are that much alike. Texts
-    without words are copies of each other, of rows that agree in id and text one stays,
-    an empty table gives no rows; ``df``'s columns come back as they are.
+    without words are copies of each other, whole texts are read, of rows that agree in id and text one stays,
+    an empty table gives no rows; ``df``'s columns come back as they are, whatever their names.
     """
     id_type = dict(df.dtypes)[id_col]
 
@@ -408,7 +412,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     led = led.selectExpr("node", "c0", "c1", "lead", "fp", f"explode(sequence(0, {BLOCKS - 1})) as t")
     turned = f"case when t = 0 then fp else shiftrightunsigned(fp, t * {WIDTH}) | shiftleft(fp, 64 - t * {WIDTH}) end as fp"
     keyed = led.selectExpr("node", "c0", "c1", turned, f"(cast(lead * {BLOCKS} + t as long) << 32) | (shiftrightunsigned(fp, t * {WIDTH}) & {(1 << WIDTH) - 1}L) as key")
-    links = arrow_map(keyed.repartition("key").select("key", "fp", "node", "c0", "c1"), _checked_forest, "a long, b long")
+    links = arrow_map(keyed.select("key", "fp", "node", "c0", "c1").repartition("key").sortWithinPartitions("key"), _checked_forest, "a long, b long")
     few = nodes.selectExpr("node", "explode(few) as v")
     links = links.unionByName(few.join(few.groupBy("v").agg(F.min("node").alias("a")), "v").filter("node <> a").select("a", F.col("node").alias("b")))
     # candidates only bring sets together: what they join is compared shingle by shingle
@@ -440,8 +444,8 @@ def near_duplicates(df: DataFrame, words: int = 3, id_col: str = "doc_id", text:
 
     ``fp`` is the fingerprint as a long, ``component_id`` the smallest id that links of
     at most three differing bits reach. Null and empty texts have no words and
-    fingerprint zero; repeated rows are linked to each other; a null id is kept and is never
-    a component's id unless all of them are null; an empty table gives no rows.
+    fingerprint zero; whole texts are read, however long; repeated rows and equal texts are linked to each other; a null id is kept and is never
+    a component's id unless all of them are null; other columns are not read; an empty table gives no rows.
     """
     id_type = dict(df.dtypes)[id_col]
     rows = map_arrow(
