@@ -263,6 +263,85 @@ def test_templates_generalise_and_reject(spark):
     assert got[1350]["verdict"] == "allow" and got[2001]["template"] == "/user/*/x" and got[3000]["verdict"] == "allow"
 
 
+def plain_templates(rows):
+    """Verdicts by host and segments for ``(host, segs, n, b, a)``, walking the tree from its root."""
+    out = {}
+
+    def smooth(b, a, prior):
+        return (b + ut.PRIOR * prior) / (b + a + ut.PRIOR)
+
+    def walk(rows, depth, node, p):
+        for host, segs, *_ in rows:
+            if len(segs) == depth:
+                out[host, tuple(segs)] = (node, p)
+        rows = [r for r in rows if len(r[1]) > depth]
+        kids = {r[1][depth] for r in rows}
+        wide = len(kids) >= ut.MANY and sum(r[2] for r in rows) < ut.RARE * len(kids)
+        by_name = {}
+        for r in rows:
+            seg = r[1][depth]
+            by_name.setdefault("*" if wide and not seg.startswith("<") else seg, []).append(r)
+        counts = {k: (sum(r[3] for r in v), sum(r[4] for r in v)) for k, v in by_name.items()}
+        bins = {}
+        for k, (b, a) in counts.items():
+            bins.setdefault(100 * b // (a + b) if a + b else -1, []).append(k)
+        classes, before = [], None
+        for key in sorted(bins):
+            b, a = (sum(counts[k][j] for k in bins[key]) for j in (0, 1))
+            if key >= 0 and before is not None:
+                b0, n0, n = before[0], sum(before), a + b
+                pool = (b0 + b) / (n0 + n)
+                if abs(b0 / n0 - b / n) / (pool * (1 - pool) * (1 / n0 + 1 / n)) ** 0.5 >= ut.Z:
+                    classes.append([])
+                classes[-1] += bins[key]
+            else:
+                classes.append(list(bins[key]))
+            before = (b, a) if key >= 0 else None
+        for names in classes:
+            b, a = (sum(counts[k][j] for k in names) for j in (0, 1))
+            label = names[0] if len(names) == 1 else f"{{{min(names)}|+{len(names) - 1}}}"
+            walk([r for k in names for r in by_name[k]], depth + 1, f"{node}/{label}", p if len(kids) == 1 else smooth(b, a, p))
+
+    for host in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == host]
+        walk(own, 0, "", smooth(sum(r[3] for r in own), sum(r[4] for r in own), 0.0))
+    return out
+
+
+def test_templates_as_a_plain_walk(spark):
+    rng = random.Random(4)
+    rows = {}
+    for _ in range(700):
+        host = rng.choice(["a", "a", "a", "b", "c"])
+        path = [rng.choice(["x", "y", "z", "<n>", "u" + str(rng.randint(0, 60))]) for _ in range(rng.choice([0, 1, 2, 3]))]
+        if rng.random() < 0.3:
+            path = ["p"] * 7 + path
+        bad = path[:1] == ["x"] or path[7:8] == ["y"]
+        n = rng.randint(1, 6)
+        b = n if bad and rng.random() < 0.8 else 0
+        rows[host, tuple(path)] = (n, b, (n - b) if rng.random() < 0.5 else 0)
+    rows |= {("d", (f"v{k}", "x")): (1, k % 2, 1 - k % 2) for k in range(40)}
+    rows = [(h, list(s), *v) for (h, s), v in rows.items()]
+    got = ut.template_verdicts(spark.createDataFrame(rows, "host string, segs array<string>, n long, n_block long, n_allow long"))
+    said = {(r["host"], tuple(r["segs"])): (r["template"], r["purity"]) for r in got.collect()}
+    want = plain_templates(rows)
+    assert said.keys() == want.keys() and all(said[k][0] == want[k][0] and abs(said[k][1] - want[k][1]) < 1e-12 for k in want)
+    assert any("|+" in n for n, _ in want.values()) and any("*" in n for n, _ in want.values())
+
+
+def test_deep_paths_and_odd_rows(spark):
+    deep = "/a/b/c/d/e/f"
+    rules = (("block", "s.net", f"{deep}/bad/1"), ("allow", "s.net", f"{deep}/good/1"))
+    rows = [(k, f"http://s.net{deep}/{w}/{100 * v + k % 50}") for v, (w, base) in enumerate([("bad", 0), ("good", 1000)], 1) for k in range(base, base + 50)]
+    rows += [(3000, f"http://s.net{deep}/bad/9"), (3001, f"http://s.net{deep}/good/9"), (None, f"http://s.net{deep}/bad/9"), (3001, f"http://s.net{deep}/good/9"), (3002, "http://s.net/" + "q/" * 3000)]
+    rules = (("block", "s.net", f"{deep}/bad/1"), ("allow", "s.net", f"{deep}/good/2"))
+    got = [tuple(r)[:6] for r in ut.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()]
+    assert len(got) == len(rows)
+    verdict = {(r[0], r[2]): r[4] for r in got}
+    assert verdict[3000, f"{deep}/bad/9"] == "block" and verdict[3001, f"{deep}/good/9"] == "allow" and verdict[None, f"{deep}/bad/9"] == "block"
+    assert sum(r[0] == 3001 for r in got) == 2
+
+
 def conversations(seed=1, n=40):
     rng = random.Random(seed)
     bits = ["<|im_end|>", "<|im_start|>assistant\n", "\\", "<", "|", "\n", "plain words ", "<\\|", "é", "\\n"]

@@ -121,26 +121,28 @@ def _op8() -> str:
         "case when regexp_matches(s, '^[0-9]+(\\.[A-Za-z]{1,5})?$') then '<n>' when regexp_matches(s, '^[0-9]{4}-[0-9]{1,2}(-[0-9]{1,2})?$') then '<date>' when regexp_matches(s, '^(?i)[0-9a-f-]{16,}$') then '<hex>' "
         "when regexp_matches(s, '^[^-_]+([-_][^-_]+){2,}$') or length(s) > 40 then '<slug>' when regexp_matches(s, '[0-9]{3,}') then '<id>' else s end"
     )
-    sql = f"""
-with r as (select page_id, {ASCII_LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
-j as (select *, {name} as rule, {said} as said, list_filter(string_split(path, '/'), lambda s: s <> '') as parts from r),
-k as (select page_id, host, path, rule, said, list_concat(list_transform(parts[1:{u.DEPTH}], lambda s: {form}), case when len(parts) > {u.DEPTH} then ['**'] else [] end) as segs from j),
-t0 as (select host, segs, len(segs) as depth, count(*) as n, count(*) filter (said = 'block') as n_block, count(*) filter (said = 'allow') as n_allow, '' as node from k group by all)"""
-    for d in range(u.DEPTH + 1):
-        sql += f""",
-w{d} as (select host, node from (select host, node, segs[{d + 1}] as seg, sum(n) as n from t{d} where depth > {d} group by all) group by all having count(*) >= {u.MANY} and sum(n) < {u.RARE} * count(*)),
-t{d + 1} as (select t.host, segs, depth, n, n_block, n_allow, case when depth > {d} then t.node || '/' || case when w.host is not null and not starts_with(segs[{d + 1}], '<') then '*' else segs[{d + 1}] end else t.node end as node from t{d} t left join w{d} w on w.host = t.host and w.node = t.node)"""
     smooth = lambda b, a, prior: f"(({b} + {u.PRIOR} * {prior}) / ({b} + {a} + {u.PRIOR}))"
-    return sql + f""",
-t as (select *, regexp_replace(node, '/[^/]*$', '') as parent from t{u.DEPTH + 1}),
-n as (select host, parent, node, cast(sum(n_block) as double) as b, cast(sum(n_allow) as double) as a from t group by all),
-m as (select *, sum(b) over (partition by host, parent) as pb, sum(a) over (partition by host, parent) as pa, sum(b) over (partition by host) as hb, sum(a) over (partition by host) as ha from n),
-q as (select *, {smooth("pb", "pa", smooth("hb", "ha", "0.0"))} as up, case when pa + pb > 0 then pb / (pa + pb) end as raw from m),
-o as (select *, coalesce(a + b > 0 and abs(b / nullif(a + b, 0) - raw) / sqrt(greatest(raw * (1 - raw), 1e-9) / nullif(a + b, 0)) >= {u.Z}, false) as own from q),
-x as (select *, coalesce(sum(b) filter (not own) over (partition by host, parent), 0) as mb, coalesce(sum(a) filter (not own) over (partition by host, parent), 0) as ma from o),
-v as (select host, node, case when own then {smooth("b", "a", "up")} else {smooth("mb", "ma", "up")} end >= {u.REJECT} as rejected from x)
-select page_id, k.host, path, rule, coalesce(said, case when rejected then 'block' else 'allow' end) as verdict, case when said is null then t.node end as template
-from k join t on t.host = k.host and t.segs = k.segs join v on v.host = t.host and v.node = t.node"""
+    return f"""
+with recursive r as (select page_id, {ASCII_LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+k as (select page_id, host, path, {name} as rule, {said} as said, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {form}) as segs from r),
+t as (select host, segs, count(*) as n, cast(count(*) filter (said = 'block') as double) as b, cast(count(*) filter (said = 'allow') as double) as a from k group by all),
+walk as (
+  select host, segs, n, b, a, 0 as d, '' as node, {smooth("sum(b) over (partition by host)", "sum(a) over (partition by host)", "0.0")} as p from t
+  union all
+  (with s as (select *, segs[d + 1] as seg, count(distinct segs[d + 1]) over (partition by host, node) as kids, sum(n) over (partition by host, node) as total from walk where len(segs) > d),
+  x as (select *, case when kids >= {u.MANY} and total < {u.RARE} * kids and not starts_with(seg, '<') then '*' else seg end as name from s),
+  y as (select *, sum(b) over (partition by host, node, name) as nb, sum(a) over (partition by host, node, name) as na from x),
+  v as (select *, case when na + nb > 0 then floor(100 * nb / (na + nb)) else -1 end as bin from y),
+  bins as (select host, node, bin, sum(b) as b, sum(a) as a from v where bin >= 0 group by all),
+  pairs as (select *, lag(b) over (partition by host, node order by bin) as b0, lag(a + b) over (partition by host, node order by bin) as n0 from bins),
+  tested as (select *, (b0 + b) / (n0 + a + b) as pool from pairs),
+  edges as (select *, coalesce(abs(b0 / n0 - b / (a + b)) / nullif(sqrt(pool * (1 - pool) * (1 / n0 + 1 / (a + b))), 0) >= {u.Z}, false) as edge from tested),
+  classes as (select host, node, bin, sum(cast(edge as int)) over (partition by host, node order by bin) as class from edges),
+  w as (select v.*, coalesce(class, -1) as class from v left join classes using (host, node, bin)),
+  l as (select *, count(distinct name) over (partition by host, node, class) as m, min(name) over (partition by host, node, class) as lo, sum(b) over (partition by host, node, class) as cb, sum(a) over (partition by host, node, class) as ca from w)
+  select host, segs, n, b, a, d + 1, node || '/' || case when m = 1 then lo else '{{' || lo || '|+' || cast(m - 1 as varchar) || '}}' end, case when kids = 1 then p else {smooth("cb", "ca", "p")} end from l))
+select page_id, k.host, path, rule, coalesce(said, case when p >= {u.REJECT} then 'block' else 'allow' end) as verdict, case when said is null then node end as template
+from k join walk on walk.host = k.host and walk.segs = k.segs and walk.d = len(k.segs)"""
 
 
 ORACLE = {"op3_minimax_shards": OP3, "op4_license_scan": OP4, "op5_fm_decontaminate": OP5, "op6_chat_windows": OP6, "op7_induced_suffix_dedup": OP7, "op8_url_templates": _op8()}
