@@ -186,14 +186,19 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(empty, *toxicity.train(empty, labels)).collect() == []
 
 
+OWN = [set(licenses.bigrams_of(t)) for _, t in licenses.TEMPLATES]
+
+
 def plain_licences(text):
     norm = " ".join(licenses.re.sub(r"[^a-z0-9\n]+", " ", (text or "").lower()).split(" "))
     found, best = set(), 0.0
-    for u in {" ".join(x.split()) for x in [*norm.split("\n"), *licenses.re.split(r"\n *\n", norm), norm]}:
+    ws = norm.split()
+    windows = [" ".join(ws[max(0, i - k) : i - k + n]) for i, w in enumerate(ws) for cue, k, n in licenses.cue_spots() if w == cue]
+    for u in {" ".join(x.split()) for x in [*norm.split("\n"), *licenses.re.split(r"\n *\n", norm), norm, *windows]}:
         g = set(licenses.bigrams_of(u))
         score = {}
         for k, (name, t) in enumerate(licenses.TEMPLATES):
-            own = set(licenses.bigrams_of(t))
+            own = OWN[k]
             if g:
                 score[k] = 2 * len(g & own) / (len(g) + len(own))
         top = max(score.values(), default=0)
@@ -208,7 +213,7 @@ def test_licences_as_without_pruning(spark):
     rows = cases.odd_rows()
     for k, (_, t) in enumerate(licenses.TEMPLATES):
         w = t.split()
-        for drop in range(0, len(w), 3):
+        for drop in range(0, len(w), max(3, len(w) // 5)):
             v = [x for x in w if rng.random() > drop / len(w) / 2]
             rows.append((100 + k, "Some text.\n" + " ".join(v).upper() + "\nmore, of it\n\n" + rng.choice(w), None, None, None))
     got = licenses.scan(cases.with_clashes(cases.documents(spark, rows))).collect()
@@ -218,6 +223,21 @@ def test_licences_as_without_pruning(spark):
     assert licenses.scan(cases.documents(spark, [])).collect() == []
 
 
+def test_notices_within_other_text(spark):
+    bsd = dict(licenses.TEMPLATES)["bsd-3-clause"]
+    wrapped = "\n".join("# " + bsd[k : k + 70] for k in range(0, len(bsd), 70))
+    texts = {
+        0: ("it is free to use. Released under the MIT License. See the LICENSE file for details.", "mit"),
+        1: ('code = 1\n# "Licensed under the Apache License,\n# Version 2.0."\nmore code', "apache-2.0"),
+        2: (f"Copyright (c) 2001, Somebody\nAll rights reserved.\n\n{bsd}", "bsd-3-clause"),
+        3: (f"import x\n{wrapped}\n" + "def f(): pass\n" * 40, "bsd-3-clause"),
+        4: ("the license of the software is not known, and nobody may use it under the name of anything " * 5, ""),
+        5: ("Released under the MIT License.\n" * 300, "mit"),
+    }
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string")).collect()}
+    assert {k: r["licenses"] for k, r in got.items()} == {k: x for k, (_, x) in texts.items()}
+
+
 def test_size_bounds_and_cues():
     for n in range(1, 60):
         low, high = licenses.bounds(n)

@@ -1,7 +1,9 @@
 """Licence scan: normalised text against licence templates by Dice over word bigrams.
 
-Column expressions only, and no shuffle. Units are lines, blocks of lines and the
-whole text. A template is compared only with units whose number of bigrams lets
+Column expressions only, and no shuffle. Units are lines, blocks of lines, the
+whole text, and windows of it: as many words as a template has, laid so that one of its
+longest words stands where the template has it, whatever line ends and words are around.
+A template is compared only with units whose number of bigrams lets
 the Dice coefficient reach the threshold, and a text only if it has one of the
 cue words: those are chosen so that no unit without them can share enough
 bigrams with any template, so the short cut loses nothing.
@@ -16,13 +18,18 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 
-#: Notices and grants by licence id.
+#: Paragraphs that several texts share.
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'
+_ISC = 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.'
+_BSD = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.'
+_BSD_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+#: Notices and texts by licence id.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("mit", "Released under the MIT License."),
     ("mit", "Licensed under the MIT License."),
-    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    ("mit", _MIT),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2."),
@@ -34,13 +41,19 @@ TEMPLATES = (
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("isc", _ISC),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
+    # complete texts; for the longer licences (apache, gpl, lgpl, agpl, mpl, cc) the notices above, as files carry them
+    ("mit", _MIT + " " + 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("isc", _ISC + " " + 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("bsd-2-clause", _BSD + " " + _BSD_DISCLAIMER),
+    ("bsd-3-clause", _BSD + " " + '3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.' + " " + _BSD_DISCLAIMER),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. " + 'Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.'),
 )
 
 #: How a licence bears on training: the strictest of a text's licences counts.
-CLASSES = {"apache-2.0": 1, "mit": 1, "isc": 1, "bsd-3-clause": 1, "unlicense": 1, "cc-by-4.0": 1, "mpl-2.0": 2, "lgpl-3.0": 2, "cc-by-sa-4.0": 2, "gpl-2.0": 3, "gpl-3.0": 3, "agpl-3.0": 3, "cc-by-nc-4.0": 4}
+CLASSES = {"apache-2.0": 1, "mit": 1, "isc": 1, "bsd-2-clause": 1, "bsd-3-clause": 1, "zlib": 1, "unlicense": 1, "cc-by-4.0": 1, "mpl-2.0": 2, "lgpl-3.0": 2, "cc-by-sa-4.0": 2, "gpl-2.0": 3, "gpl-3.0": 3, "agpl-3.0": 3, "cc-by-nc-4.0": 4}
 CLASS_NAMES = ("none", "permissive", "weak copyleft", "copyleft", "non-commercial")
 
 
@@ -70,6 +83,20 @@ def cues(t: float = THRESHOLD) -> list[str]:
     return sorted(chosen)
 
 
+#: Words of a template by which windows are laid.
+ANCHORS = 2
+
+
+def cue_spots() -> list[tuple[str, int, int]]:
+    """The longest words of each template, each with how many words stand before it there and how many the template has."""
+    out = set()
+    for _, text in TEMPLATES:
+        ws = words_of(text)
+        for w in sorted(set(ws), key=lambda w: (-len(w), w))[:ANCHORS]:
+            out.add((w, ws.index(w), len(ws)))
+    return sorted(out)
+
+
 def normalised(text: Column) -> Column:
     """Lower case; anything but a-z, 0-9 and line ends becomes one space."""
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\n]+", " ")
@@ -80,14 +107,28 @@ def scan(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", te
 
     ``licenses`` lists the ids that a unit matches, sorted and comma-joined (none: empty,
     with class ``none`` and ``best_dice`` 0); ``n_matches`` counts pairs of a distinct unit and
-    a template that is its nearest (ties: all). A null text counts as empty; null ids are kept, repeated rows each get a row, an
-    empty table gives none; whole texts are read whatever their length.
+    a template that is its nearest (ties: all), windows that lie a word apart each. A null text counts as empty; null ids are kept, repeated rows each get a row, an
+    empty table gives none; whole texts are read whatever their length; other columns are not read, whatever their names.
     """
     grams = [(name, bigrams_of(x)) for name, x in TEMPLATES]
     low, high = min(bounds(len(g), threshold)[0] for _, g in grams), max(bounds(len(g), threshold)[1] for _, g in grams)
     cue = r"\b(?:" + "|".join(cues(threshold)) + r")\b"
     rows = df.select(F.col(id_col).alias("id"), normalised(F.col(text)).alias("norm"))
-    units = F.when(F.col("norm").rlike(cue), F.array_distinct(F.transform(F.concat(F.split("norm", r"\n"), F.split("norm", r"\n *\n"), F.array("norm")), lambda u: F.trim(F.regexp_replace(u, r"[ \n]+", " ")))))
+    one_line = lambda u: F.trim(F.regexp_replace(u, r"[ \n]+", " "))
+    spots: dict[str, list[Column]] = {}
+    for w, k, n in cue_spots():
+        spots.setdefault(w, []).append(F.struct(F.lit(k).alias("before"), F.lit(n).alias("n")))
+    spots_of = F.create_map(*(x for w, found in spots.items() for x in (F.lit(w), F.array(*found))))
+    rows = rows.withColumn("words", F.when(F.col("norm").rlike(cue), F.split(one_line(F.col("norm")), " ")))
+
+    def windows(at: Column) -> Column:
+        """Around the cue word at a place (from 0) of ``words``: one for each place that a template has it at."""
+        begin = lambda s: F.greatest(at - s["before"], F.lit(0))
+        return F.transform(spots_of[F.get("words", at)], lambda s: F.array_join(F.slice("words", begin(s) + 1, at - s["before"] + s["n"] - begin(s)), " "))
+
+    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(*spots), i)), lambda i: i.isNotNull())
+    whole = F.transform(F.concat(F.split("norm", r"\n"), F.split("norm", r"\n *\n"), F.array("norm")), one_line)
+    units = F.when(F.col("words").isNotNull(), F.array_distinct(F.concat(whole, F.flatten(F.transform(places, windows)))))
     words = F.filter(F.transform(F.filter(units, lambda u: u.rlike(cue)), lambda u: F.split(u, " ")), lambda w: F.size(w) > low)
     pairs = F.transform(words, lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
     pairs = F.filter(pairs, lambda g: (F.size(g) >= low) & (F.size(g) <= high))

@@ -98,11 +98,16 @@ select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, c
 
 _TEMPLATES = " union all ".join(f"select {k} as k, {_text(name)} as name, [{', '.join(map(_text, licenses.bigrams_of(t)))}] as own" for k, (name, t) in enumerate(licenses.TEMPLATES))
 _CLASS = "case " + " ".join(f"when name = {_text(k)} then {v}" for k, v in licenses.CLASSES.items()) + " end"
+_CUES = ", ".join(f"{{'word': {_text(w)}, 'before': {k}, 'len': {n}}}" for w, k, n in licenses.cue_spots())
 OP4 = f"""
 with templates as ({_TEMPLATES}),
 n as (select doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\\n]+', ' ', 'g') as norm from documents),
-u as (select distinct doc_id, trim(regexp_replace(x, '[ \\n]+', ' ', 'g')) as unit from n, lateral (select unnest(list_concat(string_split(norm, chr(10)), regexp_split_to_array(norm, '\\n *\\n'), [norm])) as x)),
-w as (select doc_id, unit, string_split(unit, ' ') as ws from u where length(unit) < 2000),
+cues as (select unnest([{_CUES}], recursive := true)),
+whole as (select doc_id, string_split(trim(regexp_replace(norm, '[ \\n]+', ' ', 'g')), ' ') as ws from n),
+places as (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from whole),
+wins as (select doc_id, array_to_string(list_slice(ws, greatest(1, i - before), i - before + len - 1), ' ') as unit from places join cues on ws[i] = word),
+u as (select distinct doc_id, trim(regexp_replace(x, '[ \\n]+', ' ', 'g')) as unit from n, lateral (select unnest(list_concat(string_split(norm, chr(10)), regexp_split_to_array(norm, '\\n *\\n'), [norm])) as x) union select doc_id, unit from wins),
+w as (select doc_id, unit, string_split(unit, ' ') as ws from u),
 g as (select doc_id, unit, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as grams from w where len(ws) > 1),
 s as (select doc_id, unit, name, k, 2 * len(list_intersect(grams, own)) / (len(grams) + len(own)) as dice from g, templates where 2 * least(len(grams), len(own)) / (len(grams) + len(own)) >= {licenses.THRESHOLD}),
 b as (select * from s where dice >= {licenses.THRESHOLD} qualify dice = max(dice) over (partition by doc_id, unit)),
