@@ -127,7 +127,7 @@ def retry_after(message: Column) -> Column:
 
 def is_daily_quota(message: Column) -> Column:
     """Whether a provider's message says that the day's quota is used up."""
-    return F.coalesce(F.lower(message), F.lit("")).rlike("per ?day|daily|requestsperday")
+    return F.contains(F.coalesce(message, F.lit("")), F.lit("PerDay"))
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Dollars for a million tokens in and out; thinking counts as out.
 PRICE_IN, PRICE_OUT = 0.75, 3.75
@@ -53,7 +54,8 @@ def check_totals(checks: DataFrame) -> DataFrame:
     """Passed, failed and uncheckable, and the share that passed of those that ran; nulls on an empty table."""
     n = lambda s: F.sum((F.col("status") == s).cast("int")).alias(s)
     t = checks.agg(n("pass"), n("fail"), n("uncheckable"))
-    return t.withColumn("ran", F.coalesce("pass", F.lit(0)) + F.coalesce("fail", F.lit(0))).withColumn("pass_rate", F.try_divide(F.col("pass") * 100, F.col("ran")))
+    share = F.try_divide(F.col("pass") * 1000, F.col("ran"))  # to one decimal, halves to even
+    return t.withColumn("ran", F.coalesce("pass", F.lit(0)) + F.coalesce("fail", F.lit(0))).withColumn("pass_rate", F.rint(share) / 10)
 
 
 def rate(df: DataFrame, condition, name: str) -> DataFrame:
@@ -143,6 +145,12 @@ ORDERS = {
 }
 
 
+def ranked(df: DataFrame, page: str, by: list[str], then: list[str]) -> DataFrame:
+    """``df`` with the place (``rank``) that each row has on its page: one page for each ``by``, ties by ``then``."""
+    keys = [F.desc_nulls_last(c[1:]) if c[0] == "-" else F.asc_nulls_first(c) for c in (*ORDERS[page], *then)]
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*keys)))
+
+
 def in_order(df: DataFrame, page: str, limit: int | None = None) -> DataFrame:
     """``df`` as ``page`` shows it, the first ``limit`` rows if given (a top-k plan, no full sort)."""
     keys = [F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in ORDERS[page]]

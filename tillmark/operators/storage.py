@@ -19,8 +19,9 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def replace_by_key(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``stored`` without the keys of ``new``, and ``new``."""
+def replace_by_key(stored: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """``stored`` without the keys of ``new``, and of ``new`` the last row of each key by ``order`` (none: its columns, the greatest row)."""
+    new = latest(new, keys, order or [F.desc_nulls_last(c) for c in new.columns if c not in keys])
     return stored.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -32,7 +33,7 @@ def save_receipts(stored: DataFrame, new: DataFrame, *children: DataFrame) -> tu
     owner = stored.filter(F.col("shopper_id").isNotNull()).select("source_file", F.col("shopper_id").alias("_owner"))
     kept_owner = new.join(owner, "source_file", "left").withColumn("shopper_id", F.coalesce("shopper_id", "_owner")).drop("_owner")
     gone = stored.join(new.select("source_file"), "source_file", "left_semi").select("receipt_id")
-    return replace_by_key(stored, kept_owner, ["source_file"]), *(c.join(gone, "receipt_id", "left_anti") for c in children)
+    return replace_by_key(stored, kept_owner, ["source_file"], [F.desc("receipt_id")]), *(c.join(gone, "receipt_id", "left_anti") for c in children)
 
 
 def receipt_row(r: Column) -> list[Column]:
@@ -52,7 +53,7 @@ def save_products(stored: DataFrame, new: DataFrame, keep_embedding: bool = True
     old = stored.select("product_id", F.col("created_at").alias("_made"), F.col("embedding").alias("_vector"), F.lit(True).alias("_old"))
     vector = F.coalesce("embedding", "_vector") if keep_embedding else F.col("embedding")
     up = new.join(old, "product_id", "left").withColumns({"created_at": F.when(F.col("_old"), F.col("_made")).otherwise(F.col("created_at")), "embedding": vector}).select(*stored.columns)
-    return replace_by_key(stored, up, ["product_id"])
+    return replace_by_key(stored, up, ["product_id"], [F.desc_nulls_last("canonical_text")])
 
 
 def save_aliases(stored: DataFrame, new: DataFrame) -> DataFrame:

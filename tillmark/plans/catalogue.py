@@ -139,7 +139,7 @@ def _checks(m: Model) -> DataFrame:
 
 
 @query(V + PRINTED + CHARGED + """ select cast(sum(cast(status = 'pass' as int)) as bigint) as passed, cast(sum(cast(status = 'fail' as int)) as bigint) as failed, cast(sum(cast(status = 'uncheckable' as int)) as bigint) as uncheckable,
-  sum(cast(status = 'pass' as int)) * 100 / sum(cast(status <> 'uncheckable' as int)) as pass_rate from checks""")
+  round_even(sum(cast(status = 'pass' as int)) * 1000 / sum(cast(status <> 'uncheckable' as int)), 0) / 10 as pass_rate from checks""")
 def check_pass_rate(m):
     """How many checks pass of those that run."""
     return pages.check_totals(_checks(m)).select(F.col("pass").alias("passed"), F.col("fail").alias("failed"), "uncheckable", "pass_rate")
@@ -247,49 +247,67 @@ def to_cents(m):
 _FLOOR = 0.30
 
 
-@query(f"""with c as (select vec_id as product_id, embedding from embeddings where vec_id % 4 = 0), q as (select vec_id as query_id, embedding from embeddings where vec_id % 4 <> 0),
-s as (select query_id, product_id, list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda x: cast(x[1] as double) * cast(x[2] as double))) as sim from q, c),
-r as (select query_id, product_id, row_number() over (partition by query_id order by sim desc, product_id) as rank from s where sim >= {_FLOOR})
-select query_id, product_id, rank from r where rank <= 5""")
-def candidates_topk(m):
-    """The nearest of one part of the vectors for each of the rest; the parts are the catalog and its queries."""
+_NEAR = f"""s as (select q.vec_id as query_id, c.vec_id as product_id, list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda x: cast(x[1] as double) * cast(x[2] as double))) as sim from embeddings q join embeddings c on q.vec_id <> c.vec_id),
+r as (select query_id, product_id, row_number() over (partition by query_id order by sim desc, product_id) as rank from s where sim >= {_FLOOR})"""
+
+
+def _near(m: Model) -> DataFrame:
+    """For every vector the five nearest others, not below the floor."""
     e = m.spark.read.parquet(f"{m.dir}/embeddings.parquet")
-    catalog, queries = e.filter("vec_id % 4 = 0").withColumnRenamed("vec_id", "product_id"), e.filter("vec_id % 4 <> 0").withColumnRenamed("vec_id", "query_id")
-    return matching.candidates(queries, catalog, 5, _FLOOR).select("query_id", "product_id", "rank")
+    found = matching.candidates(e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "product_id"), 6, _FLOOR).filter("query_id <> product_id")
+    return found.withColumn("rank", F.expr("row_number() over (partition by query_id order by similarity desc, product_id)")).filter("rank <= 5").select("query_id", "product_id", "rank")
+
+
+@query(f"with {_NEAR} select query_id, product_id, rank from r where rank <= 5")
+def candidates_topk(m):
+    """The nearest others of every vector among all."""
+    return _near(m)
 
 
 _PAIR = "lower(a.p_brand) = lower(b.p_brand)"
 
 
-@query(f"""select a.p_partkey as a, b.p_partkey as b, case when not {_PAIR} then 'different' when a.p_type <> b.p_type then 'different' when a.p_name = b.p_name then 'same' else 'unsure' end as verdict
-from part a join part b on a.p_size = b.p_size and b.p_partkey = a.p_partkey + 1""")
+@query(f"""with n as (select p_partkey, lead(p_partkey) over (partition by p_size order by p_partkey) as next from part)
+select a.p_partkey as a, b.p_partkey as b, case when not {_PAIR} then 'different' when a.p_type <> b.p_type then 'different' when a.p_name = b.p_name then 'same' else 'unsure' end as verdict
+from part a join n on n.p_partkey = a.p_partkey join part b on b.p_partkey = n.next""")
 def attribute_verdict(m):
-    """Verdicts on neighbouring products of one size."""
+    """Verdicts on every product and the next one of its size."""
     p = m.spark.read.parquet(f"{m.dir}/part.parquet").select("p_partkey", "p_size", F.col("p_brand").alias("brand"), F.col("p_type").alias("variant"), F.col("p_name").alias("product"))
-    a = p.select(F.col("p_partkey").alias("a"), F.struct("brand", "variant", "product").alias("x"), "p_size")
-    b = p.select(F.col("p_partkey").alias("b"), (F.col("p_partkey") - 1).alias("a"), F.struct("brand", "variant", "product").alias("y"), "p_size")
+    pairs = p.select(F.col("p_partkey").alias("a"), F.struct("brand", "variant", "product").alias("x"), F.expr("lead(struct(p_partkey, brand, variant, product)) over (partition by p_size order by p_partkey)").alias("y")).filter("y is not null")
     pick = lambda s: {c: F.col(f"{s}.{c}") for c in ("brand", "variant", "product")}
-    return a.join(b, ["a", "p_size"]).select("a", "b", matching.compare_attributes(pick("x"), pick("y")).alias("verdict"))
+    return pairs.select("a", F.col("y.p_partkey").alias("b"), matching.compare_attributes(pick("x"), pick("y")).alias("verdict"))
 
 
-@query("""with p as (select p_partkey as k, 'STORE ' || cast(p_partkey % 7 as varchar) as store, p_brand as brand, p_type as variant, case when p_partkey % 10 <> 0 then p_name end as product from part where p_partkey % 2 = 1),
-c as (select p_partkey as product_id, p_brand as brand, p_type as variant, p_name as product from part where p_partkey % 2 = 0 and p_partkey % 8 <> 0),
-hit as (select k, min(product_id) as product_id from p join (select product_id, unnest([product_id - 1, product_id + 1]) as k from c where product_id % 6 = 0) using (k) group by k),
-cand as (select p.k, c.product_id, row_number() over (partition by p.k order by c.product_id) as rank, case when p.brand <> c.brand or p.variant <> c.variant then 'different' when p.product = c.product then 'same' else 'unsure' end as v
-  from p join c on c.product_id in (p.k - 3, p.k - 1, p.k + 1, p.k + 3) where p.product is not null and p.k not in (select k from hit)),
-best as (select k, min(rank) filter (v = 'same') as s, min(rank) filter (v = 'unsure') as u from cand group by k)
-select p.k as key, case when hit.k is not null then 'matched' when product is null then 'review' when s is not null then 'matched' when u is not null then 'review' else 'created' end as outcome
+@query(f"""with {_NEAR},
+p as (select p_partkey as k, p_brand as brand, p_type as variant, case when p_partkey % 10 <> 0 then p_name end as product from part),
+hit as (select k, min(cast(product_id as varchar)) as product_id from (select p_partkey as product_id, unnest([p_partkey - 1, p_partkey + 1]) as k from part where p_partkey % 6 = 0) group by k),
+cand as (select p.k, cast(c.p_partkey as varchar) as product_id, rank, case when lower(p.brand) <> lower(c.p_brand) or lower(p.variant) <> lower(c.p_type) then 'different' when lower(p.product) = lower(c.p_name) then 'same' else 'unsure' end as v
+  from p join r on r.query_id + 1 = p.k and rank <= 5 join part c on c.p_partkey = r.product_id + 1 where p.product is not null and p.k not in (select k from hit)),
+best as (select k, arg_min(product_id, rank) filter (v = 'same') as s, arg_min(product_id, rank) filter (v = 'unsure') as u from cand group by k)
+select p.k as key, case when hit.k is not null then 'matched' when product is null then 'review' when s is not null then 'matched' when u is not null then 'review' else 'created' end as outcome,
+  case when hit.k is not null then hit.product_id when product is null then null else coalesce(s, u, substr(sha256(lower(trim(brand)) || '|' || lower(trim(variant)) || '|' || lower(trim(product))), 1, 8)) end as product_id
 from p left join hit using (k) left join best using (k)""")
 def resolve_decision(m):
-    """Half of the products resolved against the other half: known aliases, then near ids as candidates."""
-    part = m.spark.read.parquet(f"{m.dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("brand"), F.col("p_type").alias("variant"), F.col("p_name").alias("product"))
-    odd = part.filter("k % 2 = 1").select(F.col("k").alias("key"), F.lit("any").alias("store"), F.concat(F.lit("ITEM "), F.col("k").cast("string")).alias("raw_description"), "brand", "variant", F.when(F.col("k") % 10 != 0, F.col("product")).alias("product"), F.lit(False).alias("needs_review"))
-    name = lambda k: F.concat(F.lit("ANY||ITEM "), k.cast("string"))
-    k = F.col("k")
-    catalog = part.filter("k % 2 = 0 and k % 8 <> 0").select(k.alias("product_id"), "brand", "variant", "product", F.when(k % 6 == 0, F.array(name(k - 1), name(k + 1))).otherwise(F.expr("cast(array() as array<string>)")).alias("aliases"))
-    near = catalog.select("product_id", F.explode(F.array(*(F.col("product_id") + d for d in (-3, -1, 1, 3)))).alias("query_id"))
-    near = near.withColumn("rank", F.expr("row_number() over (partition by query_id order by product_id)"))
-    return matching.resolve(odd, catalog.withColumn("product_id", F.col("product_id").cast("string")), near.withColumn("product_id", F.col("product_id").cast("string"))).select("key", "outcome")
+    """Every product resolved against the others: known aliases, then the nearest vectors as candidates."""
+    return _decisions(m).select("key", "outcome", "product_id")
+
+
+def _parts(m: Model) -> DataFrame:
+    return m.spark.read.parquet(f"{m.dir}/part.parquet").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("brand"), F.col("p_type").alias("variant"), F.col("p_name").alias("product"))
+
+
+def _catalog(m: Model) -> DataFrame:
+    name, k = (lambda k: F.concat(F.lit("ANY||ITEM "), k.cast("string"))), F.col("k")
+    return _parts(m).select(k.cast("string").alias("product_id"), "brand", "variant", "product", F.when(k % 6 == 0, F.array(name(k - 1), name(k + 1))).otherwise(F.expr("cast(array() as array<string>)")).alias("aliases"))
+
+
+def _parsed(m: Model) -> DataFrame:
+    return _parts(m).select(F.col("k").alias("key"), F.lit("any").alias("store"), F.concat(F.lit("ITEM "), F.col("k").cast("string")).alias("raw_description"), "brand", "variant", F.when(F.col("k") % 10 != 0, F.col("product")).alias("product"), F.lit(False).alias("needs_review"))
+
+
+def _decisions(m: Model) -> DataFrame:
+    near = _near(m).select((F.col("query_id") + 1).alias("query_id"), (F.col("product_id") + 1).cast("string").alias("product_id"), "rank")
+    return matching.resolve(_parsed(m), _catalog(m), near)
 
 
 @query(V + " select l.receipt_id, l.line_number, l.raw_description, l.quantity, a.product_id from line_items l join receipts r using (receipt_id) left join aliases a on a.store = upper(r.merchant_name) and a.raw_description = l.raw_description")
@@ -348,8 +366,12 @@ def daily_spend(m):
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    from tillmark.plans import ledger  # registers its own
+
+    return dict(ledger.REGISTERED[0])
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from tillmark.plans import ledger
+
+    return dict(ledger.REGISTERED[1])
