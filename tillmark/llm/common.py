@@ -18,10 +18,12 @@ _own_dir: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one process (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="tillmark-"))
     return _own_dir[0]
