@@ -24,6 +24,7 @@ task that runs again makes its own.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -33,17 +34,24 @@ CAP = 255
 BLOCK = 1 << 18
 BUFFER = 1 << 21  # entries that the queues hold in memory
 RANGE = 1 << 12  # entries of symbols that share a queue
+#: Bytes up to which an array is held in memory.
+IN_MEMORY = 32 << 20
 _FAR = np.iinfo(np.int64).max
 _RECORD = np.dtype([("symbol", "<i8"), ("pos", "<i8"), ("lcp", "u1")])
 
 
 def new_map(folder: str, name: str, n: int, dtype) -> np.ndarray:
     """An array of ``n`` in a file of ``folder``; small ones stay in memory."""
-    if n * np.dtype(dtype).itemsize <= 1 << 24:
+    if n * np.dtype(dtype).itemsize <= IN_MEMORY:
         return np.zeros(n, dtype)
     return np.memmap(os.path.join(folder, name), dtype, "w+", shape=(n,))
 
 
+def _places(n: int):
+    """Type of a place among ``n``."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 class DiskQueues:
     """Priority queues of (symbol, position, prefix length), one for each range of symbols, in order of arrival."""
 
@@ -210,11 +218,11 @@ def name_stars(s: np.ndarray, types: np.ndarray, star: np.ndarray, alphabet: int
     n, m = len(s), len(star)
     bits = int(2 * alphabet).bit_length()
     width = max(1, 62 // bits)  # symbols, with their types, that one word takes
-    name = new_map(folder, "name", m, np.int64)
+    name = new_map(folder, "name", m, _places(m))
     open_ = np.arange(m)  # those whose name may still be refined
     k = 0
     while len(open_):
-        word, longer = new_map(folder, f"word{k}", len(open_), np.int64), np.zeros(len(open_), bool)
+        word, longer = new_map(folder, "word", len(open_), np.int64), np.zeros(len(open_), bool)
         for lo in range(0, len(open_), block):
             at = open_[lo : lo + block]
             p = star[at]
@@ -228,7 +236,7 @@ def name_stars(s: np.ndarray, types: np.ndarray, star: np.ndarray, alphabet: int
         order = disk_order(word, folder)
         ranks = np.empty(len(open_), np.int64)
         ranks[order] = _starts(word[order])
-        joint = name[open_] * (len(open_) + 1) + ranks
+        joint = name[open_].astype(np.int64) * (len(open_) + 1) + ranks
         order = disk_order(joint, folder)
         old, both = _starts(name[open_][order]), _starts(joint[order])
         name[open_[order]] += both - old
@@ -248,7 +256,7 @@ def sort_stars(s: np.ndarray, types: np.ndarray, folder: str, block: int, buffer
         t = types[lo - 1 : lo + block] if lo else np.append([True], types[:block])  # with the one before
         parts.append(np.flatnonzero((t[1:] & ~t[:-1]) | (s[lo : lo + block] == 0)) + lo)
     m = sum(map(len, parts))
-    star, at = new_map(folder, "star", m, np.int64), 0
+    star, at = new_map(folder, "star", m, _places(len(s))), 0
     for p in parts:
         star[at : at + len(p)] = p
         at += len(p)
@@ -258,23 +266,30 @@ def sort_stars(s: np.ndarray, types: np.ndarray, folder: str, block: int, buffer
     zeros = int(np.searchsorted(name[order], 1)) if m else 0  # all zeros have the name 0
     firsts = _starts(name[order])[zeros:]
     distinct = len(np.unique(firsts))
-    out, lcp = new_map(folder, "stars", m, np.int64), new_map(folder, "star-lcp", m, np.uint8)
+    out, lcp = new_map(folder, "stars", m, _places(len(s))), new_map(folder, "star-lcp", m, np.uint8)
     out[:zeros] = star[np.sort(order[:zeros])]
     if distinct == m - zeros:
-        own, same = order[zeros:], np.zeros(m - zeros, np.int64)
+        own, same, below = order[zeros:], np.zeros(m - zeros, np.int64), None
     else:  # the string of names: sorted in turn, and its prefix lengths carried up
         below = tempfile.mkdtemp(prefix="names-", dir=folder)
-        names = new_map(below, "string", m, np.int64)
+        names = new_map(below, "string", m, _places(m))
         names[order[zeros:]] = 1 + np.cumsum(np.concatenate(([0], np.diff(firsts) != 0)))
         own, same = suffix_order(names, below, block, buffer, distinct + 1)
+        del names
     for lo in range(0, m - zeros, block):
         b = own[lo : lo + block]
+        b = b.astype(np.int64)
         a = np.append(own[lo - 1] if lo else b[0], b[:-1])
         k = same[lo : lo + block].astype(np.int64)
-        got = common_prefix(s, star[a], star[b], star[b + k] - star[b])
+        got = common_prefix(s, star[a], star[b], star[b + k].astype(np.int64) - star[b])
         if lo == 0:
             got[:1] = 0
         out[zeros + lo : zeros + lo + len(b)], lcp[zeros + lo : zeros + lo + len(b)] = star[b], got
+    if below:
+        shutil.rmtree(below)  # what is still mapped goes with its last reader
+    for name_ in ("star", "name", "word"):
+        if os.path.exists(os.path.join(folder, name_)):
+            os.remove(os.path.join(folder, name_))
     return out, lcp
 
 
@@ -333,6 +348,7 @@ class _Pass:
         begin, end = int(self.static_at[c]), int(self.static_at[c + 1])
         for i in range(begin, end, self.block):
             pos, lcp = static(i, min(end, i + self.block))
+            pos = pos.astype(np.int64)
             if i == begin:
                 lcp[0] = common_prefix(self.s, last, pos[:1])[0] if done and c else 0
                 seam_at(np.array([c]), lcp[:1])
@@ -347,6 +363,7 @@ class _Pass:
         o = np.argsort(c, kind="stable")
         c, p, v = c[o], p[o], v[o]
         sp, sv = static(int(self.static_at[lo]), int(self.static_at[hi]))
+        sp = sp.astype(np.int64)
         sc = self.symbols(self.s[sp])
         first = np.concatenate(([True], sc[1:] != sc[:-1])) if len(sc) else np.empty(0, bool)
         i, done, last_c, last_p = 0, np.zeros(hi - lo, np.int64), -1, 0
@@ -402,7 +419,7 @@ def suffix_order(s: np.ndarray, folder: str, block: int = BLOCK, buffer: int = B
     small[0] = 0
     begin = new_map(folder, "begin", alphabet + 1, np.int64)  # of each symbol in the order
     np.cumsum(large + small, out=begin[1:])
-    order, lcp = new_map(folder, "order", n - zeros, np.int64), new_map(folder, "lcp", n - zeros, np.uint8)
+    order, lcp = new_map(folder, "order", n - zeros, _places(n)), new_map(folder, "lcp", n - zeros, np.uint8)
     star, star_lcp = sort_stars(s, types, folder, block, buffer, alphabet)
     stars = new_map(folder, "star-counts", alphabet, np.int64)
     for lo in range(0, len(star), block):

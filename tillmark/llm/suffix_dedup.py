@@ -45,7 +45,7 @@ GRAM = 20
 #: Bytes of text in a shard, and of all text for each bucket: there are as many buckets as that takes.
 SHARD_BYTES, BUCKET_BYTES = 1 << 20, 16 << 20
 #: Bytes of pieces of a bucket among which equal ones are told at once; later ones meet in the sort.
-FOLD_BYTES = 4 << 20
+FOLD_BYTES = 16 << 20
 FIRST_ID = -(1 << 63)
 
 #: Bits of a hash that an anchor's number leaves out: with its flag it takes six bytes. Strangers with one number only make more pieces.
@@ -303,31 +303,29 @@ class _Bucket:
         for at in range(0, len(sent), 1 << 18):
             np.minimum.at(lowest, sent[at : at + (1 << 18)], ids[at : at + (1 << 18)])
         windows = lengths.astype(np.int64) - length + 1
-        at = np.concatenate(([0], np.cumsum(windows)))
-        least = new_map(self.folder, "of-windows", int(at[-1]), np.int64)  # for each window of each piece, as if it stood alone
         order = np.argsort(anchors_, kind="stable")
         own = anchors_[order]
         same = own[1:] == own[:-1]
         alone = np.ones(self.n, bool)
         alone[order[np.append(same, False) | np.append(False, same)]] = False
-        some, shared = np.flatnonzero(alone), np.flatnonzero(~alone)
-        for lo in range(0, len(some), 1 << 14):
-            k = some[lo : lo + (1 << 14)]
-            least[_spread(at[k], windows[k])] = np.repeat(lowest[k], windows[k])
+        del order, own, same
+        shared = np.flatnonzero(~alone)
         if len(shared):
             begins = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)[:-1]))
-            got, done = _least_of(data, begins[shared], lengths[shared].astype(np.int64), np.asarray(lowest)[shared], length, self.folder), 0
-            for lo in range(0, len(shared), 1 << 14):
-                k = shared[lo : lo + (1 << 14)]
-                to = _spread(at[k], windows[k])
-                least[to] = got[done : done + len(to)]
-                done += len(to)
+            ranked = np.unique(lowest)  # ids by their place
+            of, least = _least_of(data, begins[shared], lengths[shared].astype(np.int64), np.searchsorted(ranked, lowest[shared]).astype(np.int32), length, self.folder)
+            string_at = np.zeros(self.n, np.int64)
+            string_at[shared] = of
         done = 0
         for shard, bucket, m in self.rows:
             k = np.asarray(sent[done : done + m])
             done += m
-            found = zstandard.compress(np.asarray(least[_spread(at[k], windows[k])]).tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([bucket], pa.int32()), pa.array([found], pa.binary())], names=["shard_id", "bucket", "least"])
+            w = windows[k]
+            found = np.repeat(lowest[k], w)  # for each window of each piece, as if it stood alone
+            some = ~alone[k]
+            if some.any():
+                found[np.repeat(some, w)] = ranked[least[_spread(string_at[k[some]], w[some])]]
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([bucket], pa.int32()), pa.array([zstandard.compress(found.tobytes(), 1)], pa.binary())], names=["shard_id", "bucket", "least"])
 
 
 def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -353,8 +351,8 @@ def _sort_bucket(length: int, fold_bytes: int = FOLD_BYTES):
     return run
 
 
-def _least_of(data: np.ndarray, at: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int, folder: str) -> np.ndarray:
-    """For each window of each piece (``sizes`` bytes of ``data`` from ``at``) the smallest of the ``ids`` of pieces that hold the same bytes, by suffix sorting."""
+def _least_of(data: np.ndarray, at: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each piece (``sizes`` bytes of ``data`` from ``at``) begins in one string, and for each place of that the smallest of the ``ids`` of pieces with the same ``length`` bytes, by suffix sorting."""
     begins = 1 + np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
     total = int(sizes.sum()) + len(sizes) + 1
     s = new_map(folder, "string", total, np.uint16)
@@ -367,14 +365,9 @@ def _least_of(data: np.ndarray, at: np.ndarray, sizes: np.ndarray, ids: np.ndarr
     sorted_in = os.path.join(folder, "sorted")
     os.mkdir(sorted_in)
     order, lcp = suffix_order(s, sorted_in)
-    least = new_map(folder, "least", total, np.int64)  # of the strings that begin like each
+    least = new_map(folder, "least", total, np.int32)
     _smallest(order, lcp, owner, ids, least, length)
-    out, done = new_map(folder, "of-shared", int((sizes - length + 1).sum()), np.int64), 0
-    for lo in range(0, len(sizes), 1 << 14):
-        where = _spread(begins[lo : lo + (1 << 14)], sizes[lo : lo + (1 << 14)] - length + 1)
-        out[done : done + len(where)] = least[where]
-        done += len(where)
-    return out
+    return begins, least
 
 
 def _smallest(order: np.ndarray, lcp: np.ndarray, owner: np.ndarray, ids: np.ndarray, out: np.ndarray, length: int, block: int = 1 << 18) -> None:
