@@ -199,7 +199,7 @@ def test_blobs_quota_tallies_and_orders(spark, tmp_path):
 
     v = spark.createDataFrame([([1.5, -2.0],), (None,)], "v array<float>")
     assert [r[0] for r in v.select(sc.blob_to_vector(sc.vector_to_blob("v"))).collect()] == [[1.5, -2.0], None]
-    assert [r[0] for r in spark.createDataFrame([("Quota exceeded: requests per day",), ("busy",), (None,)], "m string").select(sc.is_daily_quota(F.col("m"))).collect()] == [True, False, False]
+    assert [r[0] for r in spark.createDataFrame([("429 GenerateRequestsPerDayPerProjectPerModel",), ("busy",), (None,)], "m string").select(sc.is_daily_quota(F.col("m"))).collect()] == [True, False, False]
     items = spark.createDataFrame([("S", "A"), ("S", "B"), ("S", "A")], "store string, raw_description string")
     cols = f"store string, raw_description string, parsed {schemas.PARSED.simpleString()}"
     before = spark.createDataFrame([("S", "A", {"product": "a"})], cols)
