@@ -97,9 +97,55 @@ def cue_spots() -> list[tuple[str, int, int]]:
     return sorted(out)
 
 
+#: Words that are cut off at once to lay windows in; no template is longer.
+WIDE = 256
+
+
+def _tree(words: list[str]) -> str:
+    """A pattern for any of the words that reads each common beginning once."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    ways = [h + (_tree(rest) if h else "") for h, rest in sorted(heads.items(), reverse=True)]
+    return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+
+
+def any_word(words: list[str]) -> str:
+    """A pattern for texts, in lower case, that have one of the words between others than a-z and 0-9."""
+    return f"(?<![a-z0-9]){_tree(sorted(set(words)))}(?![a-z0-9])"
+
+
 def normalised(text: Column) -> Column:
-    """Lower case; anything but a-z, 0-9 and line ends becomes one space."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\n]+", " ")
+    """Lower case; anything but a-z, 0-9 and line ends becomes one space (single spaces are left as they are)."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\n]{2,}|[^a-z0-9\n ]", " ")
+
+
+def _windows(chunks: Column) -> Column:
+    """Words around each anchor, one window for each place that a template has it at.
+
+    A chunk is read with its two neighbours, so a text of any length costs three readings.
+    """
+    spots: dict[str, list[Column]] = {}
+    for w, k, n in cue_spots():
+        spots.setdefault(w, []).append(F.struct(F.lit(k).alias("before"), F.lit(n).alias("n")))
+    assert max(n for _, _, n in cue_spots()) <= WIDE
+    spots_of = F.create_map(*(x for w, found in spots.items() for x in (F.lit(w), F.array(*found))))
+    beside = lambda i: F.coalesce(F.get(chunks, i), F.lit(""))
+
+    def around(c: Column, i: Column) -> Column:
+        words = F.split(F.rtrim(F.concat(beside(i - 1), c, beside(i + 1))), " ")
+        return F.when(c.rlike(any_word(list(spots))), F.struct(words.alias("words"), F.when(i > 0, WIDE).otherwise(0).alias("begin")))
+
+    def window(x: Column, at: Column, s: Column) -> Column:
+        begin = F.greatest(at - s["before"], F.lit(0))
+        return F.array_join(F.slice(x["words"], begin + 1, at - s["before"] + s["n"] - begin), " ")
+
+    def laid(x: Column) -> Column:
+        at = F.transform(x["words"], lambda w, j: F.when((j >= x["begin"]) & (j < x["begin"] + WIDE) & w.isin(*spots), j))
+        at = F.filter(at, lambda j: j.isNotNull())
+        return F.flatten(F.transform(at, lambda j: F.transform(spots_of[F.get(x["words"], j)], lambda s: window(x, j, s))))
+
+    return F.flatten(F.transform(F.filter(F.transform(chunks, around), lambda x: x.isNotNull()), laid))
 
 
 def scan(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,23 +158,13 @@ def scan(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", te
     """
     grams = [(name, bigrams_of(x)) for name, x in TEMPLATES]
     low, high = min(bounds(len(g), threshold)[0] for _, g in grams), max(bounds(len(g), threshold)[1] for _, g in grams)
-    cue = r"\b(?:" + "|".join(cues(threshold)) + r")\b"
-    rows = df.select(F.col(id_col).alias("id"), normalised(F.col(text)).alias("norm"))
-    one_line = lambda u: F.trim(F.regexp_replace(u, r"[ \n]+", " "))
-    spots: dict[str, list[Column]] = {}
-    for w, k, n in cue_spots():
-        spots.setdefault(w, []).append(F.struct(F.lit(k).alias("before"), F.lit(n).alias("n")))
-    spots_of = F.create_map(*(x for w, found in spots.items() for x in (F.lit(w), F.array(*found))))
-    rows = rows.withColumn("words", F.when(F.col("norm").rlike(cue), F.split(one_line(F.col("norm")), " ")))
-
-    def windows(at: Column) -> Column:
-        """Around the cue word at a place (from 0) of ``words``: one for each place that a template has it at."""
-        begin = lambda s: F.greatest(at - s["before"], F.lit(0))
-        return F.transform(spots_of[F.get("words", at)], lambda s: F.array_join(F.slice("words", begin(s) + 1, at - s["before"] + s["n"] - begin(s)), " "))
-
-    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(*spots), i)), lambda i: i.isNotNull())
+    cue = any_word(cues(threshold))
+    one_line = lambda u: F.trim(F.regexp_replace(u, r"[ \n]{2,}|\n", " "))
+    # all columns are null, and cost nothing, in a text without a cue word
+    rows = df.select(F.col(id_col).alias("id"), F.when(F.lower(F.col(text)).rlike(cue), normalised(F.col(text))).alias("norm"))
+    rows = rows.withColumn("chunks", F.regexp_extract_all(one_line(F.col("norm")), F.lit(f"(?:[^ ]++ ?){{1,{WIDE}}}"), 0))
     whole = F.transform(F.concat(F.split("norm", r"\n"), F.split("norm", r"\n *\n"), F.array("norm")), one_line)
-    units = F.when(F.col("words").isNotNull(), F.array_distinct(F.concat(whole, F.flatten(F.transform(places, windows)))))
+    units = F.when(F.col("norm").isNotNull(), F.array_distinct(F.concat(whole, _windows(F.col("chunks")))))
     words = F.filter(F.transform(F.filter(units, lambda u: u.rlike(cue)), lambda u: F.split(u, " ")), lambda w: F.size(w) > low)
     pairs = F.transform(words, lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
     pairs = F.filter(pairs, lambda g: (F.size(g) >= low) & (F.size(g) <= high))
