@@ -149,5 +149,54 @@ walk as (
 select page_id, k.host, path, rule, coalesce(said, case when p >= {u.REJECT} then 'block' else 'allow' end) as verdict, case when said is null then node end as template
 from k join walk on walk.host = k.host and walk.segs = k.segs and walk.d = len(k.segs)"""
 
+_TOLD = "coalesce(cast(octet_length(encode(cast({0} as varchar))) as varchar) || ':' || cast({0} as varchar), '-')"
 
-ORACLE = {"op3_minimax_shards": OP3, "op4_license_scan": OP4, "op5_fm_decontaminate": OP5, "op6_chat_windows": OP6, "op7_induced_suffix_dedup": OP7, "op8_url_templates": _op8()}
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_TOLD.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+OP11 = f"""
+with recursive tables as (select [{", ".join(f"cast({c} as bigint)" for c in _crc_table())}] as tab),
+d as (select row_number() over () as row, doc_id, case when source is null then '0' else '1' || source end as grp, {_leaf("text")} as leaf,
+  case when doc_id is not null and {_crc32("hex(encode(cast(doc_id as varchar)))")} % 2 = 0 then {_leaf("replace(text, chr(10), '')")} else {_leaf("text")} end as seen from documents, tables),
+p as (select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by grp) as n from d),
+low as (
+  select grp, 0 as level, i, n, leaf as h from p
+  union all
+  select grp, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' order by i)) from low where n > 1 group by grp, level, i // 3, n),
+subroots as (select grp, h, row_number() over (order by encode(grp)) - 1 as i, count(*) over () as n from low where n = 1),
+high as (
+  select 0 as level, i, n, h from subroots
+  union all
+  select level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' order by i)) from high where n > 1 group by level, i // 3, n),
+own as (
+  select row, grp, level, i // cast(pow(3, level) as bigint) as i from (select row, grp, i, unnest(range(0, (select max(level) + 1 from low))) as level from p)),
+tops as (
+  select row, level, i // cast(pow(3, level) as bigint) as i from (select p.row, s.i, unnest(range(0, (select max(level) + 1 from high))) as level from p join subroots s using (grp))),
+steps as (
+  select row, o.level as k, coalesce(string_agg(x.h, '' order by x.i) filter (x.i < o.i), '') as lft, coalesce(string_agg(x.h, '' order by x.i) filter (x.i > o.i), '') as rgt
+    from own o join low x on x.grp = o.grp and x.level = o.level and x.i // 3 = o.i // 3 where x.n > 1 group by all
+  union all
+  select row, 1000 + o.level, coalesce(string_agg(x.h, '' order by x.i) filter (x.i < o.i), ''), coalesce(string_agg(x.h, '' order by x.i) filter (x.i > o.i), '')
+    from tops o join high x on x.level = o.level and x.i // 3 = o.i // 3 where x.n > 1 group by row, o.level),
+ranked as (select row, row_number() over (partition by row order by k) as k, lft, rgt from steps),
+proofs as (select row, sha256(string_agg(lft || rgt, '' order by k)) as proof from ranked group by row),
+fold as (
+  select row, cast(0 as bigint) as k, seen as h from p
+  union all
+  select f.row, r.k, sha256(r.lft || f.h || r.rgt) from fold f join ranked r on r.row = f.row and r.k = f.k + 1),
+done as (select row, max_by(h, k) as folded from fold group by row)
+select p.doc_id, p.leaf, s.h as subroot, r.h as root, coalesce(proof, sha256('')) as proof_sha256, folded as folded_root, folded = r.h as verified
+from p join subroots s using (grp) join done using (row) left join proofs using (row), (select h from high where n = 1) r"""
+
+_DRAW = "cast('0x' || substr(dig, {}, 8) as bigint)"
+OP13 = f"""
+with d as (select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as dig, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u from documents),
+c as (select *, cast(len(u) as bigint) as n, least({_DRAW.format(1)} % (len(u) + 1), {_DRAW.format(9)} % (len(u) + 1)) as lo, greatest({_DRAW.format(1)} % (len(u) + 1), {_DRAW.format(9)} % (len(u) + 1)) as hi,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') then 'plain' when {_DRAW.format(25)} % 100 < 50 then 'spm' else 'psm' end as form from d),
+q as (select *, array_to_string(u[1:lo], '') as p, array_to_string(u[lo + 1:hi], '') as m, array_to_string(u[hi + 1:n], '') as s from c),
+o as (select *, case form when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m when 'spm' then '<S>' || s || '<P>' || p || '<M>' || m else text end as output from q)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars, sha256(output) as output_sha256, sha256(text) as restored_sha256 from o"""
+
+ORACLE = {"op3_minimax_shards": OP3, "op4_license_scan": OP4, "op5_fm_decontaminate": OP5, "op6_chat_windows": OP6, "op7_induced_suffix_dedup": OP7, "op8_url_templates": _op8(), "op11_merkle_manifest": OP11, "op13_fill_in_middle": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillmark.llm import chat, decontamination, fingerprints, licenses, packing, sharding, simhash_gray, suffix_dedup, toxicity, url_templates
+from tillmark.llm import chat, decontamination, fill_in_middle, fingerprints, licenses, merkle, packing, sharding, simhash_gray, suffix_dedup, token_counts, toxicity, url_templates
 from tillmark.llm.common import join_heavy, written
 from tillmark.llm.oracle import ORACLE
 
@@ -87,8 +87,35 @@ def op10_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", _hex("fp").alias("fingerprint"), _hex("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, subroots and proofs of all documents by source, audited where line ends were deleted from every other one."""
+    deleted = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    proofs, _, _ = merkle.manifest(_table(spark, sf_dir, "documents"), tampered=("text", deleted))
+    return merkle.audited(proofs).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of whole documents by a public byte-level BPE; over the limit are those of more than 1024."""
+    import public_tokenizers
+
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents cut at line ends and rearranged, and the texts read back from that."""
+    out = fill_in_middle.rearrange(_table(spark, sf_dir, "documents"), seed=7, fim_percent=100, spm_percent=50)
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
+QUERIES = (
+    op1_noisy_channel_toxicity, op2_gray_simhash, op3_minimax_shards, op4_license_scan, op5_fm_decontaminate, op6_chat_windows, op7_induced_suffix_dedup, op8_url_templates,
+    op9_best_fit_packing, op10_simhash_blocks, op11_merkle_manifest, op12_token_counts, op13_fill_in_middle,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_noisy_channel_toxicity, op2_gray_simhash, op3_minimax_shards, op4_license_scan, op5_fm_decontaminate, op6_chat_windows, op7_induced_suffix_dedup, op8_url_templates, op9_best_fit_packing, op10_simhash_blocks)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
