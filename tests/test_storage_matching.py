@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tillmark.functions import scalars as sc
 from tillmark.operators import images, matching, providers, storage
 from tillmark.sources import readers, schemas
+from tillmark.sources.store import Store
 from tillmark.streaming import ingest
 
 
@@ -153,12 +154,12 @@ def test_read_receipts(spark, tmp_path):
 
 
 def test_incremental_ingest_takes_each_file_once(spark, tmp_path):
-    inbox, root = tmp_path / "in", tmp_path / "out"
+    inbox, store = tmp_path / "in", Store(spark, f"file://{tmp_path}/out", buckets=4)
     inbox.mkdir()
     for k in range(2):
         (inbox / f"r{k}_extracted.json").write_text(json.dumps(RECEIPT))
-        ingest.ingest(spark, str(inbox), str(root), str(tmp_path / "ck")).awaitTermination()
-    read = lambda t: spark.read.parquet(f"{root}/{t}")
+        ingest.ingest(spark, str(inbox), store, str(tmp_path / "ck")).awaitTermination()
+    read = store.snapshot().table
     assert read("receipts").count() == 2 and read("line_items").count() == 4
     assert read("validation_results").groupBy("status").count().count() == 2 and read("receipts").select("total_cents").distinct().head()[0] == 300
 

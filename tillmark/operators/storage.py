@@ -56,11 +56,15 @@ def save_products(stored: DataFrame, new: DataFrame, keep_embedding: bool = True
     return replace_by_key(stored, up, ["product_id"], [F.desc_nulls_last("canonical_text")])
 
 
-def save_aliases(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Aliases upserted by upper-cased store (``UNKNOWN`` without one) and trimmed description."""
+def keyed_aliases(new: DataFrame) -> DataFrame:
+    """Aliases by upper-cased store (``UNKNOWN`` without one) and trimmed description."""
     key = alias_key(F.col("store"), F.col("raw_description"))
-    keyed = new.withColumns({"store": F.substring_index(key, "||", 1), "raw_description": strip(F.col("raw_description"))})
-    return replace_by_key(stored, keyed, ["store", "raw_description"])
+    return new.withColumns({"store": F.substring_index(key, "||", 1), "raw_description": strip(F.col("raw_description"))})
+
+
+def save_aliases(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Aliases upserted by their key."""
+    return replace_by_key(stored, keyed_aliases(new), ["store", "raw_description"])
 
 
 def delete_receipts(ids: DataFrame, receipts: DataFrame, *children: DataFrame) -> tuple[DataFrame, ...]:

@@ -9,6 +9,7 @@ from tillmark.operators import analysis, matching, pages, storage, validation
 from tillmark.plans import catalogue
 from tillmark.plans.catalogue import CHARGED, POINTS, PRINTED, V, _checks, _decisions, _catalog, _parsed, _points, query
 from tillmark.sources import schemas
+from tillmark.sources.store import Store, shared_folder
 
 REGISTERED = (catalogue._QUERIES, catalogue._SQL)
 
@@ -191,6 +192,43 @@ def migrated_receipts(m):
     return schemas.migrate(m.receipts.select("receipt_id", "source_file", "merchant_name", "total_cents"), "receipts", 1).select("receipt_id", "source_file", "total_cents", "uploaded_by", "shopper_id", "tax_rate_percent")
 
 
+_AGAIN = 10_000_000
+
+
+@query(V + f""", r as (select receipt_id as was, receipt_id, shopper_id, source_file, total_cents from receipts where receipt_id % 5 <> 0
+  union all select receipt_id, receipt_id + {_AGAIN}, shopper_id, source_file, total_cents + 1 from receipts where receipt_id % 5 = 0)
+select r.receipt_id, r.shopper_id, source_file, total_cents, count(l.receipt_id) as n_lines, coalesce(cast(sum(l.line_total_cents) as bigint), 0) as line_cents, count(p.product_id) as n_named
+from r left join line_items l on l.receipt_id = r.was and (r.receipt_id < {_AGAIN} or l.line_number <= 2) left join products p on p.product_id = l.product_id where r.receipt_id % 7 <> 0 group by all""")
+def store_commits(m):
+    """SK-1 to SK-6: all receipts committed with their lines, every fifth taken in again with fewer lines, every seventh deleted; read back from the store."""
+    store = Store(m.spark, shared_folder(m.spark, "store"), buckets=32)
+    r = m.receipts.select("receipt_id", "shopper_id", "source_file", "total_cents")
+    li = m.line_items.select("line_item_id", "receipt_id", "line_number", "raw_description", F.col("product_id").cast("string").alias("product_id"), "line_total_cents", "is_voided")
+
+    def commit(change) -> None:  # noqa: ANN001
+        tx = store.begin()
+        change(tx)
+        tx.commit()
+        tx.close()
+
+    def all_of_it(tx) -> None:  # noqa: ANN001
+        tx.put("shoppers", m.shoppers.select(F.col("shopper_id").cast("long").alias("shopper_id"), "display_name"))
+        tx.save_products(m.products.select(F.col("product_id").cast("string").alias("product_id"), "canonical_text"))
+        tx.save_receipts(r, li)
+
+    later = (F.col("receipt_id") + _AGAIN).alias("receipt_id")
+    again = r.filter("receipt_id % 5 = 0").select(later, "source_file", (F.col("total_cents") + 1).alias("total_cents"))
+    fewer = li.join(r.filter("receipt_id % 5 = 0").select("receipt_id"), "receipt_id", "left_semi").filter("line_number <= 2").select(*(later if c == "receipt_id" else F.col(c) for c in li.columns))
+    commit(all_of_it)
+    commit(lambda tx: tx.save_receipts(again, fewer))
+    commit(lambda tx: tx.delete_receipts(store.snapshot().table("receipts").filter("receipt_id % 7 = 0").select("receipt_id")))
+    now = store.snapshot()
+    named = now.table("line_items").join(now.table("products").select("product_id", F.lit(1).alias("named")), "product_id", "left")
+    sums = named.groupBy("receipt_id").agg(F.count("*").alias("n_lines"), F.sum("line_total_cents").alias("line_cents"), F.count("named").alias("n_named"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return now.table("receipts").join(sums, "receipt_id", "left").select("receipt_id", "shopper_id", "source_file", "total_cents", zero("n_lines"), zero("line_cents"), zero("n_named"))
+
+
 _KINDS = {"weight": [u for u, d, _ in units.UNITS if d == "weight"], "volume": [u for u, d, _ in units.UNITS if d == "volume"], "count": [u for u, d, _ in units.UNITS if d == "count"]}
 _DIMENSION = "case " + " ".join(f"when unit in ({', '.join(repr(u) for u in us)}) then '{d}'" for d, us in _KINDS.items()) + " end"
 

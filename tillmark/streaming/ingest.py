@@ -1,4 +1,8 @@
-"""Incremental ingest of extracted receipts: new files become rows of the tables, each file once."""
+"""Incremental ingest of extracted receipts into a store: the tables of a micro-batch are committed together, once.
+
+A file that comes again, with other contents and in whatever later batch, takes the place of what it was: its receipt
+stands once and keeps its owner, its old lines and checks go.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +11,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tillmark.functions.scalars import to_cents
-from tillmark.operators.storage import receipt_row
+from tillmark.operators.storage import latest, receipt_row
 from tillmark.operators.validation import validate
 from tillmark.sources.readers import source_file, typed_receipts
 from tillmark.sources.schemas import RECEIPT, TABLES, add_missing_columns
+from tillmark.sources.store import Store
 
 
-def receipt_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Receipts as they arrive below ``path``, with ``source_file`` and an id that depends on it alone."""
-    raw = spark.readStream.schema(RECEIPT).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", "*_extracted.json").json(path)
-    return typed_receipts(raw.withColumn("source_file", source_file(F.input_file_name()))).withColumn("receipt_id", F.xxhash64("source_file"))
+def receipt_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Receipts as they arrive in folders below ``path``, with ``source_file``, an id that depends on it alone, and when and where they came."""
+    reader = spark.readStream.schema(RECEIPT).options(multiLine=True, mode="FAILFAST", pathGlobFilter="*_extracted.json", recursiveFileLookup=True)
+    raw = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(path)
+    came = raw.select("*", F.col("_metadata.file_modification_time").alias("came_at"), F.col("_metadata.file_path").alias("came_from"))
+    return typed_receipts(came.withColumn("source_file", source_file(F.col("came_from")))).withColumn("receipt_id", F.xxhash64("source_file"))
 
 
 def tables_of(batch: DataFrame) -> dict[str, DataFrame]:
-    """Rows of ``receipts``, ``line_items`` and ``validation_results`` of one batch of receipts."""
+    """Rows of ``receipts``, ``line_items`` and ``validation_results`` of one batch of receipts; of several of one file the last that came."""
+    if "came_at" in batch.columns:
+        batch = latest(batch, ["source_file"], [F.desc("came_at"), F.desc("came_from")])
     whole = batch.withColumn("r", F.struct(*[f.name for f in RECEIPT]))
     receipts = whole.select("receipt_id", "source_file", *receipt_row(F.col("r")))
     lines = batch.select("receipt_id", F.posexplode("line_items").alias("at", "x")).select("receipt_id", "at", "x.*")
@@ -32,20 +41,27 @@ def tables_of(batch: DataFrame) -> dict[str, DataFrame]:
     return {"receipts": add_missing_columns(receipts, TABLES["receipts"]), "line_items": add_missing_columns(rows, TABLES["line_items"]), "validation_results": add_missing_columns(checks, TABLES["validation_results"])}
 
 
-def ingest(spark: SparkSession, inbox: str, root: str, checkpoint: str) -> StreamingQuery:
-    """Takes in what is new below ``inbox`` and stops.
+def save_batch(store: Store, batch: DataFrame, number: int, stream: str = "receipts") -> int | None:
+    """Commits the tables of one micro-batch, unless the store holds that number of the stream already. Returns the version.
 
-    A batch is written to a folder of its own number, so one that is run again after a
-    failure replaces what it wrote before.
+    The store's manifest carries the number, so the rows and the note that they are in become visible in one step: a
+    batch that is run again after a failure either finds itself committed or finds nothing of itself.
     """
+    tx = store.begin()
+    if tx.base.batches.get(stream, -1) >= number:
+        return None
+    tables = tables_of(batch)
+    try:
+        tx.save_receipts(tables["receipts"], tables["line_items"], tables["validation_results"])
+        return tx.commit((stream, number))
+    finally:
+        tx.close()
 
-    def store(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        for name, rows in tables_of(batch).items():
-            rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
-        batch.unpersist()
 
-    return receipt_stream(spark, inbox).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest(spark: SparkSession, inbox: str, store: Store, checkpoint: str, stream: str = "receipts", files_per_batch: int | None = None) -> StreamingQuery:
+    """Takes what is new below ``inbox`` into the store and stops."""
+    source = receipt_stream(spark, inbox, files_per_batch)
+    return source.writeStream.foreachBatch(lambda batch, number: save_batch(store, batch, number, stream)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def daily_spend(points: DataFrame, delay: str = "2 days") -> DataFrame:
