@@ -79,17 +79,6 @@ def test_attribute_verdicts(spark):
     assert [x[0] for x in df.select(v).collect()] == [r[6] for r in rows]
 
 
-def test_candidates_blocks_equal_the_plain_form(spark):
-    rng = np.random.default_rng(3)
-    v = rng.normal(size=(60, 8))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
-    q, c = e.filter("id < 20").withColumnRenamed("id", "query_id"), e.filter("id >= 20").withColumnRenamed("id", "product_id")
-    a = matching.candidates(q, c, 5, 0.2, block_rows=7).select("query_id", "product_id", "rank")
-    b = matching.exact_candidates(q, c, 5, 0.2).select("query_id", "product_id", "rank")
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.count() > 20
-
-
 def test_resolve(spark):
     cat = spark.createDataFrame([("p1", "Acme", "milk", None, ["SHOP||MLK"]), ("p2", None, "oat milk", None, [])], "product_id string, brand string, product string, variant string, aliases array<string>")
     rows = [("k1", "shop", "MLK", None, None, None, True), ("k2", "shop", "??", None, None, None, False), ("k3", "x", "MILK", "acme", "Milk", None, False), ("k4", "x", "OTM", None, "oat drink", None, False), ("k5", "x", "SOAP", None, "soap", None, False)]

@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tillmark.functions.scalars import alias_key, dot, is_identified, strip
+from tillmark.functions.scalars import alias_key, is_identified, strip
+from tillmark.operators import nearest
 
 TOP_K, FLOOR = 5, 0.60
 SAME, DIFFERENT, UNSURE = "same", "different", "unsure"
@@ -34,43 +33,12 @@ def compare_attributes(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 
 def candidates(queries: DataFrame, catalog: DataFrame, top_k: int = TOP_K, floor: float = FLOOR, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``query_id, product_id, similarity, rank``: the ``top_k`` nearest of the catalog for each query, not below ``floor``.
-
-    Vectors are unit length (``queries(query_id, embedding)``, ``catalog(product_id, embedding)``). Both
-    sides are dealt into blocks; each pair of blocks is one matrix product whose best ``top_k``
-    go on, so what is shuffled is ``top_k`` rows a query and catalog block, not all pairs.
-    """
-    n = max(1, -(-catalog.count() // block_rows))
-    m = max(1, -(-queries.count() // block_rows))
-    q = queries.select("query_id", F.col("embedding").alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int").alias("qb")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    c = catalog.filter(F.col("embedding").isNotNull()).select("product_id", F.col("embedding").alias("vector"), F.pmod(F.xxhash64("product_id"), F.lit(n)).cast("int").alias("cb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    qt, ct = dict(queries.dtypes)["query_id"], dict(catalog.dtypes)["product_id"]
-
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "product_id": [], "similarity": []})
-        right = right.sort_values("product_id", kind="stable")
-        a, b = np.stack(left["vector"].to_numpy()).astype(np.float64), np.stack(right["vector"].to_numpy()).astype(np.float64)
-        s = a @ b.T
-        k = min(top_k, s.shape[1])
-        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        got = np.take_along_axis(s, best, 1)
-        keep = got >= floor
-        return pd.DataFrame({"query_id": np.repeat(left["query_id"].to_numpy(), k)[keep.ravel()], "product_id": right["product_id"].to_numpy()[best.ravel()][keep.ravel()], "similarity": got.ravel()[keep.ravel()]})
-
-    found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(block, f"query_id {qt}, product_id {ct}, similarity double")
+    """``query_id, product_id, similarity, rank``: the ``top_k`` nearest of the catalog for each query, not below ``floor``, exactly (see ``nearest``)."""
+    found = nearest.nearest(queries, catalog, top_k, floor, block_rows).found
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "product_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= top_k)
 
 
-def exact_candidates(queries: DataFrame, catalog: DataFrame, top_k: int = TOP_K, floor: float = FLOOR) -> DataFrame:
-    """The same by column expressions, for a catalog that is known to be small."""
-    c = catalog.select("product_id", F.col("embedding").alias("_other"))
-    pairs = queries.select("query_id", "embedding").join(F.broadcast(c), F.lit(True)).select("query_id", "product_id", dot(F.col("embedding"), F.col("_other")).alias("similarity")).filter(F.col("similarity") >= floor)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "product_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= top_k)
-
-
 def new_product_id(brand: Column, variant: Column, product: Column) -> Column:
     """Eight hex digits that depend on what is compared, so a rerun gives the same."""
     return F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(norm(x), F.lit("")) for x in (brand, variant, product))), 256), 1, 8)

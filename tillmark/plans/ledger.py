@@ -9,7 +9,8 @@ from tillmark.operators import analysis, matching, pages, storage, validation
 from tillmark.plans import catalogue
 from tillmark.plans.catalogue import CHARGED, POINTS, PRINTED, V, _checks, _decisions, _catalog, _parsed, _points, query
 from tillmark.sources import schemas
-from tillmark.sources.store import Store, shared_folder
+from tillmark.sources.shared import shared_folder
+from tillmark.sources.store import Store
 
 REGISTERED = (catalogue._QUERIES, catalogue._SQL)
 

@@ -17,7 +17,6 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
-from tempfile import mkdtemp
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -287,11 +286,3 @@ class Transaction:
         for at in self._staged:
             self.store._fs.delete(self.store._path(at), True)
         self._staged = []
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in ``spark.checkpoint.dir``; without that only where all runs in one process."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
-    return f"{(found or 'file://' + mkdtemp(prefix='tillmark-')).rstrip('/')}/tillmark-{name}-{uuid.uuid4().hex}"
