@@ -60,7 +60,7 @@ def _stack(column: pd.Series) -> np.ndarray:
 
 
 def _place(rows: DataFrame, pivots, kind: str, rings: int) -> DataFrame:  # noqa: ANN001
-    """``id, vector, cell, ring, angle, off`` (how far the length is from one)."""
+    """``id, vector, at, cell, ring, angle, off`` (how far the length is from one)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -71,7 +71,7 @@ def _place(rows: DataFrame, pivots, kind: str, rings: int) -> DataFrame:  # noqa
                 angle = angles[np.arange(len(v)), cell]
                 yield part.assign(cell=cell.astype(np.int32), ring=np.minimum((angle / np.pi * rings).astype(np.int32), rings - 1), angle=angle, off=np.abs(np.linalg.norm(v, axis=1) - 1))
 
-    return rows.mapInPandas(run, f"id {kind}, vector array<float>, cell int, ring int, angle double, off double")
+    return rows.mapInPandas(run, f"id {kind}, vector array<float>, at long, cell int, ring int, angle double, off double")
 
 
 def _cut(placed: DataFrame, block_rows: int) -> tuple[list[tuple], int]:
@@ -96,11 +96,12 @@ def _compare(top_k: int, floor: float):  # noqa: ANN202
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("id", kind="stable")
         asks, ids = left["query_id"].to_numpy(), right["id"].to_numpy()
+        until, since = left["at"].to_numpy(), right["at"].to_numpy()
         who, what, how = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float64)]
         k = min(top_k, len(right))
         a, b = (_stack(x["vector"]) if len(left) and k else np.empty((0, 0)) for x in (left, right))
         for q in range(0, len(a), 256):
-            rough = a[q : q + 256] @ b.T
+            rough = np.where(since[None, :] < until[q : q + 256, None], a[q : q + 256] @ b.T, -np.inf)
             least = np.maximum(np.partition(rough, -k, axis=1)[:, -k], floor) - SLACK
             for i, row in enumerate(rough):
                 # A product of matrices may sum in any order; what may be among the best is summed in one order only.
@@ -116,17 +117,18 @@ def _compare(top_k: int, floor: float):  # noqa: ANN202
     return run
 
 
-def nearest(queries: DataFrame, catalog: DataFrame, top_k: int = 5, floor: float = 0.6, block_rows: int = 4096, pivots: int = PIVOTS, rings: int = RINGS) -> Nearest:
+def nearest(queries: DataFrame, catalog: DataFrame, top_k: int = 5, floor: float = 0.6, block_rows: int = 4096, pivots: int = PIVOTS, rings: int = RINGS, ordered: bool = False) -> Nearest:
     """For each of ``queries(query_id, embedding)`` what may be among its ``top_k`` best of ``catalog(product_id, embedding)``, its ``top_k`` best at least.
 
+    With ``ordered`` both have a column ``at`` (long), and a query finds only what has a smaller one.
     Vectors should have length one; if one is off by more than 0.001, all pairs of blocks are compared. Null vectors
     find nothing and are not found; ids are unique on each side. What a task holds grows with ``block_rows`` only, what
     the driver holds with ``pivots * rings``.
     """
     spark = queries.sparkSession
     qt, ct = dict(queries.dtypes)["query_id"], dict(catalog.dtypes)["product_id"]
-    q = queries.filter(F.col("embedding").isNotNull()).select(F.col("query_id").alias("id"), F.col("embedding").cast("array<float>").alias("vector"))
-    c = catalog.filter(F.col("embedding").isNotNull()).select(F.col("product_id").alias("id"), F.col("embedding").cast("array<float>").alias("vector"))
+    q = queries.filter(F.col("embedding").isNotNull()).select(F.col("query_id").alias("id"), F.col("embedding").cast("array<float>").alias("vector"), (F.col("at") if ordered else F.lit(1)).cast("long").alias("at"))
+    c = catalog.filter(F.col("embedding").isNotNull()).select(F.col("product_id").alias("id"), F.col("embedding").cast("array<float>").alias("vector"), (F.col("at") if ordered else F.lit(0)).cast("long").alias("at"))
     n = c.count()
     schema = f"query_id {qt}, product_id {ct}, similarity double"
     if not n:
@@ -141,14 +143,14 @@ def nearest(queries: DataFrame, catalog: DataFrame, top_k: int = 5, floor: float
     c_rings, blocks = _cut(placed_c, block_rows)
     q_rings, chunks = _cut(placed_q, block_rows)
     off = placed_c.select("off").unionByName(placed_q.select("off")).agg(F.max("off")).head()[0] or 0.0
-    c_rows = _numbered(placed_c, c_rings, "block").select("id", "vector", "block")
+    c_rows = _numbered(placed_c, c_rings, "block").select("id", "vector", "at", "block")
     q_rows = _numbered(placed_q, q_rings, "chunk")
 
     def meet(visits: DataFrame, floor_: float) -> DataFrame:
-        left = visits.join(q_rows.select(F.col("id").alias("query_id"), "vector"), "query_id")
-        pairs = visits.select(F.col("chunk").alias("to"), F.col("block").alias("at")).distinct()
-        right = pairs.join(c_rows.withColumnRenamed("block", "at"), "at")
-        return left.groupBy("chunk", "block").cogroup(right.groupBy("to", "at")).applyInPandas(_compare(top_k, floor_), schema)
+        left = visits.join(q_rows.select(F.col("id").alias("query_id"), "vector", "at"), "query_id")
+        pairs = visits.select(F.col("chunk").alias("for_chunk"), F.col("block").alias("of_block")).distinct()
+        right = pairs.join(c_rows.withColumnRenamed("block", "of_block"), "of_block")
+        return left.groupBy("chunk", "block").cogroup(right.groupBy("for_chunk", "of_block")).applyInPandas(_compare(top_k, floor_), schema)
 
     prune = blocks > 1 and off <= OFF
     if prune:
