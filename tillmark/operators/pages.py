@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tillmark.operators.ranks import place_in_groups
+
 #: Dollars for a million tokens in and out; thinking counts as out.
 PRICE_IN, PRICE_OUT = 0.75, 3.75
 
@@ -145,9 +147,11 @@ ORDERS = {
 }
 
 
-def ranked(df: DataFrame, page: str, by: list[str], then: list[str]) -> DataFrame:
-    """``df`` with the place (``rank``) that each row has on its page: one page for each ``by``, ties by ``then``."""
+def ranked(df: DataFrame, page: str, by: list[str], then: list[str], large: bool = False) -> DataFrame:
+    """``df`` with the place (``rank``) that each row has on its page: one page for each ``by``, ties by ``then``; ``large`` pages are spread over all tasks."""
     keys = [F.desc_nulls_last(c[1:]) if c[0] == "-" else F.asc_nulls_first(c) for c in (*ORDERS[page], *then)]
+    if large:
+        return place_in_groups(df, by, keys)
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*keys)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillmark.functions import scalars, units
-from tillmark.operators import analysis, matching, pages, storage, validation
+from tillmark.operators import analysis, matching, pages, resolution, storage, validation
 from tillmark.plans import catalogue
 from tillmark.plans.catalogue import CHARGED, POINTS, PRINTED, V, _checks, _decisions, _catalog, _parsed, _points, query
 from tillmark.sources import schemas
@@ -23,7 +23,7 @@ def _rank(order: str) -> str:
 def points_order(m):
     """ST-1: price points as a history lists them."""
     p = _points(m).withColumn("k", F.expr("row_number() over (partition by shopper_id, product_id order by ord)"))
-    return pages.ranked(p, "points", ["shopper_id"], ["k"]).select("shopper_id", "product_id", "receipt_id", "price", "rank")
+    return pages.ranked(p, "points", ["shopper_id"], ["k"], large=True).select("shopper_id", "product_id", "receipt_id", "price", "rank")
 
 
 @query(V + POINTS + " select * from (select shopper_id, product_id, times_bought, name, " + _rank("times_bought desc, name, product_id") + " from changed) where rank <= 20")
@@ -42,7 +42,7 @@ def categories_order(m):
 @query(V + " select shopper_id, receipt_id, purchase_date as date, " + _rank("purchase_date nulls first, receipt_id") + " from receipts")
 def visits_order(m):
     """ST-4: visits from the first on."""
-    return pages.ranked(analysis.spend_over_time(m.receipts, m.line_items), "visits", ["shopper_id"], []).select("shopper_id", "receipt_id", "date", "rank")
+    return pages.ranked(analysis.spend_over_time(m.receipts, m.line_items), "visits", ["shopper_id"], [], large=True).select("shopper_id", "receipt_id", "date", "rank")
 
 
 @query(V + POINTS + " select shopper_id, product_id, gap, " + _rank("gap desc nulls last, product_id") + " from (select shopper_id, product_id, round_even((dearest_price - cheapest_price) / cheapest_price * 1e8, 0) as gap from compared)")
@@ -55,14 +55,14 @@ def stores_order(m):
 @query(V + " select shopper_id, receipt_id, purchase_date, " + _rank("purchase_date desc nulls last, receipt_id desc") + " from receipts")
 def receipts_order(m):
     """ST-6: the latest receipts first."""
-    return pages.ranked(m.receipts, "receipts", ["shopper_id"], []).select("shopper_id", "receipt_id", "purchase_date", "rank")
+    return pages.ranked(m.receipts, "receipts", ["shopper_id"], [], large=True).select("shopper_id", "receipt_id", "purchase_date", "rank")
 
 
 @query(V + " select shopper_id, receipt_id, line_number, product_id, price_per_display, " + _rank("price_per_display desc nulls last, receipt_id, line_number, product_id") + " from line_items join receipts using (receipt_id) where price_per_display is not null and product_id is not null")
 def prices_order(m):
     """ST-7: priced lines, dearest first."""
     p = pages.dashboard_prices(m.line_items, m.receipts, m.products)
-    return pages.ranked(p, "prices", ["shopper_id"], ["receipt_id", "line_number", "product_id"]).select("shopper_id", "receipt_id", "line_number", "product_id", "price_per_display", "rank")
+    return pages.ranked(p, "prices", ["shopper_id"], ["receipt_id", "line_number", "product_id"], large=True).select("shopper_id", "receipt_id", "line_number", "product_id", "price_per_display", "rank")
 
 
 @query(V + " select receipt_id, line_number, raw_description, quantity, cast(row_number() over (partition by receipt_id order by line_number nulls first, raw_description, quantity) as int) as rank from line_items")
@@ -74,7 +74,7 @@ def lines_order(m):
 @query(V + " select shopper_id, receipt_id, " + _rank("receipt_id desc") + " from receipts")
 def quality_order(m):
     """ST-9: receipts of the quality page, the newest first."""
-    return pages.ranked(m.receipts, "quality", ["shopper_id"], []).select("shopper_id", "receipt_id", "rank")
+    return pages.ranked(m.receipts, "quality", ["shopper_id"], [], large=True).select("shopper_id", "receipt_id", "rank")
 
 
 @query(V + " select receipt_id, source_file, total_cents from receipts where shopper_id = 3")
@@ -327,3 +327,17 @@ def parse_tallies(m):
     all_ = m.aliases.select("store", "raw_description", parsed.alias("parsed"), k)
     items = m.aliases.select("store", "raw_description").unionByName(m.aliases.select("store", "raw_description"))
     return pages.parse_tallies(items, all_.filter(k % 3 == 0).select("store", "raw_description", "parsed"), all_.drop("product_id"))
+
+
+@query(None)
+def batch_resolution(m):
+    """ER-6, AG-28: a catalog built from nothing, every product's string meeting what those before it made of it. No SQL: each decision hangs on all earlier ones; held against a loop in the tests."""
+    e = m.spark.read.parquet(f"{m.dir}/embeddings.parquet").select(F.col("vec_id").alias("v"), "embedding")
+    n = e.agg(F.max("v")).head()[0] + 1
+    k = F.col("p_partkey")
+    parts = m.spark.read.parquet(f"{m.dir}/part.parquet").select(
+        k.alias("key"), F.concat(F.lit("store "), (k % 7).cast("string")).alias("store"), F.concat(F.lit("ITEM "), F.when(k % 10 == 0, k - k % 70).otherwise(k).cast("string")).alias("raw_description"),
+        F.when(k % 3 != 0, F.col("p_brand")).alias("brand"), F.when(k % 11 != 0, F.col("p_name")).alias("product"), F.when(k % 2 == 0, F.col("p_type")).alias("variant"), F.lit(False).alias("needs_review"), (k % n).alias("v"),
+    )
+    empty = m.spark.createDataFrame([], "product_id string, brand string, product string, variant string, aliases array<string>, embedding array<float>")
+    return resolution.resolve_in_order(parts.join(e, "v", "left").drop("v"), empty)[0]
