@@ -26,7 +26,7 @@ def with_clashes(df):
     """``df`` with columns named like those that operators make."""
     from pyspark.sql import functions as F
 
-    names = ("score", "spans", "items", "n_words", "n_hit", "fp", "id", "key", "shard", "part", "size", "component_id", "n_removed", "bin", "host", "found")
+    names = ("score", "spans", "items", "n_words", "n_hit", "fp", "id", "key", "shard", "part", "size", "component_id", "n_removed", "bin", "host", "found", "kept_id", "kept_d", "digest", "tillmark_digest", "root", "node", "grp", "sub")
     return df.select("*", *(F.lit("theirs").alias(c) for c in names))
 
 

@@ -72,6 +72,61 @@ def test_bins_hold_all_pieces_apart(seed):
     assert sum(lengths) / sum(sizes) > 0.93
 
 
+def plain_pack(lengths, caps, overhead):
+    """The same rules by looking at every open bin: least room that suffices, the bin that got it last among equals; a new bin by least cost for what can still be filled."""
+    caps, left, bins, where = sorted(caps), list(lengths), [], [None] * len(lengths)
+
+    def filled(space, first):
+        pool, got = sorted(left, reverse=True), 0
+        pool.remove(first)
+        for n in sorted(set(pool), reverse=True):
+            take = min(pool.count(n), space // n)
+            got, space = got + take * n, space - take * n
+        return got
+
+    clock = 0
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        n, clock = lengths[i], clock + 1
+        fit = [b for b in bins if b["room"] >= n]
+        if fit:
+            b = min(fit, key=lambda b: (b["room"], -b["since"]))
+        else:
+            cap = min((c for c in caps if c >= n), key=lambda c: ((c + overhead) / (n + filled(c - n, n)), c))
+            b = {"number": len(bins), "room": cap, "used": 0, "since": 0}
+            bins.append(b)
+        where[i] = (b["number"], b["used"])
+        b.update(room=b["room"] - n, used=b["used"] + n, since=clock)
+        left.remove(n)
+    return [w[0] for w in where], [w[1] for w in where], [min(c for c in caps if c >= b["used"]) for b in bins]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_same_bins_as_the_plain_form(seed):
+    rng = random.Random(seed)
+    caps = rng.choice([(16, 40, 100), (100,), (7, 20, 50, 90)])
+    most = rng.choice([max(caps), max(caps) // 3, 12])
+    lengths = [rng.randint(1, min(most, max(caps))) for _ in range(rng.randint(1, 150))]
+    overhead = rng.choice([0, 2, 64])
+    assert packing.pack_lengths(lengths, caps, overhead) == plain_pack(lengths, caps, overhead)
+
+
+@pytest.mark.parametrize("same", [None, 5])
+def test_one_id_is_spread_over_groups(spark, same):
+    rows = [(same, "x" * (k % 50), None, None, None) for k in range(900)] + [(1000 + k, "y" * 30, None, None, None) for k in range(100)]
+    got = packing.pack(cases.documents(spark, rows).repartition(6), F.octet_length("text"), capacities=(64, 128), group_rows=50).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == sorted((str(r[0]), len(r[1])) for r in rows)
+    per_group, held = {}, {}
+    for r in got:
+        if r["bin"]:
+            g = r["bin"].rsplit("-", 1)[0]
+            per_group[g] = per_group.get(g, 0) + 1
+            held.setdefault(r["bin"], []).append((r["bin_offset"], r["n_tokens"], r["capacity"]))
+    assert max(per_group.values()) < 300 and len(per_group) > 15
+    for pieces in held.values():
+        pieces.sort()
+        assert [o for o, _, _ in pieces] == [sum(n for _, n, _ in pieces[:k]) for k in range(len(pieces))] and sum(n for _, n, _ in pieces) <= pieces[0][2]
+
+
 def test_downsizing_and_cost():
     assert packing.pack_lengths([10], (16, 40, 100), 2) == ([0], [0], [16])
     assert packing.pack_lengths([], (16,), 2) == ([], [], [])

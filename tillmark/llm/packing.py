@@ -1,9 +1,10 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 Texts longer than the largest length are cut into full pieces and a tail. Rows
-are dealt by id to packing groups of about ``group_rows`` rows, so the packing
-of a group needs bounded memory and groups run apart; each group is packed by
-best fit, longest pieces first, with bins of several sizes opened by least cost.
+are dealt by id to packing groups of about ``group_rows`` rows, and those of a
+group that repeated ids make too large by row, so the packing of a group needs
+bounded memory and groups run apart; each group is packed by best fit, longest
+pieces first, with bins of several sizes opened by least cost.
 """
 
 from __future__ import annotations
@@ -40,21 +41,12 @@ def pack_lengths(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, o
 
     def fill(space: int, first: int) -> int:
         """Positions that the longest fitting pieces that are left would fill, each length as often as it is left."""
-        filled, seen = 0, {first: 1}
+        filled, n = 0, space + 1
         while space > 0:
-            n = (present & ((1 << (space + 1)) - 1)).bit_length() - 1
+            n = (present & ((1 << min(n, space + 1)) - 1)).bit_length() - 1
             if n <= 0:
                 break
-            can = left[n] - seen.get(n, 0)
-            if can <= 0:
-                m = (present & ((1 << n) - 1)).bit_length() - 1
-                if m <= 0:
-                    break
-                n, can = m, left[m] - seen.get(m, 0)
-            take = min(can, space // n)
-            if take <= 0:
-                break
-            seen[n] = seen.get(n, 0) + take
+            take = min(left[n] - (n == first), space // n)
             filled, space = filled + take * n, space - take * n
         return filled
 
@@ -86,17 +78,21 @@ def pack(df: DataFrame, length: Column, id_col: str = "doc_id", capacities: tupl
     """Pieces of each row's ``length`` tokens and where they stand.
 
     Returns ``id_col, piece, start, n_tokens, bin, capacity, bin_offset``; ``bin`` is
-    ``group-number``. A null or negative length counts as 0 and gives one piece of 0
-    tokens in no bin (``bin`` null); repeated ids are rows of their own; an empty
-    table gives no rows. No piece is dropped and none cut except at the largest size.
+    ``group-number`` (``group.part-number`` in a group dealt again). A null or negative
+    length counts as 0 and gives one piece of 0 tokens in no bin (``bin`` null); null and
+    repeated ids are rows of their own, however many; a very long text is as many pieces as
+    it takes; other columns are left out, whatever their names; an empty table gives no
+    rows. No piece is dropped and none cut except at the largest size.
     """
     most = max(capacities)
     base = df.select(F.col(id_col).alias("id"), F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("n"))
     groups = max(1, -(-base.count() // group_rows))
-    pieces = base.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("long")).selectExpr(
-        "id", "n", "grp", f"explode(sequence(0L, greatest(0L, (n - 1) div {most}))) as piece"
-    )
-    pieces = pieces.selectExpr("id", "grp", "piece", f"piece * {most} as start", f"least(n - piece * {most}, {most}) as n_tokens")
+    dealt = base.withColumn("grp", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("long"))
+    # One id may have a third of all rows. There is a row for each group above four times the usual size, so one in so many rows at most.
+    over = dealt.groupBy("grp").count().filter(F.col("count") > 4 * group_rows).select("grp", F.ceil(F.col("count") / group_rows).alias("parts"))
+    dealt = dealt.join(F.broadcast(over), "grp", "left").withColumn("sub", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("parts")), F.lit(0)).cast("long"))
+    pieces = dealt.selectExpr("id", "n", "grp", "sub", f"explode(sequence(0L, greatest(0L, (n - 1) div {most}))) as piece")
+    pieces = pieces.selectExpr("id", "grp", "sub", "piece", f"piece * {most} as start", f"least(n - piece * {most}, {most}) as n_tokens")
 
     def run(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(frames)).sort_values(["id", "piece"], kind="stable", na_position="first").reset_index(drop=True)
@@ -104,7 +100,8 @@ def pack(df: DataFrame, length: Column, id_col: str = "doc_id", capacities: tupl
         bins, offsets, sizes = pack_lengths([int(x) for x in pdf.loc[some, "n_tokens"]], capacities, overhead)
         out = pdf[["id", "piece", "start", "n_tokens"]].copy()
         out["bin"], out["capacity"], out["bin_offset"] = None, None, None
-        out.loc[some, "bin"] = [f"{key[0]}-{b}" for b in bins]
+        name = f"{key[0]}.{key[1]}" if key[1] else f"{key[0]}"
+        out.loc[some, "bin"] = [f"{name}-{b}" for b in bins]
         out["capacity"] = out["capacity"].astype("Int64")
         out["bin_offset"] = out["bin_offset"].astype("Int64")
         out.loc[some, "capacity"] = [sizes[b] for b in bins]
@@ -115,5 +112,5 @@ def pack(df: DataFrame, length: Column, id_col: str = "doc_id", capacities: tupl
         return next(run(key, iter([pdf])))
 
     id_type = dict(base.dtypes)["id"]
-    done = pieces.groupBy("grp").applyInPandas(whole, f"id {id_type}, piece long, start long, n_tokens long, bin string, capacity long, bin_offset long")
+    done = pieces.groupBy("grp", "sub").applyInPandas(whole, f"id {id_type}, piece long, start long, n_tokens long, bin string, capacity long, bin_offset long")
     return done.withColumnRenamed("id", id_col)
