@@ -189,3 +189,11 @@ def test_passages_cut(spark, block):
     assert out.columns == df.columns
     by = {r["doc_id"]: r for r in out.collect()}
     assert by[8]["text"] == " again" and by[8]["n_chars"] == 6 and by[12]["text"] == "" and by[5]["text"] == cases.LONG and by[0]["text"] is None
+
+
+@pytest.mark.parametrize("length", [0, 19, 256, 1000])
+def test_lengths_that_cannot_be_carried_are_refused(spark, length):
+    from tillmark.llm import suffix_dedup
+
+    with pytest.raises(ValueError, match="length is"):
+        suffix_dedup.remove_repeats(cases.documents(spark), length=length)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.llm.common import arrow_map, free_shuffles, written
-from tillmark.llm.induced_sort import new_map, suffix_order
+from tillmark.llm.induced_sort import CAP, new_map, suffix_order
 
 LENGTH = 50
 GRAM = 20
@@ -397,8 +397,10 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, clean: bool = False, sha
     null id counts as smaller than any other; rows with equal ids are not smaller than each
     other; of equal texts the one with the smallest id stays whole; texts of any length are
     sorted in pieces; other columns are left alone, whatever their names; an empty table gives no
-    rows. ``doc_id`` is an integer.
+    rows. ``doc_id`` is an integer. ``length`` is 20 to 255, else this raises ``ValueError``.
     """
+    if not GRAM <= length <= CAP:
+        raise ValueError(f"length is {length}: common prefixes are carried from {GRAM} to {CAP} bytes")
     base = df if clean else df.select("doc_id", "text")
     shards, _ = written(_pack(base, shard_bytes), "shards")
     # a row for each shard that has a text, however often; back goes its place in the shard's list
