@@ -2,8 +2,11 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from tests.llm import cases
+from tillmark.llm import simhash_gray
 
 
 def store(spark, path, documents, labels, benchmark):
@@ -72,3 +75,16 @@ def test_odd_rows_and_empty_tables(spark, tmp_path):
 def test_run_is_the_stages(spark, tmp_path):
     sf = store(spark, tmp_path, cases.corpus(60), [(k, 1, 0) for k in range(60)], [(1, cases.PASSAGE)])
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, through(spark, sf)["best_fit_packing"]))
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_clashing_names_are_kept_by_the_near_copy_stage(spark, twice):
+    rows = cases.corpus(30)
+    if twice:
+        rows = [*rows, (3, "another text with the id of the third one", "en", "s", 40)]
+    df = cases.with_clashes(cases.documents(spark, rows))
+    got = simhash_gray.keep_one(df)
+    assert got.columns == df.columns
+    plain = simhash_gray.keep_one(cases.documents(spark, rows))
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted((r["doc_id"], r["text"]) for r in plain.collect())
+    assert {r["kept_id"] for r in got.collect()} == {r["tillmark_digest"] for r in got.collect()} == {"theirs"}

@@ -145,6 +145,12 @@ def join_heavy(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataF
     return rows.join(heavy, key).unionByName(light)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_1``, ``name_2``, ... that is no column of ``df``, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for k in range(len(taken) + 1) if (n := f"{name}_{k}" if k else name).lower() not in taken)
+
+
 def lower_ascii(c: Column) -> Column:
     """``c`` with A-Z lower-cased and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

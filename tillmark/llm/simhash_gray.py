@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillmark.llm import fingerprints
-from tillmark.llm.common import arrow_map, by_group, components, drop_path, free_shuffles, join_heavy, map_arrow, raw_texts, written
+from tillmark.llm.common import arrow_map, by_group, components, drop_path, free_name, free_shuffles, join_heavy, map_arrow, raw_texts, written
 
 SEED = 42
 RADIUS = 3
@@ -318,7 +318,7 @@ def _checked_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 #: Weight (shingles, and ``SET_WEIGHT`` for each set) of the part of a candidate component that is compared with another at once.
-PART_WEIGHT, SET_WEIGHT = 2_000_000, 200
+PART_WEIGHT, SET_WEIGHT = 250_000, 200
 
 
 def exact_links(sets: list[bytes]) -> tuple[list[int], list[int]]:
@@ -424,19 +424,20 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     # ids meet first for each node, then for each group of nodes: no task gets all rows of a group
     lowest = lambda df, key: df.groupBy(key).agg(F.min("low").alias("low"))
     first = lowest(rows.select("node", F.struct(F.col("id").isNotNull().alias("some"), "id").alias("low")), "node")
-    kept = lowest(first.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")), "root").select(F.col("low.id").alias("kept_id"))
+    kept_id, kept_d, of_row = (free_name(df, c) for c in ("kept_id", "kept_d", "digest"))
+    kept = lowest(first.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")), "root").select(F.col("low.id").alias(kept_id))
     twice = rows.groupBy("id").count().filter("count > 1").head(1)
     if not twice:
-        return df.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+        return df.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
     # ids are not unique: rows are told apart by their text, and of equal ones one stays
     digest = F.coalesce(F.sha2(text, 256), F.lit(""))
-    marked = df.withColumn("tillmark_digest", digest)
+    marked = df.withColumn(of_row, digest)
     of_text = map_arrow(
-        marked.select(F.col(id_col).alias("id"), F.col(text).alias("text"), "tillmark_digest"), lambda b: run(b) | {"d": b.column("tillmark_digest")}, f"id {id_type}, node long, leads array<long>, c0 long, c1 long, shingles binary, few array<long>, d string"
+        marked.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(of_row).alias("d")), lambda b: run(b) | {"d": b.column("d")}, f"id {id_type}, node long, leads array<long>, c0 long, c1 long, shingles binary, few array<long>, d string"
     ).select("id", "node", F.col("d"))
     best = of_text.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")).groupBy("root").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "d")).alias("low"))
-    best = best.select(F.col("low.id").alias("kept_id"), F.col("low.d").alias("kept_d"))
-    return marked.dropDuplicates([id_col, "tillmark_digest"]).join(best, F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.col("tillmark_digest") == F.col("kept_d")), "left_semi").drop("tillmark_digest")
+    best = best.select(F.col("low.id").alias(kept_id), F.col("low.d").alias(kept_d))
+    return marked.dropDuplicates([id_col, of_row]).join(best, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(of_row) == F.col(kept_d)), "left_semi").drop(of_row)
 
 
 def near_duplicates(df: DataFrame, words: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
