@@ -1,14 +1,16 @@
 """The nearest vectors of a catalog, exactly, without comparing all pairs where the vectors lie in clusters.
 
-Vectors are dealt to the cells of at most ``pivots`` sampled vectors, and in a cell to rings by the angle to its pivot;
-a ring of over ``block_rows`` vectors is cut into blocks. Angles obey the triangle inequality: a query at angle ``t``
+Vectors are dealt to the cells of at most ``pivots`` sampled vectors, and a cell to rings by the angle to its pivot, of
+about ``block_rows`` vectors each; what is larger is cut into parts. A part is one row from then on, its vectors a
+matrix: a block of the catalog, or a chunk of the queries. Angles obey the triangle inequality: a query at angle ``t``
 from a pivot is at least ``t - hi`` and ``lo - t`` from anything in a ring that spans ``lo`` to ``hi``. A first pass
-compares each query with one block of its own ring, which gives a similarity that its ``top_k``-th best has at least; a
-second one visits only the rings that may hold something as near as that, and nothing below the floor. What a task
-holds is two blocks and their product; the driver holds the pivots and a row for each ring.
+compares each chunk with one block of its own cell, which gives for each query a similarity that its ``top_k``-th best
+has at least; then a chunk meets only the blocks that may hold something as near as that for one of its queries, and
+nothing below the floor. What a task holds is a chunk and a block; the driver holds the pivots and a row for each ring
+and chunk.
 
 Without clusters (random vectors of many dimensions are nearly at right angles to each other and to any pivot) the
-bounds exclude little, and the work is that of all pairs of blocks.
+bounds exclude little, and the work is that of all pairs of chunks and blocks.
 """
 
 from __future__ import annotations
@@ -23,19 +25,21 @@ from pyspark.sql import functions as F
 
 from tillmark.sources.shared import written
 
-PIVOTS, RINGS = 256, 16
+PIVOTS, BINS = 256, 64
 #: Sampled vectors for each pivot, of which those farthest from each other are taken.
 SAMPLED = 8
 #: What rounding may add to a similarity, and how far from length one a vector may be for bounds to be used.
 SLACK, OFF = 1e-6, 1e-3
+#: Bytes of a block or chunk, and pairs whose similarities are summed at once.
+BLOCK_BYTES, PAIRS = 4 << 20, 1 << 15
 
 
 @dataclass
 class Nearest:
-    """``found(query_id, product_id, similarity)``, ``top_k`` a query and block at most; ``visits(query_id, chunk, block)``; how many ``blocks`` and ``chunks`` (of queries) there are."""
+    """``found(query_id, product_id, similarity)``, ``top_k`` a query and block at most; ``pairs(chunk, block)`` that meet; how many ``blocks`` and ``chunks`` there are."""
 
     found: DataFrame
-    visits: DataFrame
+    pairs: DataFrame
     blocks: int
     chunks: int
 
@@ -59,8 +63,8 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _place(rows: DataFrame, pivots, kind: str, rings: int) -> DataFrame:  # noqa: ANN001
-    """``id, vector, at, cell, ring, angle, off`` (how far the length is from one)."""
+def _place(rows: DataFrame, pivots, kind: str) -> DataFrame:  # noqa: ANN001
+    """``id, vector, at, cell, bin, angle, off`` (how far the length is from one)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -69,115 +73,167 @@ def _place(rows: DataFrame, pivots, kind: str, rings: int) -> DataFrame:  # noqa
                 angles = _angles(v, pivots.value)
                 cell = np.argmin(angles, axis=1)
                 angle = angles[np.arange(len(v)), cell]
-                yield part.assign(cell=cell.astype(np.int32), ring=np.minimum((angle / np.pi * rings).astype(np.int32), rings - 1), angle=angle, off=np.abs(np.linalg.norm(v, axis=1) - 1))
-
-    return rows.mapInPandas(run, f"id {kind}, vector array<float>, at long, cell int, ring int, angle double, off double")
-
-
-def _cut(placed: DataFrame, block_rows: int) -> tuple[list[tuple], int]:
-    """Rings as ``(cell, ring, lo, hi, parts, first)``, numbered so that ``first`` is the number of their first part, and the number of parts."""
-    out, first = [], 0
-    for c, r, lo, hi, n in sorted(tuple(x) for x in placed.groupBy("cell", "ring").agg(F.min("angle"), F.max("angle"), F.count("*")).collect()):
-        parts = -(-n // block_rows)
-        out.append((c, r, lo, hi, parts, first))
-        first += parts
-    return out, first
-
-
-def _numbered(placed: DataFrame, rings: list[tuple], name: str) -> DataFrame:
-    """``placed`` with the number of its part of its ring, dealt by id."""
-    table = placed.sparkSession.createDataFrame([(c, r, p, f) for c, r, _, _, p, f in rings], "cell int, ring int, parts int, first int")
-    return placed.join(F.broadcast(table), ["cell", "ring"]).withColumn(name, F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-
-
-def _compare(top_k: int, floor: float):  # noqa: ANN202
-    """The ``top_k`` best of a block for each query of a chunk, equal similarities by id."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("id", kind="stable")
-        asks, ids = left["query_id"].to_numpy(), right["id"].to_numpy()
-        until, since = left["at"].to_numpy(), right["at"].to_numpy()
-        who, what, how = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float64)]
-        k = min(top_k, len(right))
-        a, b = (_stack(x["vector"]) if len(left) and k else np.empty((0, 0)) for x in (left, right))
-        for q in range(0, len(a), 256):
-            rough = np.where(since[None, :] < until[q : q + 256, None], a[q : q + 256] @ b.T, -np.inf)
-            least = np.maximum(np.partition(rough, -k, axis=1)[:, -k], floor) - SLACK
-            for i, row in enumerate(rough):
-                # A product of matrices may sum in any order; what may be among the best is summed in one order only.
-                near = np.flatnonzero(row >= least[i])
-                exact = (b[near] * a[q + i]).sum(axis=1)
-                best = np.argsort(-exact, kind="stable")[:k]
-                best = best[exact[best] >= floor]
-                who.append(np.full(len(best), q + i))
-                what.append(near[best])
-                how.append(exact[best])
-        return pd.DataFrame({"query_id": asks[np.concatenate(who)], "product_id": ids[np.concatenate(what)], "similarity": np.concatenate(how)})
-
-    return run
-
-
-def nearest(queries: DataFrame, catalog: DataFrame, top_k: int = 5, floor: float = 0.6, block_rows: int = 4096, pivots: int = PIVOTS, rings: int = RINGS, ordered: bool = False) -> Nearest:
+                yield part.assign(cell=cell.astype(np.int32), bin=np.minimum((angle / np.pi * BINS).astype(np.int32), BINS - 1), angle=angle, off=np.abs(np.linalg.norm(v, axis=1) - 1))
+
+    return rows.mapInPandas(run, f"id {kind}, vector array<float>, at long, cell int, bin int, angle double, off double")
+
+
+@dataclass
+class _Ring:
+    """Bins of a cell, the angles they span, and the numbers of their parts."""
+
+    cell: int
+    bins: list[int]
+    lo: float
+    hi: float
+    n: int
+    parts: int = 0
+    first: int = 0
+
+
+def _cut(placed: DataFrame, part_rows: int) -> tuple[list[_Ring], int]:
+    """Neighbouring bins of each cell joined to rings of about ``part_rows`` rows, and the number of parts of all."""
+    rings: list[_Ring] = []
+    for c, b, lo, hi, n in sorted(tuple(x) for x in placed.groupBy("cell", "bin").agg(F.min("angle"), F.max("angle"), F.count("*")).collect()):
+        last = rings[-1] if rings else None
+        if last and last.cell == c and last.n + n <= part_rows:
+            last.bins.append(b)
+            last.hi, last.n = hi, last.n + n
+        else:
+            rings.append(_Ring(c, [b], lo, hi, n))
+    number = 0
+    for r in rings:
+        r.parts, r.first = -(-r.n // part_rows), number
+        number += r.parts
+    return rings, number
+
+
+def _packed(placed: DataFrame, rings: list[_Ring], kind: str, name: str) -> DataFrame:
+    """One row for each part: ``name``, its ids in order, and its vectors and ``at`` as bytes."""
+    table = placed.sparkSession.createDataFrame([(r.cell, b, r.parts, r.first) for r in rings for b in r.bins], "cell int, bin int, parts int, first int")
+    dealt = placed.join(F.broadcast(table), ["cell", "bin"]).withColumn(name, F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+    def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id", kind="stable")
+        return pd.DataFrame({name: [key[0]], f"{name}_ids": [part["id"].tolist()], f"{name}_vectors": [np.stack(part["vector"].to_numpy()).astype(np.float32).tobytes()], f"{name}_at": [part["at"].to_numpy(np.int64).tobytes()]})
+
+    return dealt.select("id", "vector", "at", name).groupBy(name).applyInPandas(pack, f"{name} int, {name}_ids array<{kind}>, {name}_vectors binary, {name}_at binary")
+
+
+def _matrix(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32).reshape(n, -1).astype(np.float64)
+
+
+def best_of(a: np.ndarray, until: np.ndarray, least: np.ndarray, b: np.ndarray, since: np.ndarray, top_k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``a`` and ``b`` and their similarities: for each of ``a`` the ``top_k`` best of ``b`` that come before it, as near as ``least`` (if that is a number) and the floor; equal ones in order."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    k = min(top_k, len(b))
+    for q in range(0, len(a), 256):
+        rough = np.where(since[None, :] < until[q : q + 256, None], a[q : q + 256] @ b.T, -np.inf)
+        bound = np.maximum(np.nan_to_num(least[q : q + 256], nan=floor), floor)
+        fresh = np.isnan(least[q : q + 256])
+        near = bound.copy()
+        if fresh.any():
+            near[fresh] = np.maximum(np.partition(rough[fresh], -k, axis=1)[:, -k], floor)
+        i, j = np.nonzero(rough >= near[:, None] - SLACK)
+        # A product of matrices may sum in any order; what may be among the best is summed in one order only.
+        exact = np.concatenate([np.empty(0), *((a[q + i[p : p + PAIRS]] * b[j[p : p + PAIRS]]).sum(axis=1) for p in range(0, len(i), PAIRS))])
+        keep = exact >= bound[i]
+        i, j, exact = i[keep], j[keep], exact[keep]
+        order = np.lexsort((j, -exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((q + i[keep], j[keep], exact[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def nearest(queries: DataFrame, catalog: DataFrame, top_k: int = 5, floor: float = 0.6, block_rows: int = 4096, pivots: int = PIVOTS, ordered: bool = False) -> Nearest:
     """For each of ``queries(query_id, embedding)`` what may be among its ``top_k`` best of ``catalog(product_id, embedding)``, its ``top_k`` best at least.
 
     With ``ordered`` both have a column ``at`` (long), and a query finds only what has a smaller one.
-    Vectors should have length one; if one is off by more than 0.001, all pairs of blocks are compared. Null vectors
-    find nothing and are not found; ids are unique on each side. What a task holds grows with ``block_rows`` only, what
-    the driver holds with ``pivots * rings``.
+    Vectors should have length one; if one is off by more than 0.001, all chunks meet all blocks. Null vectors
+    find nothing and are not found; ids are unique on each side. What a task holds grows with ``block_rows`` only (and
+    is cut to blocks of ``BLOCK_BYTES``), what the driver holds with ``pivots`` and the number of blocks.
     """
     spark = queries.sparkSession
     qt, ct = dict(queries.dtypes)["query_id"], dict(catalog.dtypes)["product_id"]
-    q = queries.filter(F.col("embedding").isNotNull()).select(F.col("query_id").alias("id"), F.col("embedding").cast("array<float>").alias("vector"), (F.col("at") if ordered else F.lit(1)).cast("long").alias("at"))
-    c = catalog.filter(F.col("embedding").isNotNull()).select(F.col("product_id").alias("id"), F.col("embedding").cast("array<float>").alias("vector"), (F.col("at") if ordered else F.lit(0)).cast("long").alias("at"))
+    at = lambda other: (F.col("at") if ordered else F.lit(other)).cast("long").alias("at")
+    q = queries.filter(F.col("embedding").isNotNull()).select(F.col("query_id").alias("id"), F.col("embedding").cast("array<float>").alias("vector"), at(1))
+    c = catalog.filter(F.col("embedding").isNotNull()).select(F.col("product_id").alias("id"), F.col("embedding").cast("array<float>").alias("vector"), at(0))
     n = c.count()
     schema = f"query_id {qt}, product_id {ct}, similarity double"
     if not n:
-        return Nearest(spark.createDataFrame([], schema), spark.createDataFrame([], f"query_id {qt}, chunk int, block int"), 0, 0)
-    cells = min(pivots, -(-n // block_rows))
-    sample = [r[0] for r in c.orderBy(F.xxhash64("id"), "id").limit(cells * SAMPLED).select("vector").collect()]
+        return Nearest(spark.createDataFrame([], schema), spark.createDataFrame([], "chunk int, block int"), 0, 0)
+    sample = [r[0] for r in c.orderBy(F.xxhash64("id"), "id").limit(min(pivots, -(-n // block_rows)) * SAMPLED).select("vector").collect()]
     drawn = np.array(sample, np.float64)
+    block_rows = max(1, min(block_rows, BLOCK_BYTES // (4 * max(1, drawn.shape[1]))))
     norms = np.linalg.norm(drawn, axis=1, keepdims=True)
-    sent = spark.sparkContext.broadcast(_spread(drawn / np.where(norms > 0, norms, 1), cells))
+    sent = spark.sparkContext.broadcast(_spread(drawn / np.where(norms > 0, norms, 1), min(pivots, -(-n // block_rows))))
 
-    placed_c, placed_q = written(_place(c, sent, ct, rings), "vectors"), written(_place(q, sent, qt, rings), "vectors")
-    c_rings, blocks = _cut(placed_c, block_rows)
-    q_rings, chunks = _cut(placed_q, block_rows)
+    placed_c, placed_q = written(_place(c, sent, ct), "vectors"), written(_place(q, sent, qt), "vectors")
+    (rings, blocks), (asked, chunks) = _cut(placed_c, block_rows), _cut(placed_q, block_rows)
+    if not chunks:
+        return Nearest(spark.createDataFrame([], schema), spark.createDataFrame([], "chunk int, block int"), blocks, 0)
     off = placed_c.select("off").unionByName(placed_q.select("off")).agg(F.max("off")).head()[0] or 0.0
-    c_rows = _numbered(placed_c, c_rings, "block").select("id", "vector", "at", "block")
-    q_rows = _numbered(placed_q, q_rings, "chunk")
+    prune = blocks > 1 and off <= OFF
+    block_table = written(_packed(placed_c, rings, ct, "block"), "blocks")
+    chunk_rows = _packed(placed_q, asked, qt, "chunk")
 
-    def meet(visits: DataFrame, floor_: float) -> DataFrame:
-        left = visits.join(q_rows.select(F.col("id").alias("query_id"), "vector", "at"), "query_id")
-        pairs = visits.select(F.col("chunk").alias("for_chunk"), F.col("block").alias("of_block")).distinct()
-        right = pairs.join(c_rows.withColumnRenamed("block", "of_block"), "of_block")
-        return left.groupBy("chunk", "block").cogroup(right.groupBy("for_chunk", "of_block")).applyInPandas(_compare(top_k, floor_), schema)
+    of_cell: dict[int, list[_Ring]] = {}
+    for r in rings:
+        of_cell.setdefault(r.cell, []).append(r)
 
-    prune = blocks > 1 and off <= OFF
-    if prune:
-        home = spark.createDataFrame([(c_, r, f) for c_, r, _, _, _, f in c_rings], "cell int, ring int, block int")
-        own = q_rows.join(F.broadcast(home), ["cell", "ring"]).select(F.col("id").alias("query_id"), "chunk", "block")
-        # The worst of top_k found: there are so many that are no farther.
-        least = meet(own, floor).groupBy("query_id").agg(F.when(F.count("*") >= top_k, F.min("similarity")).alias("least"))
-        asked = q_rows.join(least.withColumnRenamed("query_id", "id"), "id", "left")
-    else:
-        asked = q_rows.withColumn("least", F.lit(None).cast("double"))
-    cell, lo, hi, parts, first = (np.array(x) for x in zip(*[(c_, a, b, p, f) for c_, _, a, b, p, f in c_rings], strict=True))
+    def home(r: _Ring) -> int | None:
+        """The first block of the ring of the same cell whose angles are nearest."""
+        mid = (r.lo + r.hi) / 2
+        return min(((max(0.0, x.lo - mid, mid - x.hi), x.first) for x in of_cell.get(r.cell, [])), default=(0, None))[1]
+
+    homes = [(r.first + p, home(r)) for r in asked for p in range(r.parts)] if prune else []
+    own = spark.createDataFrame(homes, "chunk int, block int")
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Chunks with what the ``top_k``-th best of each query has at least: the worst of so many that a block of their cell has."""
+        for part in batches:
+            least = []
+            for r in part.itertuples():
+                m = len(r.chunk_ids)
+                known = np.full(m, np.nan)
+                if r.block_vectors is not None and len(r.block_ids) >= top_k:
+                    i, _, exact = best_of(_matrix(r.chunk_vectors, m), np.frombuffer(r.chunk_at, np.int64), known, _matrix(r.block_vectors, len(r.block_ids)), np.frombuffer(r.block_at, np.int64), top_k, floor)
+                    full = np.flatnonzero(np.bincount(i, minlength=m) >= top_k)
+                    known[full] = exact[np.searchsorted(i, full, side="right") - 1]
+                least.append(known.tobytes())
+            yield part[["chunk", "chunk_ids", "chunk_vectors", "chunk_at"]].assign(least=least)
+
+    met = chunk_rows.join(own, "chunk", "left").join(block_table, "block", "left")
+    chunk_rows = written(met.mapInPandas(fill, f"chunk int, chunk_ids array<{qt}>, chunk_vectors binary, chunk_at binary, least binary"), "chunks")
+    cell, lo, hi, parts, first = (np.array(x) for x in zip(*[(r.cell, r.lo, r.hi, r.parts, r.first) for r in rings], strict=True))
+    ring_of = np.repeat(np.arange(len(rings)), parts)
+
+    def may_hold(v: np.ndarray, least: np.ndarray, these: np.ndarray) -> np.ndarray:
+        """Which of these rings may hold what each query looks for."""
+        if not prune:
+            return np.ones((len(v), len(these)), bool)
+        t = _angles(v, sent.value)[:, cell[these]]
+        bound = np.cos(np.maximum(0, np.maximum(t - hi[these], lo[these] - t)))
+        return bound >= np.maximum(np.nan_to_num(least, nan=floor), floor)[:, None] - SLACK
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            if not len(part):
-                continue
-            if prune:
-                t = _angles(_stack(part["vector"]), sent.value)[:, cell]
-                bound = np.cos(np.maximum(0, np.maximum(t - hi, lo - t)))
-                keep = bound >= np.maximum(part["least"].fillna(floor).to_numpy(np.float64), floor)[:, None] - SLACK
-            else:
-                keep = np.ones((len(part), len(cell)), bool)
-            who, ring = np.nonzero(keep)
-            n_parts = parts[ring]
-            at = np.arange(n_parts.sum()) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
-            who, ring = np.repeat(who, n_parts), np.repeat(ring, n_parts)
-            yield pd.DataFrame({"query_id": part["id"].to_numpy()[who], "chunk": part["chunk"].to_numpy()[who], "block": (first[ring] + at).astype(np.int32)})
-
-    visits = written(asked.select("id", "vector", "chunk", "least").mapInPandas(visit, f"query_id {qt}, chunk int, block int"), "visits")
-    return Nearest(meet(visits, floor), visits, blocks, chunks)
+            for r in part.itertuples():
+                keep = may_hold(_matrix(r.chunk_vectors, r.n), np.frombuffer(r.least), np.arange(len(rings))).any(axis=0)
+                found = np.flatnonzero(keep[ring_of]).astype(np.int32)
+                yield pd.DataFrame({"chunk": np.full(len(found), r.chunk, np.int32), "block": found})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for r in part.itertuples():
+                a, least = _matrix(r.chunk_vectors, len(r.chunk_ids)), np.frombuffer(r.least)
+                some = np.flatnonzero(may_hold(a, least, ring_of[r.block : r.block + 1])[:, 0])
+                i, j, exact = best_of(a[some], np.frombuffer(r.chunk_at, np.int64)[some], least[some], _matrix(r.block_vectors, len(r.block_ids)), np.frombuffer(r.block_at, np.int64), top_k, floor)
+                who, what = np.asarray(r.chunk_ids)[some], np.asarray(r.block_ids)
+                yield pd.DataFrame({"query_id": who[i], "product_id": what[j], "similarity": exact})
+
+    pairs = written(chunk_rows.select("chunk", "chunk_vectors", "least", F.size("chunk_ids").alias("n")).mapInPandas(visit, "chunk int, block int"), "pairs")
+    found = pairs.join(chunk_rows, "chunk").join(block_table, "block").mapInPandas(compare, schema)
+    return Nearest(found, pairs, blocks, chunks)
