@@ -189,6 +189,9 @@ def test_toxicity_of_odd_rows(spark):
 OWN = [set(licenses.bigrams_of(t)) for _, t in licenses.TEMPLATES]
 
 
+MARKS = set(licenses.deciding())
+
+
 def plain_licences(text):
     norm = " ".join(licenses.re.sub(r"[^a-z0-9\n]+", " ", (text or "").lower()).split(" "))
     found, best = set(), 0.0
@@ -199,7 +202,7 @@ def plain_licences(text):
         score = {}
         for k, (name, t) in enumerate(licenses.TEMPLATES):
             own = OWN[k]
-            if g:
+            if g and g >= set(licenses.needs_of(t)) and {x for x in g if x in MARKS} == {x for x in own if x in MARKS}:
                 score[k] = 2 * len(g & own) / (len(g) + len(own))
         top = max(score.values(), default=0)
         if top >= licenses.THRESHOLD:
@@ -421,3 +424,28 @@ def test_queries_give_the_contract_columns(spark):
         if (n := name.split("_")[0]) in need:
             assert set(need[n].split()) <= set(f(spark, sf).columns), name
     _ = F
+
+
+#: Notices as they stand in files: none is a template.
+NOTICES = [
+    ("/* Frobnitz is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or\n * (at your option) any later version. */", "gpl-2.0", "copyleft"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful", "gpl-2.0", "copyleft"),
+    ("# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License version 2 as\n# published by the Free Software Foundation.", "gpl-2.0", "copyleft"),
+    ("Frobnitz is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl-3.0", "copyleft"),
+    ("This file is part of libfrob. libfrob is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "lgpl-2.1", "weak copyleft"),
+    ("libfrob is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "lgpl-3.0", "weak copyleft"),
+    ("frobd is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "agpl-3.0", "copyleft"),
+    ("The photographs: this work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa-4.0", "weak copyleft"),
+    ("This article is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd-4.0", "no derivatives"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License!", "cc-by-nc-sa-3.0", "non-commercial"),
+    ("This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "cc-by-nc-nd-4.0", "no derivatives"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by-4.0", "permissive"),
+    ("All text here is licensed under CC BY-SA 3.0.", "cc-by-sa-3.0", "weak copyleft"),
+]
+
+
+def test_notices_that_are_no_templates(spark):
+    rows = [(k, t) for k, (t, _, _) in enumerate(NOTICES)] + [(100 + k, f"some words before it. {t}\nand some words after it.") for k, (t, _, _) in enumerate(NOTICES)]
+    got = {r["doc_id"]: (r["licenses"], r["class"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {base + k: (name, kind) for base in (0, 100) for k, (_, name, kind) in enumerate(NOTICES)}
+    assert all(t not in {x for _, x in licenses.TEMPLATES} for t, _, _ in NOTICES)

@@ -23,6 +23,33 @@ _MIT = 'Permission is hereby granted, free of charge, to any person obtaining a
 _ISC = 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.'
 _BSD = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.'
 _BSD_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+#: The GNU licences by id, with how their notices name them, the version, and the marks that their standard headers have.
+_GNU = (
+    ("gpl-2.0", "program", "General Public License", "2", ";", ";"),
+    ("gpl-3.0", "program", "General Public License", "3", ":", ","),
+    ("lgpl-2.0", "library", "Library General Public License", "2", ";", ";"),
+    ("lgpl-2.1", "library", "Lesser General Public License", "2.1", ";", ";"),
+    ("lgpl-3.0", "program", "Lesser General Public License", "3", ":", ","),
+    ("agpl-3.0", "program", "Affero General Public License", "3", ":", ","),
+)
+_GNU_NOTICES = tuple(
+    (name, text)
+    for name, what, title, version, a, b in _GNU
+    for text in (
+        f"This work is licensed under the GNU {title}, version {version}.",
+        f"This {what} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {title} as published by the Free Software Foundation{b} either version {version} of the License, or (at your option) any later version.",
+        f"This {what} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {title} version {version} as published by the Free Software Foundation.",
+    )
+)
+#: The Creative Commons licences by code and name, and the versions with what follows their number in a deed.
+_CC = (("by", "Attribution"), ("by-sa", "Attribution-ShareAlike"), ("by-nd", "Attribution-NoDerivatives"), ("by-nc", "Attribution-NonCommercial"), ("by-nc-sa", "Attribution-NonCommercial-ShareAlike"), ("by-nc-nd", "Attribution-NonCommercial-NoDerivatives"))
+_CC_VERSIONS = (("4.0", "International"), ("3.0", "Unported"))
+_CC_NOTICES = tuple(
+    (f"cc-{code}-{version}", text)
+    for code, title in _CC
+    for version, reach in _CC_VERSIONS
+    for text in (f"Licensed under CC {code.upper()} {version}.", f"This work is licensed under a Creative Commons {title} {version} {reach} License.", f"This work is licensed under the Creative Commons {title} {version} {reach} License. To view a copy of this license, visit http://creativecommons.org/licenses/{code}/{version}/")
+)
 #: Notices and texts by licence id.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -30,19 +57,11 @@ TEMPLATES = (
     ("mit", "Released under the MIT License."),
     ("mit", "Licensed under the MIT License."),
     ("mit", _MIT),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("lgpl-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("agpl-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-4.0", "Licensed under CC BY 4.0."),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("isc", _ISC),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
+    *_GNU_NOTICES,
+    *_CC_NOTICES,
     # complete texts; for the longer licences (apache, gpl, lgpl, agpl, mpl, cc) the notices above, as files carry them
     ("mit", _MIT + " " + 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("isc", _ISC + " " + 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
@@ -53,8 +72,9 @@ TEMPLATES = (
 )
 
 #: How a licence bears on training: the strictest of a text's licences counts.
-CLASSES = {"apache-2.0": 1, "mit": 1, "isc": 1, "bsd-2-clause": 1, "bsd-3-clause": 1, "zlib": 1, "unlicense": 1, "cc-by-4.0": 1, "mpl-2.0": 2, "lgpl-3.0": 2, "cc-by-sa-4.0": 2, "gpl-2.0": 3, "gpl-3.0": 3, "agpl-3.0": 3, "cc-by-nc-4.0": 4}
-CLASS_NAMES = ("none", "permissive", "weak copyleft", "copyleft", "non-commercial")
+CLASSES = {"apache-2.0": 1, "mit": 1, "isc": 1, "bsd-2-clause": 1, "bsd-3-clause": 1, "zlib": 1, "unlicense": 1, "mpl-2.0": 2, "lgpl-2.0": 2, "lgpl-2.1": 2, "lgpl-3.0": 2, "gpl-2.0": 3, "gpl-3.0": 3, "agpl-3.0": 3}
+CLASSES |= {f"cc-{code}-{version}": 5 if "nd" in code else 4 if "nc" in code else 2 if "sa" in code else 1 for code, _ in _CC for version, _ in _CC_VERSIONS}
+CLASS_NAMES = ("none", "permissive", "weak copyleft", "copyleft", "non-commercial", "no derivatives")
 
 
 def words_of(text: str) -> list[str]:
@@ -66,6 +86,25 @@ def bigrams_of(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(ws, ws[1:])))
 
 
+#: Words that tell a licence from its siblings.
+DECIDING = {"lesser", "affero", "sharealike", "noderivatives", "noncommercial", "nc", "sa", "nd"}
+
+
+def decides(bigram: str) -> bool:
+    return bool(set(bigram.split()) & DECIDING) or bigram in ("gnu library", "library general")
+
+
+def needs_of(text: str) -> list[str]:
+    """The bigrams of a template without which no unit matches it, however alike: those that decide, and version numbers."""
+    pairs = [(g, *g.split()) for g in bigrams_of(text)]
+    return [g for g, a, b in pairs if decides(g) or b.isdigit() and (a in ("version", "v") or a.isdigit())]
+
+
+def deciding() -> list[str]:
+    """All bigrams of templates that decide. A unit matches a template only if it has the same ones."""
+    return sorted({g for _, text in TEMPLATES for g in bigrams_of(text) if decides(g)})
+
+
 def bounds(n: int, t: float = THRESHOLD) -> tuple[int, int]:
     """Fewest and most bigrams of a unit that can reach ``t`` with a template of ``n``: 2 min(a, n) / (a + n) >= t."""
     fits = [a for a in range(1, int(n * (2 - t) / t) + 2) if 2 * min(a, n) / (a + n) >= t]
@@ -151,13 +190,14 @@ def _windows(chunks: Column) -> Column:
 def scan(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_col, n_matches, licenses, best_dice, class`` for each row.
 
+    A template with a version or a word that decides between siblings (``needs_of``) matches no unit without it, nor one with another sibling's.
     ``licenses`` lists the ids that a unit matches, sorted and comma-joined (none: empty,
     with class ``none`` and ``best_dice`` 0); ``n_matches`` counts pairs of a distinct unit and
     a template that is its nearest (ties: all), windows that lie a word apart each. A null text counts as empty; null ids are kept, repeated rows each get a row, an
     empty table gives none; whole texts are read whatever their length; other columns are not read, whatever their names.
     """
-    grams = [(name, bigrams_of(x)) for name, x in TEMPLATES]
-    low, high = min(bounds(len(g), threshold)[0] for _, g in grams), max(bounds(len(g), threshold)[1] for _, g in grams)
+    grams = [(name, bigrams_of(x), needs_of(x)) for name, x in TEMPLATES]
+    low, high = min(bounds(len(g), threshold)[0] for _, g, _ in grams), max(bounds(len(g), threshold)[1] for _, g, _ in grams)
     cue = any_word(cues(threshold))
     one_line = lambda u: F.trim(F.regexp_replace(u, r"[ \n]{2,}|\n", " "))
     # all columns are null, and cost nothing, in a text without a cue word
@@ -169,15 +209,21 @@ def scan(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", te
     pairs = F.transform(words, lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))))
     pairs = F.filter(pairs, lambda g: (F.size(g) >= low) & (F.size(g) <= high))
 
-    def against(g: Column) -> Column:
-        found = []
-        for name, own in grams:
+    marks = F.array(*map(F.lit, deciding()))
+
+    def against(unit: Column) -> Column:
+        g, found = unit["g"], []
+        for name, own, needs in grams:
             a, b = bounds(len(own), threshold)
             dice = 2 * F.size(F.array_intersect(g, F.array(*map(F.lit, own)))) / (F.size(g) + len(own))
-            found.append(F.struct(F.lit(name).alias("name"), F.when(F.size(g).between(a, b), dice).otherwise(0.0).alias("dice")))
+            fits = F.size(g).between(a, b) & (unit["n_marks"] == sum(map(decides, own)))
+            for need in needs:
+                fits = fits & F.array_contains(g, need)
+            found.append(F.struct(F.lit(name).alias("name"), F.when(fits, dice).otherwise(0.0).alias("dice")))
         return F.array(*found)
 
     best = lambda found: F.filter(found, lambda x: (x["dice"] >= threshold) & (x["dice"] == F.aggregate(found, F.lit(0.0), lambda s, y: F.greatest(s, y["dice"]))))
+    pairs = F.transform(pairs, lambda g: F.struct(g.alias("g"), F.size(F.array_intersect(g, marks)).alias("n_marks")))
     rows = rows.select("id", F.transform(pairs, against).alias("found"))
     rows = rows.select("id", F.coalesce(F.flatten(F.transform("found", best)), F.expr("cast(array() as array<struct<name: string, dice: double>>)")).alias("found"))
     strict = F.create_map(*(x for k, v in CLASSES.items() for x in (F.lit(k), F.lit(v))))

@@ -96,7 +96,7 @@ e as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order
 g as (select doc_id, count(*) filter (gone) as n_removed, count(*) filter (opens) as n_spans, coalesce(string_agg(b, '' order by i) filter (not gone), '') as kept from e group by doc_id)
 select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from d left join g using (doc_id)"""
 
-_TEMPLATES = " union all ".join(f"select {k} as k, {_text(name)} as name, [{', '.join(map(_text, licenses.bigrams_of(t)))}] as own" for k, (name, t) in enumerate(licenses.TEMPLATES))
+_TEMPLATES = " union all ".join(f"select {k} as k, {_text(name)} as name, [{', '.join(map(_text, licenses.bigrams_of(t)))}] as own, cast([{', '.join(map(_text, licenses.needs_of(t)))}] as varchar[]) as needs, {sum(map(licenses.decides, licenses.bigrams_of(t)))} as n_marks" for k, (name, t) in enumerate(licenses.TEMPLATES))
 _CLASS = "case " + " ".join(f"when name = {_text(k)} then {v}" for k, v in licenses.CLASSES.items()) + " end"
 _CUES = ", ".join(f"{{'word': {_text(w)}, 'before': {k}, 'len': {n}}}" for w, k, n in licenses.cue_spots())
 OP4 = f"""
@@ -109,7 +109,7 @@ wins as (select doc_id, array_to_string(list_slice(ws, greatest(1, i - before),
 u as (select distinct doc_id, trim(regexp_replace(x, '[ \\n]+', ' ', 'g')) as unit from n, lateral (select unnest(list_concat(string_split(norm, chr(10)), regexp_split_to_array(norm, '\\n *\\n'), [norm])) as x) union select doc_id, unit from wins),
 w as (select doc_id, unit, string_split(unit, ' ') as ws from u),
 g as (select doc_id, unit, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as grams from w where len(ws) > 1),
-s as (select doc_id, unit, name, k, 2 * len(list_intersect(grams, own)) / (len(grams) + len(own)) as dice from g, templates where 2 * least(len(grams), len(own)) / (len(grams) + len(own)) >= {licenses.THRESHOLD}),
+s as (select doc_id, unit, name, k, 2 * len(list_intersect(grams, own)) / (len(grams) + len(own)) as dice from g, templates where 2 * least(len(grams), len(own)) / (len(grams) + len(own)) >= {licenses.THRESHOLD} and len(list_intersect(grams, needs)) = len(needs) and len(list_intersect(grams, [{', '.join(map(_text, licenses.deciding()))}])) = n_marks),
 b as (select * from s where dice >= {licenses.THRESHOLD} qualify dice = max(dice) over (partition by doc_id, unit)),
 f as (select doc_id, count(*) as n_matches, string_agg(distinct name, ',' order by name) as licenses, max(dice) as best_dice, max({_CLASS}) as worst from b group by doc_id)
 select doc_id, coalesce(n_matches, 0) as n_matches, coalesce(licenses, '') as licenses, coalesce(best_dice, 0.0) as best_dice, [{', '.join(map(_text, licenses.CLASS_NAMES))}][coalesce(worst, 0) + 1] as class
