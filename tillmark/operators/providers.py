@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -53,25 +54,27 @@ def extract(images: DataFrame, provider: Callable[[bytes], dict]) -> DataFrame:
     return images.select("path", "content").mapInPandas(run, f"path string, receipt {RECEIPT.simpleString()}")
 
 
+def ask(call: Callable[..., dict], text: str, store: str | None, others: Any) -> dict:
+    """The answer of ``call`` to a string in the fields of a parse: asked once more with its store and siblings if it is not identified alone."""
+    named = lambda p: bool((p.get("product") or "").strip()) and not p.get("needs_review")
+    p, n = dict(call(text)), 1
+    others = [] if others is None else list(others)
+    if not named(p) and (store or others):
+        again, n = dict(call(text, store, others)), 2
+        p = again if named(again) else p
+    return {f.name: p.get(f.name) for f in PARSED} | {"raw_description": text, "attempts": n}
+
+
 def parse(items: DataFrame, provider: Callable[..., dict]) -> DataFrame:
     """``store, raw_description, parsed`` for ``items(store, raw_description, siblings)``.
 
     A string that is not identified alone is tried once more with its store and its siblings, if it has any; the
     second answer counts only if it identifies.
     """
-    fields = [f.name for f in PARSED]
-    named = lambda p: bool((p.get("product") or "").strip()) and not p.get("needs_review")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for d, store, others in zip(f["raw_description"], f["store"], f["siblings"], strict=True):
-                p, n = dict(with_retry(provider, d)), 1
-                others = [] if others is None else list(others)
-                if not named(p) and (store or others):
-                    again, n = dict(with_retry(provider, d, store, others)), 2
-                    p = again if named(again) else p
-                out.append({k: p.get(k) for k in fields} | {"raw_description": d, "attempts": n})
+            out = [ask(functools.partial(with_retry, provider), d, store, others) for d, store, others in zip(f["raw_description"], f["store"], f["siblings"], strict=True)]
             yield pd.DataFrame({"store": f["store"], "raw_description": f["raw_description"], "parsed": out})
 
     got = items.select("store", "raw_description", "siblings").mapInPandas(run, f"store string, raw_description string, parsed {PARSED.simpleString()}")
