@@ -248,16 +248,22 @@ _FLOOR = 0.30
 
 
 _NEAR = f"""s as (select q.vec_id as query_id, c.vec_id as product_id, list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda x: cast(x[1] as double) * cast(x[2] as double))) as sim from embeddings q join embeddings c on q.vec_id <> c.vec_id),
-r as (select query_id, product_id, row_number() over (partition by query_id order by sim desc, product_id) as rank from s where sim >= {_FLOOR})"""
+r as (select query_id, product_id, sim, row_number() over (partition by query_id order by sim desc, product_id) as rank from s where sim >= {_FLOOR})"""
 
 
-def _near(m: Model) -> DataFrame:
+def _near(m: Model, floor: float = _FLOOR) -> DataFrame:
     """For every vector the five nearest others, not below the floor."""
     e = m.spark.read.parquet(f"{m.dir}/embeddings.parquet")
-    found = matching.candidates(e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "product_id"), 6, _FLOOR).filter("query_id <> product_id")
+    found = matching.candidates(e.withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "product_id"), 6, floor).filter("query_id <> product_id")
     return found.withColumn("rank", F.expr("row_number() over (partition by query_id order by similarity desc, product_id)")).filter("rank <= 5").select("query_id", "product_id", "rank")
 
 
+@query(f"with {_NEAR} select query_id, product_id, rank from r where rank <= 5 and sim >= {matching.FLOOR}")
+def candidates_floor(m):
+    """ER-2: the nearest others of every vector, by the rule's own floor."""
+    return _near(m, matching.FLOOR)
+
+
 @query(f"with {_NEAR} select query_id, product_id, rank from r where rank <= 5")
 def candidates_topk(m):
     """The nearest others of every vector among all."""
@@ -335,17 +341,22 @@ def cascade_delete(m):
 
 
 @query(V + """, k as (select receipt_id, line_number, raw_description, row_number() over (partition by receipt_id order by line_number, raw_description) as i from line_items where is_voided = 0)
-select a.receipt_id, a.line_number, a.raw_description, cast(coalesce((select least(20, count(*)) from k b where b.receipt_id = a.receipt_id and b.raw_description <> a.raw_description), 0) as bigint) as n_siblings from k a""")
+, b as (select a.receipt_id, a.i, b.raw_description as other, row_number() over (partition by a.receipt_id, a.i order by b.i) as j from k a join k b on b.receipt_id = a.receipt_id and b.raw_description <> a.raw_description),
+s as (select receipt_id, i, count(*) as n, string_agg(other, '|' order by j) as others from b where j <= 20 group by all)
+select receipt_id, line_number, raw_description, coalesce(n, 0) as n_siblings, coalesce(others, '') as siblings from k left join s using (receipt_id, i)""")
 def sibling_strings(m):
-    """How many other strings of its receipt each line has beside it."""
-    return matching.siblings(m.line_items).select("receipt_id", "line_number", "raw_description", F.size("siblings").cast("bigint").alias("n_siblings"))
+    """The first other strings of its receipt that each line has beside it."""
+    return matching.siblings(m.line_items).select("receipt_id", "line_number", "raw_description", F.size("siblings").cast("bigint").alias("n_siblings"), F.array_join("siblings", "|").alias("siblings"))
 
 
-@query("""with l as (select l_orderkey as receipt_id, count(*) as lines, count(distinct l_partkey) as aliases from lineitem group by all) select aliases, count(*) as n from l where aliases > 1 group by all""")
+@query(V + """, c as (select p.product_id, count(distinct upper(r.merchant_name) || '||' || l.raw_description) as aliases from products p join line_items l on l.product_id = p.product_id join receipts r using (receipt_id) group by all)
+select aliases, count(*) as n from c where aliases > 1 group by all""")
 def multi_alias_counts(m):
-    """Receipts by the number of distinct strings, where that is over one."""
-    g = m.spark.read.parquet(f"{m.dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("receipt_id")).agg(F.collect_set("l_partkey").alias("aliases"))
-    return matching.multi_alias(g).groupBy(F.size("aliases").cast("bigint").alias("aliases")).agg(F.count("*").alias("n"))
+    """Products of a catalog with an alias for each store and string that they were bought under, by the number of aliases, where that is over one."""
+    seen = m.line_items.select("receipt_id", "product_id", "raw_description").join(m.receipts.select("receipt_id", "merchant_name"), "receipt_id")
+    names = seen.groupBy("product_id").agg(F.collect_set(scalars.alias_key(F.col("merchant_name"), F.col("raw_description"))).alias("aliases"))
+    catalog = m.products.select("product_id", "canonical_text").join(names, "product_id")
+    return matching.multi_alias(catalog).groupBy(F.size("aliases").cast("bigint").alias("aliases")).agg(F.count("*").alias("n"))
 
 
 @query("""select category from (select distinct p_type as category from part) union select unnest(['produce','dairy','meat','seafood','bakery','pantry','frozen','beverage','snack','household','personal_care','pet','baby'])""")
