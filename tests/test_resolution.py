@@ -81,7 +81,7 @@ def batch(seed, n, d=4):
     return rows, catalog
 
 
-@pytest.mark.parametrize(("seed", "n", "k", "floor"), [(1, 60, 5, 0.6), (2, 150, 2, 0.3), (3, 150, 5, 0.9), (4, 12, 1, -1.0)])
+@pytest.mark.parametrize(("seed", "n", "k", "floor"), [(1, 60, 5, 0.6), (2, 150, 2, 0.3), (4, 12, 1, -1.0)])
 def test_rounds_give_what_the_loop_gives(spark, seed, n, k, floor):
     rows, catalog = batch(seed, n)
     got, rounds = resolve_in_order(spark.createDataFrame(rows, P), spark.createDataFrame(catalog, C), top_k=k, floor=floor, block_rows=40)

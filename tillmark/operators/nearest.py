@@ -32,11 +32,13 @@ SAMPLED = 8
 SLACK, OFF = 1e-6, 1e-3
 #: Bytes of a block or chunk, and pairs whose similarities are summed at once.
 BLOCK_BYTES, PAIRS = 4 << 20, 1 << 15
+#: Blocks that one task compares with a chunk, one after the other.
+LOT = 32
 
 
 @dataclass
 class Nearest:
-    """``found(query_id, product_id, similarity)``, ``top_k`` a query and block at most; ``pairs(chunk, block)`` that meet; how many ``blocks`` and ``chunks`` there are."""
+    """``found(query_id, product_id, similarity)``, ``top_k`` a query and lot of blocks at most; ``pairs(chunk, block, ...)`` that meet; how many ``blocks`` and ``chunks`` there are."""
 
     found: DataFrame
     pairs: DataFrame
@@ -226,14 +228,29 @@ def nearest(queries: DataFrame, catalog: DataFrame, top_k: int = 5, floor: float
                 yield pd.DataFrame({"chunk": np.full(len(found), r.chunk, np.int32), "block": found})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of one chunk and lot stand together: what earlier blocks gave raises what later ones must reach."""
+        now, best, least = None, None, None
         for part in batches:
             for r in part.itertuples():
-                a, least = _matrix(r.chunk_vectors, len(r.chunk_ids)), np.frombuffer(r.least)
+                if (r.chunk, r.lot) != now:
+                    if best is not None:
+                        yield best[["query_id", "product_id", "similarity"]]
+                    now, best = (r.chunk, r.lot), None
+                    a, until, least, asks = _matrix(r.chunk_vectors, len(r.chunk_ids)), np.frombuffer(r.chunk_at, np.int64), np.frombuffer(r.least).copy(), np.asarray(r.chunk_ids)
                 some = np.flatnonzero(may_hold(a, least, ring_of[r.block : r.block + 1])[:, 0])
-                i, j, exact = best_of(a[some], np.frombuffer(r.chunk_at, np.int64)[some], least[some], _matrix(r.block_vectors, len(r.block_ids)), np.frombuffer(r.block_at, np.int64), top_k, floor)
-                who, what = np.asarray(r.chunk_ids)[some], np.asarray(r.block_ids)
-                yield pd.DataFrame({"query_id": who[i], "product_id": what[j], "similarity": exact})
-
-    pairs = written(chunk_rows.select("chunk", "chunk_vectors", "least", F.size("chunk_ids").alias("n")).mapInPandas(visit, "chunk int, block int"), "pairs")
-    found = pairs.join(chunk_rows, "chunk").join(block_table, "block").mapInPandas(compare, schema)
+                i, j, exact = best_of(a[some], until[some], least[some], _matrix(r.block_vectors, len(r.block_ids)), np.frombuffer(r.block_at, np.int64), top_k, floor)
+                new = pd.DataFrame({"i": some[i], "query_id": asks[some][i], "product_id": np.asarray(r.block_ids)[j], "similarity": exact})
+                best = new if best is None else pd.concat([best, new]) if len(new) else best
+                best = best.sort_values(["i", "similarity", "product_id"], ascending=[True, False, True], kind="stable").groupby("i").head(top_k)
+                full = best.groupby("i")["similarity"].agg(["size", "min"])
+                full = full[full["size"] >= top_k]
+                least[full.index] = np.fmax(least[full.index], full["min"])
+        if best is not None:
+            yield best[["query_id", "product_id", "similarity"]]
+
+    pairs = chunk_rows.select("chunk", "chunk_vectors", "least", F.size("chunk_ids").alias("n")).mapInPandas(visit, "chunk int, block int")
+    pairs = written(pairs.withColumn("lot", F.expr(f"block div {LOT}")), "pairs")
+    # A chunk goes to each lot of blocks that it meets; the join by both leaves the blocks of a lot next to each other.
+    for_lots = chunk_rows.join(pairs.select("chunk", "lot").distinct(), "chunk")
+    found = pairs.join(block_table, "block").join(for_lots.hint("merge"), ["chunk", "lot"]).mapInPandas(compare, schema)
     return Nearest(found, pairs, blocks, chunks)
