@@ -190,6 +190,7 @@ OWN = [set(licenses.bigrams_of(t)) for _, t in licenses.TEMPLATES]
 
 
 MARKS = set(licenses.deciding())
+NEEDS = [set(licenses.needs_of(t)) for _, t in licenses.TEMPLATES]
 
 
 def plain_licences(text):
@@ -202,7 +203,7 @@ def plain_licences(text):
         score = {}
         for k, (name, t) in enumerate(licenses.TEMPLATES):
             own = OWN[k]
-            if g and g >= set(licenses.needs_of(t)) and {x for x in g if x in MARKS} == {x for x in own if x in MARKS}:
+            if g and g >= NEEDS[k] and g & MARKS == own & MARKS:
                 score[k] = 2 * len(g & own) / (len(g) + len(own))
         top = max(score.values(), default=0)
         if top >= licenses.THRESHOLD:
