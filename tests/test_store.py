@@ -172,6 +172,32 @@ def test_broken_references_are_refused_by_name(spark, store):
     assert len(seen(store.snapshot())[0]) == len(was[0]) + 1
 
 
+def test_no_key_goes_to_the_driver(spark, store, monkeypatch):
+    plans, rewrite, collect = [], Transaction._rewrite, type(spark.range(0)).collect
+
+    def noted(self, name, touched, rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return rewrite(self, name, touched, rows)
+
+    def gathered(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return collect(df)
+
+    monkeypatch.setattr(Transaction, "_rewrite", noted)
+    monkeypatch.setattr(type(spark.range(0)), "collect", gathered)
+    first(store, spark)
+    tx = store.begin()
+    tx.save_products(spark.createDataFrame([("p", "milk")], "product_id string, canonical_text string"))
+    tx.save_receipts(receipts(spark, (9, "a.jpg", 900, None)), lines(spark, (91, 9, 1, "new", "p")))
+    tx.update_lines(spark.createDataFrame([(91, "p")], "line_item_id long, product_id string"))
+    tx.set_owners(spark.createDataFrame([(2, 7)], "receipt_id long, shopper_id long"))
+    tx.delete_receipts(spark.createDataFrame([(2,)], "receipt_id long"))
+    tx.commit()
+    assert sum("SortMergeJoin" in p for p in plans) >= 10
+    assert not any("Broadcast" in p for p in plans)
+    assert seen(store.snapshot()) == ([("a.jpg", 9, 900, 7)], [(9, 1, "new")])
+
+
 def write(folder, name, total, items):
     os.makedirs(folder, exist_ok=True)
     rows = [{"line_number": k + 1, "raw_description": d, "line_total": 1.0} for k, d in enumerate(items)]

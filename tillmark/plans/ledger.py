@@ -225,15 +225,18 @@ def store_commits(m):
 
     later = (F.col("receipt_id") + _AGAIN).alias("receipt_id")
     again = r.filter("receipt_id % 5 = 0").select(later, "source_file", (F.col("total_cents") + 1).alias("total_cents"))
-    fewer = li.join(r.filter("receipt_id % 5 = 0").select("receipt_id"), "receipt_id", "left_semi").filter("line_number <= 2").select(*(later if c == "receipt_id" else F.col(c) for c in li.columns))
+    fewer = li.join(r.filter("receipt_id % 5 = 0").select("receipt_id").hint("merge"), "receipt_id", "left_semi").filter("line_number <= 2").select(*(later if c == "receipt_id" else F.col(c) for c in li.columns))
     commit(all_of_it)
     commit(lambda tx: tx.save_receipts(again, fewer))
     commit(lambda tx: tx.delete_receipts(store.snapshot().table("receipts").filter("receipt_id % 7 = 0").select("receipt_id")))
     now = store.snapshot()
-    named = now.table("line_items").join(now.table("products").select("product_id", F.lit(1).alias("named")), "product_id", "left")
+    stored = now.table("line_items").select("receipt_id", "product_id", "line_total_cents")
+    products = now.table("products").select("product_id", F.lit(1).alias("named")).hint("merge")
+    # lines without a product would all meet in one task of the join
+    named = stored.filter("product_id is not null").join(products, "product_id", "left").unionByName(stored.filter("product_id is null"), allowMissingColumns=True)
     sums = named.groupBy("receipt_id").agg(F.count("*").alias("n_lines"), F.sum("line_total_cents").alias("line_cents"), F.count("named").alias("n_named"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return now.table("receipts").join(sums, "receipt_id", "left").select("receipt_id", "shopper_id", "source_file", "total_cents", zero("n_lines"), zero("line_cents"), zero("n_named"))
+    return now.table("receipts").join(sums.hint("merge"), "receipt_id", "left").select("receipt_id", "shopper_id", "source_file", "total_cents", zero("n_lines"), zero("line_cents"), zero("n_named"))
 
 
 _KINDS = {"weight": [u for u, d, _ in units.UNITS if d == "weight"], "volume": [u for u, d, _ in units.UNITS if d == "volume"], "count": [u for u, d, _ in units.UNITS if d == "count"]}

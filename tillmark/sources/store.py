@@ -7,7 +7,8 @@ one version, whatever is written meanwhile; what a writer left behind when it di
 must rename atomically, as HDFS does (a local one is for tests: it does not keep two processes apart in the same
 instant).
 
-The driver holds the manifest (a path for each bucket of each table) and numbers of buckets, never rows.
+The driver holds the manifest (a path for each bucket of each table) and numbers of buckets, never rows; joins by key
+sort and merge, as a broadcast would bring the keys of all rows to it.
 """
 
 from __future__ import annotations
@@ -210,15 +211,15 @@ class Transaction:
         new = self._stage(add_missing_columns(receipts, s.schemas["receipts"]))
         touched = s.buckets_of(new, "receipts")
         stored = self.now.table("receipts", touched)
-        gone = stored.join(new.select("source_file"), "source_file", "left_semi").select("receipt_id")
+        gone = stored.join(new.select("source_file").hint("merge"), "source_file", "left_semi").select("receipt_id")
         (rows,) = storage.save_receipts(stored, new)
         stays = storage.latest(new, ["source_file"], [F.desc("receipt_id")]).select("receipt_id")
         for name, given in zip(CHILDREN, (line_items, validation_results), strict=True):
             own = self._stage(add_missing_columns(given if given is not None else s.spark.createDataFrame([], s.schemas[name]), s.schemas[name]))
             self._require(name, own, "receipt_id", new.select("receipt_id"))
             where = s.buckets_of(gone.unionByName(own.select("receipt_id")), name)
-            kept = self.now.table(name, where).join(gone, "receipt_id", "left_anti")
-            self._rewrite(name, where, kept.unionByName(own.join(stays, "receipt_id", "left_semi").select(*kept.columns)))
+            kept = self.now.table(name, where).join(gone.hint("merge"), "receipt_id", "left_anti")
+            self._rewrite(name, where, kept.unionByName(own.join(stays.hint("merge"), "receipt_id", "left_semi").select(*kept.columns)))
             self._new.append((name, own))
         self._rewrite("receipts", touched, rows)
         self._new.append(("receipts", new))
@@ -236,15 +237,15 @@ class Transaction:
         s, ids = self.store, self._stage(ids.select(F.col("receipt_id").cast("long")).distinct())
         before = self.now.table("receipts")
         for name in ("receipts", *CHILDREN):
-            found = self.now.table(name).join(ids, "receipt_id", "left_semi") if name == "receipts" else ids
+            found = self.now.table(name).join(ids.hint("merge"), "receipt_id", "left_semi") if name == "receipts" else ids
             touched = s.buckets_of(found, name)
-            self._rewrite(name, touched, self.now.table(name, touched).join(ids, "receipt_id", "left_anti"))
-        return self._stage(ids.join(before.select("receipt_id", F.lit(True).alias("existed")).distinct(), "receipt_id", "left").select("receipt_id", F.coalesce("existed", F.lit(False)).alias("existed")))
+            self._rewrite(name, touched, self.now.table(name, touched).join(ids.hint("merge"), "receipt_id", "left_anti"))
+        return self._stage(ids.join(before.select("receipt_id", F.lit(True).alias("existed")).distinct().hint("merge"), "receipt_id", "left").select("receipt_id", F.coalesce("existed", F.lit(False)).alias("existed")))
 
     def update_lines(self, changes: DataFrame) -> None:
         """Columns of lines by ``line_item_id``."""
         changes = self._stage(changes)
-        touched = self.store.buckets_of(self.now.table("line_items").join(changes.select("line_item_id"), "line_item_id", "left_semi"), "line_items")
+        touched = self.store.buckets_of(self.now.table("line_items").join(changes.select("line_item_id").hint("merge"), "line_item_id", "left_semi"), "line_items")
         rows = storage.update_lines(self.now.table("line_items", touched), changes)
         self._rewrite("line_items", touched, rows)
         if "product_id" in changes.columns:
@@ -253,14 +254,14 @@ class Transaction:
     def set_owners(self, owners: DataFrame) -> None:
         """Receipts' owners by ``receipt_id, shopper_id``."""
         owners = self._stage(owners.select("receipt_id", "shopper_id"))
-        touched = self.store.buckets_of(self.now.table("receipts").join(owners, "receipt_id", "left_semi"), "receipts")
+        touched = self.store.buckets_of(self.now.table("receipts").join(owners.hint("merge"), "receipt_id", "left_semi"), "receipts")
         of = owners.select("receipt_id", F.struct("shopper_id").alias("_new"))
-        rows = self.now.table("receipts", touched).join(of, "receipt_id", "left")
+        rows = self.now.table("receipts", touched).join(of.hint("merge"), "receipt_id", "left")
         self._rewrite("receipts", touched, rows.withColumn("shopper_id", F.when(F.col("_new").isNotNull(), F.col("_new.shopper_id")).otherwise(F.col("shopper_id"))).drop("_new"))
         self._new.append(("receipts", owners))
 
     def _require(self, name: str, rows: DataFrame, column: str, known: DataFrame) -> None:
-        missing = [r[0] for r in rows.select(column).filter(F.col(column).isNotNull()).distinct().join(known, column, "left_anti").orderBy(column).limit(5).collect()]
+        missing = [r[0] for r in rows.select(column).filter(F.col(column).isNotNull()).distinct().join(known.hint("merge"), column, "left_anti").orderBy(column).limit(5).collect()]
         if missing:
             raise BrokenReference(f"{name}.{column}: no such row for {', '.join(map(repr, missing))}")
 
