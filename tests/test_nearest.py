@@ -76,3 +76,18 @@ def test_other_lengths_nulls_and_empty_tables(spark):
     c = spark.createDataFrame([("a", None), ("b", [1.0, 0.0])], C)
     assert [(r["query_id"], r["product_id"]) for r in matching.candidates(q, c).collect()] == [(2, "b")]
     assert matching.candidates(q, c.limit(0)).collect() == [] and matching.candidates(q.limit(0), c).collect() == []
+
+
+def test_copies_are_held_once_and_blocks_are_sent_once_for_each_group(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(nearest, "LOTS", 2)
+    monkeypatch.setattr(nearest, "GROUPS", 3)
+    v = unit(rng.normal(size=(12, 6)))
+    catalog = [(f"p{i:04d}", v[i % 12]) for i in range(180)]
+    queries = [(i, v[i % 12]) for i in range(90)]
+    n, ranks = got(spark, queries, catalog, 4, -1.0, block_rows=20)
+    assert ranks == plain(queries, catalog, 4, -1.0)
+    (blocks,) = [t for t in n.tables if "tillmark-blocks-" in t]
+    packed = spark.read.parquet(blocks).selectExpr("octet_length(block_vectors) / 24 as held", "size(block_ids) as ids").collect()
+    assert sum(r["ids"] for r in packed) == 180 and all(r["held"] <= 12 for r in packed) and sum(r["held"] for r in packed) < 180
+    assert n.pairs.select("block", "group").distinct().count() <= 3 * n.blocks and n.pairs.select("chunk", "lot").distinct().count() <= 2 * n.chunks
