@@ -131,3 +131,15 @@ def test_nothing_to_resolve(spark):
     empty = spark.createDataFrame([], P)
     got, _ = resolve_in_order(empty, spark.createDataFrame([], C))
     assert got.collect() == [] and got.select(F.col("outcome")).schema[0].dataType.simpleString() == "string"
+
+
+def test_tables_of_past_rounds_are_deleted(spark):
+    import os
+
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(at)) if os.path.exists(at) else set()
+    rows, catalog = batch(5, 30)
+    got, rounds = resolve_in_order(spark.createDataFrame(rows, P), spark.createDataFrame(catalog, C), block_rows=40)
+    left = sorted(x.split("-")[1] for x in set(os.listdir(at)) - before if x.startswith("tillmark-"))
+    assert rounds > 1 and left == ["decisions", "strings"]
+    assert {r["key"]: (r["outcome"], r["product_id"]) for r in got.collect()} == one_by_one(spark, rows, catalog, 5, 0.6)
