@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tillmark.operators import matching, nearest
 
@@ -91,3 +92,16 @@ def test_copies_are_held_once_and_blocks_are_sent_once_for_each_group(spark, mon
     packed = spark.read.parquet(blocks).selectExpr("octet_length(block_vectors) / 24 as held", "size(block_ids) as ids").collect()
     assert sum(r["ids"] for r in packed) == 180 and all(r["held"] <= 12 for r in packed) and sum(r["held"] for r in packed) < 180
     assert n.pairs.select("block", "group").distinct().count() <= 3 * n.blocks and n.pairs.select("chunk", "lot").distinct().count() <= 2 * n.chunks
+
+
+def test_a_task_holds_no_more_than_a_lot_and_a_group_however_many_there_are(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    for name, n in (("LOT", 3), ("GROUP", 2), ("LOTS", 1), ("GROUPS", 1)):
+        monkeypatch.setattr(nearest, name, n)
+    for rows in (60, 240):
+        catalog = [(f"p{i:04d}", x) for i, x in enumerate(unit(rng.normal(size=(rows, 6))))]
+        queries = list(enumerate(unit(rng.normal(size=(rows // 2, 6)))))
+        n, ranks = got(spark, queries, catalog, 4, 0.2, block_rows=10)
+        assert ranks == plain(queries, catalog, 4, 0.2)
+        held = n.pairs.groupBy("group", "lot").agg(F.countDistinct("block").alias("blocks"), F.countDistinct("chunk").alias("chunks")).collect()
+        assert n.blocks >= rows // 10 and len(held) > 1 and all(r["blocks"] <= 3 and r["chunks"] <= 2 for r in held)
