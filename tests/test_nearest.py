@@ -105,3 +105,23 @@ def test_a_task_holds_no_more_than_a_lot_and_a_group_however_many_there_are(spar
         assert ranks == plain(queries, catalog, 4, 0.2)
         held = n.pairs.groupBy("group", "lot").agg(F.countDistinct("block").alias("blocks"), F.countDistinct("chunk").alias("chunks")).collect()
         assert n.blocks >= rows // 10 and len(held) > 1 and all(r["blocks"] <= 3 and r["chunks"] <= 2 for r in held)
+
+
+@pytest.mark.parametrize(("d", "rows", "floor", "block_rows"), [(3, 120, 0.97, 17), (2, 90, -1.0, 20), (16, 80, 0.99, 9), (8, 150, 0.6, 1000)])
+def test_links_join_what_pairs_join_and_are_few(spark, d, rows, floor, block_rows):
+    rng = np.random.default_rng(d)
+    v = unit(np.concatenate([rng.normal(size=(rows // 2, d)), np.repeat(rng.normal(size=(5, d)), rows // 10, axis=0) + rng.normal(size=(rows // 10 * 5, d)) * 0.05]))
+    n = nearest.linked(spark.createDataFrame([(i, [float(x) for x in y]) for i, y in enumerate(v)], "id long, embedding array<float>"), floor, block_rows)
+
+    def parts(pairs):
+        part = list(range(len(v)))
+        for a, b in pairs:
+            old, new = part[a], part[b]
+            part = [new if p == old else p for p in part]
+        return {frozenset(i for i, p in enumerate(part) if p == q) for q in set(part)}
+
+    pairs = [(r["query_id"], r["product_id"]) for r in n.found.collect()]
+    want = np.argwhere(v.astype(np.float64) @ v.astype(np.float64).T >= floor)
+    assert parts(pairs) == parts(want.tolist())
+    tasks = n.pairs.select("group", "lot").distinct().count()
+    assert len(pairs) <= 2 * len(v) * max(tasks, 1)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tillmark.operators import resolution
 from tillmark.operators.resolution import resolve_in_order
 from tillmark.operators.providers import adjudicator
 
@@ -143,3 +144,34 @@ def test_tables_of_past_rounds_are_deleted(spark):
     left = sorted(x.split("-")[1] for x in set(os.listdir(at)) - before if x.startswith("tillmark-"))
     assert rounds > 1 and left == ["decisions", "strings"]
     assert {r["key"]: (r["outcome"], r["product_id"]) for r in got.collect()} == one_by_one(spark, rows, catalog, 5, 0.6)
+
+
+def test_a_long_chain_is_read_in_one_round(spark):
+    """Each string is unsure of the one before it and differs from the one before that, so every other one is created."""
+    rows = [(i, "s", f"t{i}", None if i % 2 else "ab"[i // 2 % 2], f"p{i}", "xy"[i // 2 % 2] if i % 2 else None, False, [float(np.cos(i / 100)), float(np.sin(i / 100))]) for i in range(40)]
+    got, rounds = resolve_in_order(spark.createDataFrame(rows, P), spark.createDataFrame([], C), top_k=1, max_rounds=8)
+    by = {r["key"]: (r["outcome"], r["product_id"]) for r in got.collect()}
+    assert by == one_by_one(spark, rows, [], 1, 0.6) and rounds == 1
+    assert [by[i][0] for i in range(40)] == ["created", "review"] * 20
+
+
+@pytest.mark.parametrize("slab", [7, 40])
+def test_parts_larger_than_a_slab(spark, monkeypatch, slab):
+    monkeypatch.setattr(resolution, "SLAB", slab)
+    rows, catalog = batch(3, 90)
+    got, rounds = resolve_in_order(spark.createDataFrame(rows, P), spark.createDataFrame(catalog, C), block_rows=30)
+    assert {r["key"]: (r["outcome"], r["product_id"]) for r in got.collect()} == one_by_one(spark, rows, catalog, 5, 0.6)
+    assert rounds > 1
+
+
+def test_each_different_vector_is_searched_for_once_and_hashes_that_two_share_are_not_used(spark, monkeypatch):
+    searched = []
+    hashed, linked = resolution.vector_hash, resolution.linked
+    monkeypatch.setattr(resolution, "vector_hash", lambda seed: F.hash(F.lit(7)).cast("long") if seed == 0 else hashed(seed))
+    monkeypatch.setattr(resolution, "linked", lambda vectors, *how: (searched.append(vectors.count()), linked(vectors, *how))[1])
+    rows = [(k, "s", f"t{k}", None if k % 5 else "a", "milk" if k % 7 else "whole milk", None, False, [1.0, 0.001 * (k % 11)] if k % 13 else None) for k in range(200)]
+    got, _ = resolve_in_order(spark.createDataFrame(rows, P), spark.createDataFrame([], C), block_rows=4)
+    by = {r["key"]: (r["outcome"], r["product_id"]) for r in got.collect()}
+    seen = [r for r in rows if r[7]]
+    assert searched == [11] and {k: v for k, v in by.items() if k % 13} == one_by_one(spark, seen, [], 5, 0.6)
+    assert all(by[k][0] == "created" for k in range(0, 200, 13))
